@@ -432,7 +432,7 @@ _DE = _DM
 @Q.add(
     "kpi_by_day",
     with_(S.METRICS, S.SYSTEM_EVENTS)
-    + " UNION ALL ".join(_kpi_sql(k, _DM, _DE, 24, "timestamp::DATE AS date") for k in kpi.KPIS),
+    + " UNION ALL ".join(_kpi_sql(k, _DM, _DE, 24, "strftime(timestamp, '%Y-%m-%d') AS date") for k in kpi.KPIS),
 )
 def kpi_by_day(spark, d):
     m, e = A.metrics_long(spark, d), A.system_events(spark, d)
@@ -442,7 +442,7 @@ def kpi_by_day(spark, d):
     for k in kpi.KPIS:
         one = kpi.kpi_by_day(k, m, e, 7, as_of)
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.withColumn("date", F.col("date").cast("string"))
 
 
 @Q.add(

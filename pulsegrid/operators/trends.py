@@ -13,7 +13,9 @@ from pulsegrid.functions.timewin import latest, trailing
 
 def parse_snapshots(snapshots: DataFrame) -> DataFrame:
     """Add the payload as ``record``; rows with unparsable payloads are dropped."""
-    return snapshots.withColumn("record", json_map(F.col("data"))).filter(F.col("record").isNotNull())
+    # explode keeps the parsed map as one column, so no later filter parses the text again.
+    parsed = snapshots.withColumn("record", F.explode(F.array(json_map(F.col("data")))))
+    return parsed.filter(F.col("record").isNotNull())
 
 
 def swap_percent(record: Column) -> Column:

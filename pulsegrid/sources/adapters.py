@@ -202,8 +202,8 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def running_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Processes still known when connections are read: some pids are gone."""
-    return processes(spark, sf_dir).filter(F.col("pid") % 7 != 0)
+    """Processes still known when connections are read: those of one type are gone."""
+    return processes(spark, sf_dir).filter(F.col("status") != "SMALL")
 
 
 def call_log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,8 +348,8 @@ def temperature_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('"battery": {"percent": '),
         k,
         F.lit(', "secsleft": '),
-        k,
-        F.lit("00}}"),
+        (k.cast("int") * 100).cast("string"),
+        F.lit("}}"),
     )
     return e.select(
         "event_id",
@@ -521,7 +521,7 @@ def ci_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
                 n.cast("string"), F.lit("}"),
             ),
         )
-        .otherwise(F.concat(text, F.lit("\n>> Issue: weak hash\nHIGH: fix it\n")))
+        .otherwise(F.concat(F.lit("{not json\n"), text, F.lit("\n>> Issue: weak hash\nHIGH: fix it\n")))
     )
     command = (
         F.when(kind == 0, "coverage report")
