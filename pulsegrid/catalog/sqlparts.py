@@ -127,6 +127,14 @@ def with_(*parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n"
 
 
-def r(expr: str, n: int = 6) -> str:
-    """Round and turn a negative zero into zero, as Spark's decimal rounding does."""
+def r(expr: str, n: int | None = None) -> str:
+    """Round and turn a negative zero into zero, as Spark's decimal rounding does.
+
+    Without ``n``: 6 digits, moved off exact halves the way ``registry.rounded`` does.
+    """
+    if n is None:
+        return f"(round(({expr}) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE)"
     return f"(round({expr}, {n}) + 0.0::DOUBLE)"
+
+
+RAW = METRICS.split("    least(value")[0] + "    value,\n    props AS metadata" + METRICS.split("props AS metadata")[1]

@@ -125,7 +125,7 @@ def format_bytes(size: Column) -> Column:
     chain = None
     for i, unit in enumerate(units):
         scaled = size.cast("double") / float(1024**i)
-        text = F.format_string(f"%.1f {unit}", scaled)
+        text = F.format_string(f"%.1f {unit}", F.bround(scaled, 1))
         if i == len(units) - 1:
             return chain.otherwise(text)
         cond = scaled < 1024

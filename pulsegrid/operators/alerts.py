@@ -141,7 +141,7 @@ def alert_cooldown(
     columns = breaches.columns
     placed = with_position(breaches, keys, order, "_pos")
     placed = placed.withColumn("_block", F.expr(f"_pos div {block_rows}")).withColumn(
-        "_cooldown", (F.col("cooldown_minutes") * 60_000_000).cast("bigint")
+        "_cooldown", F.col("cooldown_minutes").cast("bigint") * 60_000_000
     )
     types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
     key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)

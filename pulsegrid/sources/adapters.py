@@ -23,8 +23,8 @@ def _pick(col: Column, mapping: dict[str, object], default: object) -> Column:
     return chain.otherwise(F.lit(default))
 
 
-def metrics_from_events(events: DataFrame) -> DataFrame:
-    """Long metric table from an events table (batch or stream)."""
+def metrics_from_events(events: DataFrame, value: str | None = None) -> DataFrame:
+    """Long metric table from an events table (batch or stream), with capped values by default."""
     kind = F.col("event_type")
     metric_type = _pick(
         kind,
@@ -47,13 +47,19 @@ def metrics_from_events(events: DataFrame) -> DataFrame:
         F.col("ts").cast("timestamp").alias("timestamp"),
         metric_type.alias("metric_type"),
         metric_name.alias("metric_name"),
-        F.least(F.col("value") + offset, F.lit(100.0)).alias("value"),
+        (F.col(value) if value else F.least(F.col("value") + offset, F.lit(100.0))).alias("value"),
         F.col("props").alias("metadata"),
         F.concat(F.lit("host_"), (F.col("user_id") % 4).cast("string")).alias("source"),
         F.array("event_type").alias("tags"),
     )
 
 
+def raw_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The long metric table with the uncapped values, whose tails hold outliers."""
+    events = table(spark, sf_dir, "events")
+    return metrics_from_events(events, "value")
+
+
 def metrics_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics_from_events(table(spark, sf_dir, "events"))
 
