@@ -83,9 +83,9 @@ def _block_steps(key_columns: list[str]):
         for i in range(len(ts) - 1, -1, -1):
             if nxt[i] < len(ts):
                 last[i] = last[nxt[i]]
-        # The entry allows firing from some time on; it is at most one cooldown after the start.
-        reach = int(np.searchsorted(ts, ts[0] + cooldown, side="right"))
-        reach = min(len(ts), max(reach, 1))
+        # Firing is free again at most one cooldown after the block's start, so the block's
+        # first firing is at latest the first breach from then on.
+        reach = min(len(ts), int(np.searchsorted(ts, ts[0] + cooldown, side="left")) + 1)
         starts, ends = ts[:reach], last[:reach]
         change = np.append(np.flatnonzero(np.diff(ends)), reach - 1)
         out = {c: [pdf[c].iloc[0]] for c in [*key_columns, "_block"]}

@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,7 +89,7 @@ def train_forest(
     placed = rows.join(sizes, keys)
     rate = F.lit(sample * _OVERSAMPLE) / F.col("_rows")
 
-    def draw(*salt) -> F.Column:
+    def draw(*salt: Column) -> Column:
         return F.pmod(F.xxhash64(*row_id, F.lit(seed), *salt), F.lit(1 << 30)) / float(1 << 30)
 
     one = F.when(
@@ -138,7 +138,12 @@ _PARTS = ["_n", "feature", "split", "left", "right", "size"]
 
 
 def score_forest(
-    df: DataFrame, forest: DataFrame, features: Sequence[str], keys: Sequence[str] = ("metric_name",)
+    df: DataFrame,
+    forest: DataFrame,
+    features: Sequence[str],
+    keys: Sequence[str] = ("metric_name",),
+    row_id: Sequence[str] = ("event_id",),
+    broadcast_trees: int = BROADCAST_TREES,
 ) -> DataFrame:
     """Add ``score`` (about 0.5 normal, towards 1 anomalous) to every row without null features.
 
@@ -148,9 +153,9 @@ def score_forest(
     keys, features = list(keys), list(features)
     rows = df.na.drop(subset=features)
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    if forest.limit(BROADCAST_TREES + 1).count() <= BROADCAST_TREES:
+    if forest.limit(broadcast_trees + 1).count() <= broadcast_trees:
         by_key: dict[tuple, list[dict]] = {}
-        for r in forest.collect():  # at most BROADCAST_TREES rows
+        for r in forest.collect():  # at most broadcast_trees rows
             by_key.setdefault(tuple(r[k] for k in keys), []).append({p: r[p] for p in _PARTS})
         shared = df.sparkSession.sparkContext.broadcast(by_key)
 
@@ -168,13 +173,8 @@ def score_forest(
 
     shares = rows.groupBy(*keys).agg(F.ceil(F.count("*") / SCORE_ROWS).cast("int").alias("_shares"))
     shares = stage(shares, "shares")
-    salted = rows.join(shares, keys).withColumn(
-        "_share", F.pmod(F.xxhash64(*features), F.col("_shares")).cast("int")
-    )
-    # Equal feature rows would meet in one share; their position in the input spreads them.
-    salted = salted.withColumn(
-        "_share", F.pmod(F.col("_share") + F.pmod(F.monotonically_increasing_id(), F.col("_shares")), F.col("_shares")).cast("int")
-    ).drop("_shares")
+    share = F.pmod(F.xxhash64(*row_id), F.col("_shares")).cast("int")
+    salted = rows.join(shares, keys).withColumn("_share", share).drop("_shares")
     copies = forest.join(shares, keys).withColumn("_share", F.explode(F.expr("sequence(0, _shares - 1)")))
 
     def score_share(pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
@@ -204,7 +204,7 @@ def isolation_forest(
     ``ml_score`` maps the decision to 0..1, as the composite anomaly score takes it.
     """
     forest = train_forest(df, features, keys, row_id, trees, sample, seed)
-    scored = stage(score_forest(df, forest, features, keys), "scored")
+    scored = stage(score_forest(df, forest, features, keys, row_id), "scored")
     cut = group_quantiles(scored, keys, "score", [1 - contamination])
     limits = stage(cut.select(*keys, F.col("q")[0].alias("_cut")), "cuts")
     decision = F.col("_cut") - F.col("score")

@@ -4,18 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pulsegrid.functions.columns import json_map
 
 # Unit of each reading that a flat device record may hold.
 DEVICE_UNITS = {"temperature": "°C", "humidity": "%", "pressure": "hPa", "light": "lux", "motion": "bool"}
 
-_SENSORS = T.StructType.fromDDL(
+_SENSORS = (
     "sensors ARRAY<STRUCT<type: STRING, value: DOUBLE, unit: STRING, timestamp: TIMESTAMP, quality: DOUBLE>>"
 )
-_GPUS = T.StructType.fromDDL("gpus ARRAY<STRUCT<name: STRING, utilization: DOUBLE>>, total_gpus INT")
-_TEMPERATURES = T.StructType.fromDDL(
+_GPUS = "gpus ARRAY<STRUCT<name: STRING, utilization: DOUBLE>>, total_gpus INT"
+_TEMPERATURES = (
     "sensors MAP<STRING, ARRAY<STRUCT<label: STRING, current_celsius: DOUBLE, high_celsius: DOUBLE,"
     " critical_celsius: DOUBLE>>>, battery STRUCT<percent: DOUBLE, secsleft: DOUBLE, power_plugged: BOOLEAN>"
 )
