@@ -264,12 +264,12 @@ TREE = with_(S.PROCESSES).replace("WITH ", "WITH RECURSIVE ", 1)
 @Q.add(
     "process_tree",
     TREE.rstrip()
-    + """, tree AS (SELECT pid, name, status, 0 AS depth, CAST(pid AS VARCHAR) AS path FROM processes WHERE pid = 3
+    + """, tree AS (SELECT pid, name, status, 0 AS depth, CAST(pid AS VARCHAR) AS path FROM processes WHERE pid = 0
   UNION ALL SELECT p.pid, p.name, p.status, depth + 1, path || '|' || CAST(p.pid AS VARCHAR) FROM processes p JOIN tree t ON p.parent_pid = t.pid AND p.pid <> t.pid)
-SELECT pid, name, status, depth, path, 3 AS root FROM tree""",
+SELECT pid, name, status, depth, path, 0 AS root FROM tree""",
 )
 def process_tree(spark, d):
-    return joined_lists(process.process_tree(A.processes(spark, d), 3))
+    return joined_lists(process.process_tree(A.processes(spark, d), 0))
 
 
 @Q.add(

@@ -201,8 +201,8 @@ def incremental_load(spark, d):
     m = A.metrics_long(spark, d).select("event_id", "timestamp", "metric_name", "value")
     path = stage_path(spark, "incremental")
     storage.incremental_load(spark, m.filter(F.col("timestamp") < F.lit(START)), path)
-    storage.incremental_load(spark, m, path)
-    return storage.incremental_load(spark, m, path).drop("date")
+    storage.incremental_load(spark, m, path, row_id=["event_id"])
+    return storage.incremental_load(spark, m, path, row_id=["event_id"]).drop("date")
 
 
 @Q.add(

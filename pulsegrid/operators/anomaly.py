@@ -119,7 +119,7 @@ def composite_anomaly(
         return {
             "expected_value": F.avg("value").over(frame),
             "_std": F.stddev_pop("value").over(frame),
-            "_n": F.count("value").over(frame),
+            "_samples": F.count("value").over(frame),
         }
 
     rows = framed(df, build, window - 1, keys=keys, order=order, block_rows=block_rows)
@@ -130,11 +130,11 @@ def composite_anomaly(
     ]
     if ml_score:
         parts.append(F.coalesce(F.col(ml_score), F.lit(0.0)))
-    out = rows.filter(F.col("_n") >= min_samples).withColumn("anomaly_score", F.greatest(*parts))
+    out = rows.filter(F.col("_samples") >= min_samples).withColumn("anomaly_score", F.greatest(*parts))
     return (
         out.filter(F.col("anomaly_score") > limit)
         .withColumn("severity", severity_of_score(F.col("anomaly_score")))
-        .drop("_std", "_n")
+        .drop("_std", "_samples")
     )
 
 

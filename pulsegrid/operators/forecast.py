@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timewin import trailing
 from pulsegrid.operators.timeseries import ORDER, SERIES, exponential_smoothing, ols, seconds, with_elapsed
-from pulsegrid.plans.ordering import BLOCK_ROWS, last_n, with_position
+from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, last_n, numbered
 from pulsegrid.plans.staging import stage
 
 # Capacity advice by resource, shown within 30 days of exhaustion.
@@ -91,14 +91,14 @@ def exp_smoothing_forecast(
     The residual std is the population std of value minus smoothed value, the first row left out.
     """
     rows = exponential_smoothing(df, alpha, "_s", value, keys, order, block_rows, keep_position=True)
-    residual = F.when(F.col("_pos") > 0, F.col(value) - F.col("_s"))
+    residual = F.when(F.col(POS) > 0, F.col(value) - F.col("_s"))
     agg = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.max_by("_s", "_pos").alias("forecast"),
+        F.count("*").alias("_rows"),
+        F.max_by("_s", POS).alias("forecast"),
         F.stddev_pop(residual).alias("residual_std"),
     )
     width = 1.96 * F.col("residual_std") * F.sqrt(1 + F.col("step") * 0.1)
-    return _horizon(agg.filter("_n >= 10"), periods).select(
+    return _horizon(agg.filter("_rows >= 10"), periods).select(
         *keys,
         "step",
         "forecast",
@@ -118,10 +118,10 @@ def seasonal_naive_forecast(
 ) -> DataFrame:
     """The last season repeated, next to the mean of each season position (two seasons at least)."""
     keys = list(keys)
-    placed = with_position(df, keys, order, "_pos", "_n").filter(F.col("_n") >= 2 * seasonal_period)
-    place = F.col("_pos") % seasonal_period
-    last = F.col("_n") - seasonal_period
-    season = F.when(F.col("_pos") >= last, F.col("_pos") - last)
+    placed = numbered(df, keys, order).filter(F.col(TOTAL) >= 2 * seasonal_period)
+    place = F.col(POS) % seasonal_period
+    last = F.col(TOTAL) - seasonal_period
+    season = F.when(F.col(POS) >= last, F.col(POS) - last)
     # Position in the last season and position in the whole series number differently.
     pattern = placed.filter(season.isNotNull()).select(*keys, season.alias("place"), F.col(value).alias("forecast"))
     index = placed.groupBy(*keys, place.alias("place")).agg(F.avg(value).alias("seasonal_index"))

@@ -153,7 +153,7 @@ def score_forest(
     keys, features = list(keys), list(features)
     rows = df.na.drop(subset=features)
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    if forest.limit(broadcast_trees + 1).count() <= broadcast_trees:
+    if forest.count() <= broadcast_trees:
         by_key: dict[tuple, list[dict]] = {}
         for r in forest.collect():  # at most broadcast_trees rows
             by_key.setdefault(tuple(r[k] for k in keys), []).append({p: r[p] for p in _PARTS})

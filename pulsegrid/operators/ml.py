@@ -110,7 +110,9 @@ def train_horizon_models(
         train, test = feats.filter(fold < 8), feats.filter(fold >= 8)
         forest = RandomForestRegressor(
             featuresCol="features", labelCol="target", predictionCol="prediction",
-            numTrees=trees, maxDepth=depth, seed=SEED,
+            numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="all",
+            # More tree nodes per pass over the rows.
+            maxMemoryInMB=1024,
         )
         model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(train)
         error = F.col("target") - F.col("prediction")

@@ -49,10 +49,16 @@ def outliers_iqr(
     df: DataFrame, keys: Sequence[str] = SERIES, value: str = "value", approx: bool = False
 ) -> DataFrame:
     """Rows outside q1 - 1.5 iqr .. q3 + 1.5 iqr, in groups of at least 4."""
-    q = group_quantiles(df, keys, value, [0.25, 0.75], approx)
-    n = df.groupBy(*keys).agg(F.count(value).alias("_n")).filter("_n >= 4")
+    keys = list(keys)
+    if approx:
+        q = group_quantiles(df, keys, value, [0.25, 0.75], approx=True)
+        n = df.groupBy(*keys).agg(F.count(value).alias("_n")).filter("_n >= 4")
+    else:
+        counts = stage(value_counts(df, keys, value), "counts")
+        q = quantiles_of_counts(counts, keys, [0.25, 0.75])
+        n = counts.groupBy(*keys).agg(F.sum("_count").alias("_n")).filter("_n >= 4")
     spread = 1.5 * (F.col("q")[1] - F.col("q")[0])
-    bounds = q.join(n, list(keys)).select(
+    bounds = q.join(n, keys).select(
         *keys, (F.col("q")[0] - spread).alias("_low"), (F.col("q")[1] + spread).alias("_high")
     )
     rows = _joined(df, bounds, keys)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.timewin import trailing
 from pulsegrid.operators import forecast, outliers, stats, timeseries
 from pulsegrid.operators.timeseries import ORDER, SERIES
+from pulsegrid.plans.ordering import numbered
 from pulsegrid.plans.staging import stage
 
 
@@ -23,12 +24,12 @@ def metric_report(
 ) -> DataFrame:
     """Statistics, outliers, trend and forecasts of every series with at least 10 rows.
 
-    The window is written once and read by each analysis. The seasonal forecast (period 24,
+    The window is numbered and written once, and read by each analysis. The seasonal forecast (period 24,
     12 steps) needs 48 rows and is null below.
     """
     keys = list(keys)
     rows = metrics if hours is None else trailing(metrics, hours, as_of)
-    rows = stage(rows.select(*keys, *order, "value"), "report_rows")
+    rows = stage(numbered(rows.select(*keys, *order, "value"), keys, order), "report_rows")
     described = stats.descriptive_stats(rows, keys).filter("count >= 10").withColumnRenamed("count", "sample_count")
     hits = outliers.outlier_summary(rows, outliers.outliers_iqr(rows, keys), keys)
     trend = timeseries.linear_trend(rows, keys)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import calendar
 from pulsegrid.functions.distributions import t_p_value
-from pulsegrid.plans.ordering import BLOCK_ROWS, with_frames, with_position
+from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, numbered, with_frames
 from pulsegrid.plans.staging import stage
 
 SERIES = ("metric_name",)
@@ -33,12 +33,12 @@ def framed(
     after: int = 0,
     keys: Sequence[str] = SERIES,
     order: Sequence[str] = ORDER,
-    total: str | None = None,
     block_rows: int = BLOCK_ROWS,
+    keep_total: bool = False,
 ) -> DataFrame:
-    """Number the rows of each series and add frame columns."""
-    placed = with_position(df, keys, order, "_pos", total)
-    return with_frames(placed, keys, build, before, after, "_pos", block_rows).drop("_pos")
+    """Number the rows of each series, unless they are, and add frame columns."""
+    out = with_frames(numbered(df, keys, order), keys, build, before, after, POS, block_rows)
+    return out.drop(POS) if keep_total else out.drop(POS, TOTAL)
 
 
 def downsample_every_n(
@@ -48,9 +48,8 @@ def downsample_every_n(
     step = GRANULARITY_STEPS.get(granularity, DEFAULT_STEP)
     if step == 1:
         return df
-    placed = with_position(df, keys, order, "_pos", "_n")
-    keep = (F.col("_n") <= UNSAMPLED_ROWS) | (F.col("_pos") % step == 0)
-    return placed.filter(keep).drop("_pos", "_n")
+    keep = (F.col(TOTAL) <= UNSAMPLED_ROWS) | (F.col(POS) % step == 0)
+    return numbered(df, keys, order).filter(keep).drop(POS, TOTAL)
 
 
 def rolling_mean_std(
@@ -214,22 +213,25 @@ def linear_trend(
         F.col("_elapsed"),
         value,
     ).filter("n >= 10")
-    r = F.sqrt("r_squared")
-    slope = F.col("slope")
+    # A constant series explains nothing: r2 0, where SQL's regr_r2 says 1.
+    constant = F.col("syy") == 0
+    r2 = F.when(constant, 0.0).otherwise(F.col("r_squared"))
+    r, slope, se = F.sqrt(r2), F.col("slope"), F.col("standard_error")
+    t = F.when(constant, 0.0).when(se > 0, slope / se).otherwise(F.lit(float("inf")))
     out = fit.select(
         *keys,
         "n",
         "slope",
         (F.col("intercept") - slope * F.col("_start")).alias("intercept"),
-        F.coalesce("r_squared", F.lit(0.0)).alias("r_squared"),
+        r2.alias("r_squared"),
         "standard_error",
         F.when(slope > 0, "increasing").when(slope < 0, "decreasing").otherwise("flat").alias("direction"),
         F.when(r > 0.7, "strong").when(r > 0.4, "moderate").otherwise("weak").alias("strength"),
+        t.alias("_t"),
     )
     if p_value:
-        t = F.when(F.col("standard_error") > 0, F.col("slope") / F.col("standard_error"))
-        out = out.withColumn("p_value", t_p_value(t, (F.col("n") - 2).cast("double")))
-    return out
+        out = out.withColumn("p_value", t_p_value("_t", (F.col("n") - 2).cast("double")))
+    return out.drop("_t")
 
 
 def seasonality_strength(df: DataFrame, keys: Sequence[str] = SERIES, value: str = "value") -> DataFrame:
@@ -267,8 +269,8 @@ def stationarity_simple(
     """
     widest = 12
     frame = lambda w: {"_last": F.collect_list(value).over(w.rowsBetween(-(widest - 1), 0))}
-    rows = framed(df, frame, widest - 1, keys=keys, order=order, total="_n", block_rows=block_rows)
-    width = F.least(F.lit(widest), F.greatest(F.lit(3), F.expr("_n div 4"))).cast("int")
+    rows = framed(df, frame, widest - 1, keys=keys, order=order, block_rows=block_rows, keep_total=True)
+    width = F.least(F.lit(widest), F.greatest(F.lit(3), F.expr(f"{TOTAL} div 4"))).cast("int")
     tail = F.when(F.size("_last") >= width, F.slice("_last", -width, width))
     add = lambda a, x: a + x
     rows = rows.select(*keys, width.alias("_w"), tail.alias("_t")).filter(F.col("_t").isNotNull())
@@ -312,7 +314,7 @@ def stationarity_df(
     return out.select(*keys, "n", "adf_statistic", *cols, "is_stationary")
 
 
-def smoothing_frame(alpha: float, tolerance: float = 1e-12) -> int:
+def smoothing_frame(alpha: float, tolerance: float = 1e-16) -> int:
     """Rows back after which a smoothing weight is below the tolerance."""
     return math.ceil(math.log(tolerance) / math.log(1 - alpha))
 
@@ -329,7 +331,7 @@ def exponential_smoothing(
 ) -> DataFrame:
     """s = alpha * value + (1 - alpha) * previous s, the first value as start.
 
-    The recursion is folded over a bounded frame whose left-out weight is below 1e-12, so a
+    The recursion is folded over a bounded frame whose left-out weight is below 1e-16, so a
     series splits into independent blocks.
     """
     back = smoothing_frame(alpha)
@@ -341,9 +343,8 @@ def exponential_smoothing(
         )
         return {out: folded}
 
-    placed = with_position(df, keys, order, "_pos")
-    result = with_frames(placed, keys, build, back, 0, "_pos", block_rows)
-    return result if keep_position else result.drop("_pos")
+    result = with_frames(numbered(df, keys, order), keys, build, back, 0, POS, block_rows)
+    return result if keep_position else result.drop(POS, TOTAL)
 
 
 def ema_latency(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pulsegrid.plans.staging import stage
 
 BLOCK_ROWS = 250_000
+POS, TOTAL = "_series_pos", "_series_rows"
 
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
 
@@ -61,6 +62,16 @@ def with_position(
     return joined.select(*columns)
 
 
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` with the columns POS and TOTAL; unchanged where it has them already.
+
+    Number a table once, write it, and every ordered operator reuses the numbers.
+    """
+    if POS in df.columns and TOTAL in df.columns:
+        return df
+    return with_position(df, keys, order, POS, TOTAL)
+
+
 def with_frames(
     positioned: DataFrame,
     keys: Sequence[str],
@@ -80,7 +91,11 @@ def with_frames(
     last = F.expr(f"({pos} + {before}) div {size}")
     spread = positioned.withColumn("_block", F.explode(F.sequence(first, last)))
     window = Window.partitionBy(*keys, "_block").orderBy(pos)
-    framed = spread.select("*", *[c.alias(n) for n, c in build(window).items()])
+    added = build(window)
+    taken = set(added) & set(positioned.columns)
+    if taken:
+        raise ValueError(f"frame columns exist already: {sorted(taken)}")
+    framed = spread.select("*", *[c.alias(n) for n, c in added.items()])
     return framed.filter(F.col("_block") == own).drop("_block")
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.functions.columns import json_map, map_number
+from pulsegrid.functions.timewin import latest, trailing
 from pulsegrid.plans.staging import stage
 
 CSV_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -104,10 +105,11 @@ def historical_scan(
     sort: bool = True,
 ) -> DataFrame:
     """Parsed payloads of one type in the trailing hours, by time."""
-    from pulsegrid.functions.timewin import trailing
-
-    rows = trailing(snapshots.filter(F.col("metric_type") == metric_type), hours, as_of)
+    mine = snapshots.filter(F.col("metric_type") == metric_type)
+    as_of = as_of or latest(mine)
+    rows = trailing(mine, hours, as_of)
     if as_of is not None and "date" in snapshots.columns:
+        # Prunes the partitions of a table written by append_table.
         rows = rows.filter(F.col("date") >= F.lit((as_of - timedelta(hours=hours)).date()))
     out = rows.withColumn("payload", F.from_json("data", schema)).drop("data")
     return out.orderBy("timestamp") if sort else out
@@ -204,13 +206,28 @@ def table_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     return out
 
 
-def incremental_load(spark: SparkSession, source: DataFrame, path: str, ts: str = "timestamp") -> DataFrame:
-    """Append the rows newer than the table's newest row. Running it again adds nothing."""
+def incremental_load(
+    spark: SparkSession,
+    source: DataFrame,
+    path: str,
+    ts: str = "timestamp",
+    row_id: Sequence[str] | None = None,
+) -> DataFrame:
+    """Append the rows newer than the table's newest row. Running it again adds nothing.
+
+    With ``row_id``, rows of that newest instant that are not in the table yet are added too.
+    """
     fs, jvm = _filesystem(spark, path)
     watermark = None
     if fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
         watermark = spark.read.parquet(path).agg(F.max(ts)).first()[0]
-    fresh = source if watermark is None else source.filter(F.col(ts) > F.lit(watermark))
+    if watermark is None:
+        fresh = source
+    elif row_id is None:
+        fresh = source.filter(F.col(ts) > F.lit(watermark))
+    else:
+        loaded = spark.read.parquet(path).filter(F.col(ts) == F.lit(watermark)).select(*row_id)
+        fresh = source.filter(F.col(ts) >= F.lit(watermark)).join(loaded, list(row_id), "left_anti")
     append_table(fresh, path, ts)
     return spark.read.parquet(path)
 
