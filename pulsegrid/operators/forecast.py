@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timewin import trailing
 from pulsegrid.operators.timeseries import ORDER, SERIES, exponential_smoothing, ols, seconds, with_elapsed
-from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, last_n, numbered
+from pulsegrid.plans.ordering import POS, TOTAL, last_n, numbered
 from pulsegrid.plans.staging import stage
 
 # Capacity advice by resource, shown within 30 days of exhaustion.
@@ -84,13 +84,12 @@ def exp_smoothing_forecast(
     keys: Sequence[str] = SERIES,
     order: Sequence[str] = ORDER,
     value: str = "value",
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Flat forecast at the last smoothed value; bounds widen with the step (n >= 10).
 
     The residual std is the population std of value minus smoothed value, the first row left out.
     """
-    rows = exponential_smoothing(df, alpha, "_s", value, keys, order, block_rows, keep_position=True)
+    rows = exponential_smoothing(df, alpha, "_s", value, keys, order, keep_position=True)
     residual = F.when(F.col(POS) > 0, F.col(value) - F.col("_s"))
     agg = rows.groupBy(*keys).agg(
         F.count("*").alias("_rows"),

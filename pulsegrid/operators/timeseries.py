@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import calendar
@@ -64,13 +64,15 @@ def rolling_mean_std(
 
     def build(w: WindowSpec) -> dict[str, Column]:
         frame = w.rowsBetween(-(window - 1), 0)
-        full = F.count(value).over(frame) == window
         return {
-            "rolling_mean": F.when(full, F.avg(value).over(frame)),
-            "rolling_std": F.when(full, F.stddev_samp(value).over(frame)),
+            "_rows": F.count(value).over(frame),
+            "rolling_mean": F.avg(value).over(frame),
+            "rolling_std": F.stddev_samp(value).over(frame),
         }
 
-    return framed(df, build, window - 1, keys=keys, order=order, block_rows=block_rows)
+    out = framed(df, build, window - 1, keys=keys, order=order, block_rows=block_rows)
+    full = F.col("_rows") == window
+    return out.withColumns({c: F.when(full, F.col(c)) for c in ("rolling_mean", "rolling_std")}).drop("_rows")
 
 
 def lag_features(
@@ -314,7 +316,7 @@ def stationarity_df(
     return out.select(*keys, "n", "adf_statistic", *cols, "is_stationary")
 
 
-def smoothing_frame(alpha: float, tolerance: float = 1e-16) -> int:
+def smoothing_rows(alpha: float, tolerance: float = 1e-16) -> int:
     """Rows back after which a smoothing weight is below the tolerance."""
     return math.ceil(math.log(tolerance) / math.log(1 - alpha))
 
@@ -326,24 +328,27 @@ def exponential_smoothing(
     value: str = "value",
     keys: Sequence[str] = SERIES,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
     keep_position: bool = False,
 ) -> DataFrame:
     """s = alpha * value + (1 - alpha) * previous s, the first value as start.
 
-    The recursion is folded over a bounded frame whose left-out weight is below 1e-16, so a
-    series splits into independent blocks.
+    A series is cut into runs so long that a run forgets what came before the run ahead of it
+    (weight below 1e-16). Inside a run the recursion is a running sum of growing weights; the
+    run before enters through one aggregated number. Runs are independent of each other.
     """
-    back = smoothing_frame(alpha)
-
-    def build(w: WindowSpec) -> dict[str, Column]:
-        past = F.collect_list(value).over(w.rowsBetween(-back, 0))
-        folded = F.aggregate(
-            F.slice(past, 2, back), F.element_at(past, 1), lambda s, v: alpha * v + (1 - alpha) * s
-        )
-        return {out: folded}
-
-    result = with_frames(numbered(df, keys, order), keys, build, back, 0, POS, block_rows)
+    keys, length, keep = list(keys), smoothing_rows(alpha), 1 - alpha
+    rows = numbered(df, keys, order)
+    rows = rows.withColumn("_run", F.expr(f"{POS} div {length}")).withColumn("_i", F.col(POS) % length)
+    start = F.when(F.col(POS) == 0, 1.0).otherwise(alpha)
+    grown = F.col(value) * start * F.pow(F.lit(keep), -F.col("_i"))
+    carry = rows.groupBy(*keys, (F.col("_run") + 1).alias("_run")).agg(
+        (F.sum(grown) * keep ** (length - 1)).alias("_carry")
+    )
+    inside = Window.partitionBy(*keys, "_run").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
+    before = F.coalesce(F.col("_carry"), F.lit(0.0)) * keep
+    smoothed = F.pow(F.lit(keep), F.col("_i")) * (F.sum(grown).over(inside) + before)
+    result = rows.join(carry, [*keys, "_run"], "left").withColumn(out, smoothed)
+    result = result.select(*rows.columns, out).drop("_run", "_i")
     return result if keep_position else result.drop(POS, TOTAL)
 
 
@@ -352,7 +357,6 @@ def ema_latency(
     value: str = "processing_latency_ms",
     keys: Sequence[str] = ("source",),
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Exponential moving average with weight 0.1 on the new latency."""
-    return exponential_smoothing(df, 0.1, "ema", value, keys, order, block_rows)
+    return exponential_smoothing(df, 0.1, "ema", value, keys, order)

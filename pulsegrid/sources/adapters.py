@@ -118,9 +118,9 @@ def processes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snapshots_from_events(events: DataFrame) -> DataFrame:
     """JSON snapshot table; every tenth payload of key 7 is broken, disk keys vary."""
-    v = F.col("value").cast("string")
-    k = F.get_json_object("props", "$.k").cast("int")
-    kind = F.col("event_type")
+    # A column of its own, so that the key is parsed once per row.
+    events = events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    v, k, kind = F.col("value").cast("string"), F.col("_k"), F.col("event_type")
     usage = F.least(F.col("value"), F.lit(100.0)).cast("string")
     body = (
         F.when(k == 7, F.lit("{broken"))
@@ -251,7 +251,8 @@ def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_messages_from(events: DataFrame) -> DataFrame:
     """Messages of a named stream with a string map payload and a priority."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    events = events.withColumn("_k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("_k")
     return events.select(
         "event_id",
         F.concat(F.lit("host_"), (F.col("user_id") % 4).cast("string")).alias("stream_name"),

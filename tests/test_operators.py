@@ -127,7 +127,7 @@ def test_smoothing_equals_the_recursion(series):
     want = [v[0]]
     for x in v[1:]:
         want.append(0.3 * x + 0.7 * want[-1])
-    got = timeseries.exponential_smoothing(series(m=v), 0.3, block_rows=150).orderBy("timestamp").collect()
+    got = timeseries.exponential_smoothing(series(m=v), 0.3).orderBy("timestamp").collect()
     assert [r.smoothed for r in got] == pytest.approx(want, abs=1e-12)
 
 
