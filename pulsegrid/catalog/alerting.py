@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import sqlparts as S
-from pulsegrid.catalog.registry import Registry, rounded
+from pulsegrid.catalog.registry import Registry, r6, rounded
 from pulsegrid.catalog.sqlparts import r, with_
 from pulsegrid.functions.timewin import latest
 from pulsegrid.operators import alerts, anomaly, messages
@@ -64,7 +64,7 @@ SEV = "CASE WHEN score >= 0.9 THEN 'critical' WHEN score >= 0.7 THEN 'high' WHEN
 def composite_anomaly(spark, d):
     out = anomaly.composite_anomaly(_metrics(spark, d))
     return out.select(
-        "event_id", "metric_name", "value", F.round("expected_value", 6).alias("expected_value"),
+        "event_id", "metric_name", "value", r6("expected_value"),
         F.round("anomaly_score", 5).alias("anomaly_score"), "severity",
     )
 
@@ -370,7 +370,7 @@ FROM (SELECT sum(input_events) FILTER (WHERE NOT failed) AS ep, count(*) FILTER
 def stream_metrics(spark, d):
     e = A.stream_events(spark, d)
     out = messages.stream_metrics(A.result_log(spark, d), e, datetime(2024, 1, 1), latest(e))
-    return rounded(out, 9).withColumn("average_latency_ms", F.round("average_latency_ms", 6))
+    return rounded(out, 9).withColumn("average_latency_ms", r6("average_latency_ms"))
 
 
 @Q.add(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import sqlparts as S
-from pulsegrid.catalog.registry import Registry, joined_lists, rounded
+from pulsegrid.catalog.registry import Registry, joined_lists, r6, rounded
 from pulsegrid.catalog.sqlparts import K, r, with_
 from pulsegrid.functions import columns as C
 from pulsegrid.functions.timewin import between
@@ -208,7 +208,7 @@ def memory_ratio(spark, d):
     total = F.col("o_totalprice") + F.col("o_custkey") + 1
     o = A.table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") * 1e6).alias("used"), (total * 1e6).alias("total"))
     out = usage_ratio(o)
-    return out.select("o_orderkey", F.round("used_percent", 6).alias("used_percent"), F.round("total_gb", 4).alias("total_gb"))
+    return out.select("o_orderkey", r6("used_percent"), F.round("total_gb", 4).alias("total_gb"))
 
 
 def _fmt(i: int, unit: str) -> str:

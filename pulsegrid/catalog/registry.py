@@ -21,6 +21,11 @@ class Registry(dict):
         return wrap
 
 
+def r6(name: str):
+    """One column to 6 digits, as ``rounded`` does it."""
+    return F.round(F.col(name) + 1e-9, 6).alias(name)
+
+
 def rounded(df: DataFrame, digits: int | None = None) -> DataFrame:
     """Round every double column, so that sums in another order compare equal.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog import sqlparts as S
-from pulsegrid.catalog.registry import Registry, joined_lists, rounded
+from pulsegrid.catalog.registry import Registry, joined_lists, r6, rounded
 from pulsegrid.catalog.sqlparts import r, with_
 from pulsegrid.operators import forecast, outliers, timeseries
 from pulsegrid.sources import adapters as A
@@ -243,7 +243,7 @@ def linear_forecast(spark, d):
 )
 def linear_model_info(spark, d):
     out = forecast.linear_model_info(_metrics(spark, d))
-    return out.select("metric_name", F.round("r_squared", 9).alias("r_squared"), F.round("mse", 6).alias("mse"), F.round("mae", 6).alias("mae"))
+    return out.select("metric_name", F.round("r_squared", 9).alias("r_squared"), r6("mse"), r6("mae"))
 
 
 def _smooth(alpha: float, src: str, key: str, value: str) -> str:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from pulsegrid.catalog import sqlparts as S
 from pulsegrid.catalog.alerting import COMPOSITE, ENC, RULES, SEV, _cooldown_sql, _recursive
-from pulsegrid.catalog.registry import Registry, rounded
+from pulsegrid.catalog.registry import Registry, r6, rounded
+from pulsegrid.catalog.series import FIT
 from pulsegrid.catalog.sqlparts import K, r, with_
 from pulsegrid.operators import alerts
 from pulsegrid.plans.staging import stage_path
@@ -82,7 +83,7 @@ def stream_baseline_anomaly(spark, d):
     stateful.use_rocksdb(spark)
     out = jobs.drain(stateful.stream_baseline_anomaly(A.metrics_from_events(_source(spark, d))), "baseline")
     return out.select(
-        "event_id", "metric_name", "value", F.round(F.col("expected_value") + 1e-9, 6).alias("expected_value"),
+        "event_id", "metric_name", "value", r6("expected_value"),
         F.round("anomaly_score", 5).alias("anomaly_score"), "severity",
     )
 
@@ -107,7 +108,16 @@ def stream_delta(spark, d):
     return out.select("event_id", "stream_name", "type", *[F.col(f).alias(f"d_{f}") for f in fields])
 
 
-@Q.add("stream_short_horizon")
+@Q.add(
+    "stream_short_horizon",
+    with_(S.METRICS)
+    + """, tail AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY metric_name ORDER BY timestamp DESC, event_id DESC) AS rn FROM metrics_long) WHERE rn <= 100),
+"""
+    + FIT.format(k="metric_name", t="tail")
+    + f"SELECT metric_name, (SELECT max(timestamp) FROM tail t WHERE t.metric_name = fit.metric_name) AS timestamp, {r('b')} AS slope, "
+    + ", ".join(f"{r(f'a + b * (xmax + {60 * i})')} AS min_{i}" for i in range(1, 6))
+    + " FROM fit WHERE n >= 20",
+)
 def stream_short_horizon(spark, d):
     stateful.use_rocksdb(spark)
     out = stateful.stream_short_horizon(A.metrics_from_events(_source(spark, d)))

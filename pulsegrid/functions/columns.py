@@ -199,6 +199,14 @@ def json_map(text: Column) -> Column:
     return F.from_json(text, T.MapType(T.StringType(), T.StringType()))
 
 
+def with_json_map(df: DataFrame, text: str, out: str) -> DataFrame:
+    """Add the parsed object; rows with unparsable text drop.
+
+    explode makes the map a column of its own, so that no later filter parses the text again.
+    """
+    return df.withColumn(out, F.explode(F.array(json_map(F.col(text))))).filter(F.col(out).isNotNull())
+
+
 def map_number(record: Column, key: str, missing: float | None = None) -> Column:
     """A number under ``key``; ``missing`` if the key is absent, null if it is no number."""
     value = record.getItem(key).try_cast("double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.timewin import trailing
-from pulsegrid.operators.timeseries import ORDER, SERIES, exponential_smoothing, ols, seconds, with_elapsed
+from pulsegrid.operators.timeseries import ORDER, SERIES, exponential_smoothing, ols_time, seconds
 from pulsegrid.plans.ordering import POS, TOTAL, last_n, numbered
 from pulsegrid.plans.staging import stage
 
@@ -40,8 +40,7 @@ def _horizon(rows: DataFrame, periods: int) -> DataFrame:
 
 def linear_fit(df: DataFrame, keys: Sequence[str] = SERIES, value: str = "value", min_rows: int = 10) -> DataFrame:
     """Written fit per series: slope, intercept at the first row, r2, mse, mean step, end."""
-    elapsed = with_elapsed(df, keys)
-    fit = ols(elapsed, [*keys, "_t0"], F.col("_elapsed"), value).filter(F.col("n") >= min_rows)
+    fit = ols_time(df, keys, value).filter(F.col("n") >= min_rows)
     return stage(
         fit.withColumn("mse", F.col("sse") / F.col("n")).withColumn(
             "interval", (F.col("x_max") - F.col("x_min")) / (F.col("n") - 1)
@@ -214,15 +213,15 @@ def short_horizon_predict(
 
     Series that are constant (within the usual closeness tolerance) give no prediction.
     """
-    tail = stage(last_n(df, keys, order, window), "tail")
-    first = tail.groupBy(*keys).agg(
-        F.min_by(value, F.struct(*order)).alias("_v0"), F.min("timestamp").alias("_t0")
-    )
-    rows = tail.join(stage(first, "tail_starts"), list(keys))
-    rows = rows.withColumn("_elapsed", seconds("timestamp") - seconds("_t0"))
-    moved = F.abs(F.col(value) - F.col("_v0")) > 1e-8 + 1e-5 * F.abs("_v0")
-    varied = rows.groupBy(*keys).agg(F.bool_or(moved).alias("_varies")).filter("_varies").drop("_varies")
-    fit = ols(rows, keys, F.col("_elapsed"), value).filter(F.col("n") >= min_rows).join(varied, list(keys))
+    tail = last_n(df, keys, order, window)
+    aggs = [
+        F.min_by(value, F.struct(*order)).alias("_v0"),
+        F.max(value).alias("_high"),
+        F.min(value).alias("_low"),
+    ]
+    v0 = F.col("_v0")
+    moved = F.greatest(F.col("_high") - v0, v0 - F.col("_low")) > 1e-8 + 1e-5 * F.abs(v0)
+    fit = ols_time(tail, keys, value, aggs).filter((F.col("n") >= min_rows) & moved)
     slope = F.col("slope")
     preds = [
         (F.col("intercept") + slope * (F.col("x_max") + 60.0 * m)).alias(f"min_{m}")

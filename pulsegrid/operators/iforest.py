@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -189,6 +189,14 @@ def score_forest(
     return salted.groupBy(*keys, "_share").cogroup(copies.groupBy(*keys, "_share")).applyInPandas(score_share, schema)
 
 
+def save_forest(forest: DataFrame, path: str) -> None:
+    forest.write.mode("overwrite").parquet(path)
+
+
+def load_forest(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
 def isolation_forest(
     df: DataFrame,
     features: Sequence[str],

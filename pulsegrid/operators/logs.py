@@ -137,8 +137,9 @@ def quality_log_metrics(steps: DataFrame) -> DataFrame:
 
     ``steps`` has run_id, step_id, command and stdout.
     """
-    out = F.col("stdout")
-    lines, text = _lines(out), F.trim(out)
+    # The split text is a column of its own, so that each branch reads it once.
+    steps = steps.withColumn("_lines", F.explode(F.array(_lines(F.col("stdout")))))
+    lines, text = F.col("_lines"), F.trim("stdout")
     # Only a complete JSON value gives a result here; other texts give null.
     obj = F.from_json(text, T.StructType.fromDDL("results ARRAY<STRUCT<issue_severity: STRING>>"))
     results = obj.getField("results")
@@ -155,7 +156,8 @@ def quality_log_metrics(steps: DataFrame) -> DataFrame:
         .when(text.startswith("{") & results.isNotNull(), F.size(results).cast("double"))
         .otherwise(F.coalesce(listed, zero))
     )
-    passed, failed, skipped = (_tests(lines, w) for w in ("passed", "failed", "skipped"))
+    words = ("passed", "failed", "skipped")
+    counts = F.array(*[_tests(lines, w) for w in words])
 
     def metric(name: str, value: Column) -> Column:
         return F.struct(F.lit(name).alias("metric"), value.alias("value"))
@@ -175,11 +177,14 @@ def quality_log_metrics(steps: DataFrame) -> DataFrame:
         .when(command.contains("flake8"), F.array(metric("flake8_issues", flake8)))
         .when(
             command.contains("pytest"),
-            F.array(
-                metric("tests_passed", passed),
-                metric("tests_failed", failed),
-                metric("tests_skipped", skipped),
-                metric("tests_total", passed + failed + skipped),
+            F.flatten(
+                F.transform(
+                    F.array(counts),
+                    lambda c: F.array(
+                        *[metric(f"tests_{w}", c[i]) for i, w in enumerate(words)],
+                        metric("tests_total", c[0] + c[1] + c[2]),
+                    ),
+                )
             ),
         )
         .when(

@@ -40,7 +40,7 @@ def performance_clustering(wide: DataFrame, columns: Sequence[str], max_k: int =
     columns = list(columns)
     if len(columns) < 2:
         raise ValueError("clustering needs at least two metrics")
-    filled = wide.select(*columns).na.fill(0.0)
+    filled = stage(wide.select(*columns).na.fill(0.0), "clustering")
     # One row: means and population deviations of the metrics.
     moments = filled.agg(
         F.count("*").alias("n"),

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.columns import calendar
 from pulsegrid.functions.distributions import t_p_value
 from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, numbered, with_frames
-from pulsegrid.plans.staging import stage
 
 SERIES = ("metric_name",)
 ORDER = ("timestamp", "event_id")
@@ -25,6 +24,9 @@ GRANULARITY_STEPS = {"1min": 1, "5min": 5, "15min": 15, "1hour": 60}
 DEFAULT_STEP = 5
 UNSAMPLED_ROWS = 100
 
+# Epoch seconds near which regressions on time are taken.
+ORIGIN = 1_700_000_000
+
 
 def framed(
     df: DataFrame,
@@ -173,48 +175,59 @@ def bandwidth_trend(rates: DataFrame, minutes: float = 10, as_of=None, keys: Seq
     return rows.groupBy(*keys).agg(*aggs)
 
 
-def ols(df: DataFrame, keys: Sequence[str], x: Column, y: str = "value") -> DataFrame:
+def ols(df: DataFrame, keys: Sequence[str], x: Column, y: str = "value", also: Sequence[Column] = ()) -> DataFrame:
     """Least squares of y on x per key, in one map-side combined pass.
 
-    ``x`` should be centred near zero; raw epoch seconds lose the variance to rounding.
+    Spark's variances and covariances are updated around the running mean, so an offset of x
+    costs no precision. ``also`` adds aggregates to the same pass.
     """
-    fit = df.withColumn("_x", x).groupBy(*keys).agg(
-        F.count(y).alias("n"),
-        F.regr_slope(y, "_x").alias("slope"),
-        F.regr_intercept(y, "_x").alias("intercept"),
-        F.regr_r2(y, "_x").alias("r_squared"),
-        F.regr_sxx(y, "_x").alias("sxx"),
-        F.regr_sxy(y, "_x").alias("sxy"),
-        F.regr_syy(y, "_x").alias("syy"),
+    both = F.when(x.isNotNull() & F.col(y).isNotNull(), x)
+    fit = df.withColumn("_x", both).withColumn("_y", F.when(both.isNotNull(), F.col(y))).groupBy(*keys).agg(
+        F.count("_x").alias("n"),
+        F.avg("_x").alias("_mx"),
+        F.avg("_y").alias("_my"),
+        F.var_pop("_x").alias("_vx"),
+        F.var_pop("_y").alias("_vy"),
+        F.covar_pop("_x", "_y").alias("_c"),
         F.max("_x").alias("x_max"),
         F.min("_x").alias("x_min"),
+        *also,
     )
-    sse = F.greatest(F.lit(0.0), F.col("syy") - F.col("slope") * F.col("sxy"))
-    se = F.sqrt(sse / (F.col("n") - 2) / F.col("sxx"))
-    return fit.withColumn("sse", sse).withColumn("standard_error", se)
-
-
-def _start(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First timestamp of each series as a written table of one row per series."""
-    return stage(df.groupBy(*keys).agg(F.min("timestamp").alias("_t0")), "starts")
+    slope = F.col("_c") / F.nullif(F.col("_vx"), F.lit(0.0))
+    fit = fit.withColumn("slope", slope).withColumns(
+        {
+            "intercept": F.col("_my") - F.col("slope") * F.col("_mx"),
+            "sxx": F.col("n") * F.col("_vx"),
+            "syy": F.col("n") * F.col("_vy"),
+            "sse": F.greatest(F.lit(0.0), F.col("n") * (F.col("_vy") - F.col("slope") * F.col("_c"))),
+            "r_squared": F.when(F.col("_vy") == 0, 1.0).otherwise(
+                F.col("slope") * F.col("_c") / F.nullif(F.col("_vy"), F.lit(0.0))
+            ),
+        }
+    )
+    se = F.sqrt(F.try_divide(F.col("sse"), (F.col("n") - 2) * F.col("sxx")))
+    return fit.withColumn("standard_error", se).drop("_mx", "_my", "_vx", "_vy", "_c")
 
 
-def with_elapsed(df: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
-    """Seconds since the first row of the series, and that row's time."""
-    out = df.join(_start(df, keys), list(keys))
-    return out.withColumn("_elapsed", seconds("timestamp") - seconds("_t0"))
+def ols_time(
+    df: DataFrame, keys: Sequence[str] = SERIES, value: str = "value", also: Sequence[Column] = ()
+) -> DataFrame:
+    """Least squares on time, one pass: x counts seconds from the series' first row ``_t0``."""
+    fit = ols(df, keys, seconds("timestamp") - ORIGIN, value, [F.min("timestamp").alias("_t0"), *also])
+    return fit.withColumns(
+        {
+            "intercept": F.col("intercept") + F.col("slope") * F.col("x_min"),
+            "x_max": F.col("x_max") - F.col("x_min"),
+            "x_min": F.lit(0.0),
+        }
+    )
 
 
 def linear_trend(
     df: DataFrame, keys: Sequence[str] = SERIES, value: str = "value", p_value: bool = True
 ) -> DataFrame:
     """Slope per second, intercept at the epoch, fit quality, direction and strength (n >= 10)."""
-    fit = ols(
-        with_elapsed(df, keys).withColumn("_start", seconds("_t0")),
-        [*keys, "_start"],
-        F.col("_elapsed"),
-        value,
-    ).filter("n >= 10")
+    fit = ols_time(df, keys, value).filter("n >= 10")
     # A constant series explains nothing: r2 0, where SQL's regr_r2 says 1.
     constant = F.col("syy") == 0
     r2 = F.when(constant, 0.0).otherwise(F.col("r_squared"))
@@ -224,7 +237,7 @@ def linear_trend(
         *keys,
         "n",
         "slope",
-        (F.col("intercept") - slope * F.col("_start")).alias("intercept"),
+        (F.col("intercept") - slope * seconds("_t0")).alias("intercept"),
         r2.alias("r_squared"),
         "standard_error",
         F.when(slope > 0, "increasing").when(slope < 0, "decreasing").otherwise("flat").alias("direction"),

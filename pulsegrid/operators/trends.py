@@ -7,15 +7,13 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulsegrid.functions.columns import json_map, map_number
+from pulsegrid.functions.columns import json_map, map_number, with_json_map
 from pulsegrid.functions.timewin import latest, trailing
 
 
 def parse_snapshots(snapshots: DataFrame) -> DataFrame:
     """Add the payload as ``record``; rows with unparsable payloads are dropped."""
-    # explode keeps the parsed map as one column, so no later filter parses the text again.
-    parsed = snapshots.withColumn("record", F.explode(F.array(json_map(F.col("data")))))
-    return parsed.filter(F.col("record").isNotNull())
+    return with_json_map(snapshots, "data", "record")
 
 
 def swap_percent(record: Column) -> Column:

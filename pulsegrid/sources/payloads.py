@@ -100,15 +100,17 @@ def battery_hours(records: DataFrame, payload: str = "payload") -> DataFrame:
 
 def device_status_latest(polls: DataFrame, order: str = "event_id", payload: str = "payload") -> DataFrame:
     """Last known state of each device: a poll without payload means offline."""
-    rec = json_map(F.col(payload))
-    up = rec.isNotNull()
-    state = F.struct(
-        F.col("device_type"),
-        F.when(up, "online").otherwise("offline").alias("status"),
-        F.col("timestamp").alias("last_seen"),
+    newest = F.max_by(F.struct("device_type", "timestamp", payload), F.struct("timestamp", order))
+    last = polls.groupBy("device_id").agg(newest.alias("s"))
+    # Only the winning payload of each device is parsed.
+    last = last.withColumn("rec", F.explode(F.array(json_map(F.col(f"s.{payload}")))))
+    rec = F.col("rec")
+    return last.select(
+        "device_id",
+        "s.device_type",
+        F.when(rec.isNotNull(), "online").otherwise("offline").alias("status"),
+        F.col("s.timestamp").alias("last_seen"),
         rec.getItem("battery_level").try_cast("double").alias("battery_level"),
         rec.getItem("signal_strength").try_cast("double").alias("signal_strength"),
         rec.getItem("firmware_version").alias("firmware_version"),
     )
-    newest = F.max_by(state, F.struct("timestamp", order))
-    return polls.groupBy("device_id").agg(newest.alias("s")).select("device_id", "s.*")

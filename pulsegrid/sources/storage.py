@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.functions.columns import json_map, map_number
+from pulsegrid.functions.columns import json_map, map_number, with_json_map
 from pulsegrid.functions.timewin import latest, trailing
 from pulsegrid.plans.staging import stage
 
@@ -259,9 +259,8 @@ def export_wide(snapshots: DataFrame, order: str = "event_id") -> DataFrame:
 
     The first snapshot of a type at a timestamp counts; total memory is in GiB to 2 decimals.
     """
-    rec, kind = json_map(F.col("data")), F.col("metric_type")
-    rows = snapshots.filter(kind.isin("cpu", "memory", "network")).withColumn("rec", rec)
-    rows = rows.filter(F.col("rec").isNotNull())
+    kind = F.col("metric_type")
+    rows = with_json_map(snapshots.filter(kind.isin("cpu", "memory", "network")), "data", "rec")
 
     def first(metric: str, key: str) -> Column:
         mine = kind == metric

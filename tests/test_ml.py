@@ -44,7 +44,9 @@ def test_large_series_use_one_tree_per_row(spark):
 
 
 def test_both_scoring_paths_agree(planted):
-    forest = iforest.train_forest(planted, ["x", "y"], row_id=["row"], trees=10)
+    path = stage_path(planted.sparkSession, "forest")
+    iforest.save_forest(iforest.train_forest(planted, ["x", "y"], row_id=["row"], trees=10), path)
+    forest = iforest.load_forest(planted.sparkSession, path)
     shared = {r.row: r.score for r in iforest.score_forest(planted, forest, ["x", "y"], row_id=["row"]).collect()}
     grouped = iforest.score_forest(planted, forest, ["x", "y"], row_id=["row"], broadcast_trees=0)
     got = {r.row: r.score for r in grouped.collect()}
