@@ -16,7 +16,7 @@ from pulsegrid.functions.columns import (
 )
 from pulsegrid.functions.timewin import trailing
 from pulsegrid.operators.timeseries import ORDER, SERIES, framed
-from pulsegrid.plans.ordering import BLOCK_ROWS, last_n
+from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, last_n, numbered, with_sliding_moments
 
 WINDOW = 100
 MIN_SAMPLES = 50
@@ -113,28 +113,21 @@ def composite_anomaly(
 
     The window of the last samples includes the row itself; scoring starts at ``min_samples``.
     """
-
-    def build(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(-(window - 1), 0)
-        return {
-            "expected_value": F.avg("value").over(frame),
-            "_std": F.stddev_pop("value").over(frame),
-            "_samples": F.count("value").over(frame),
-        }
-
-    rows = framed(df, build, window - 1, keys=keys, order=order, block_rows=block_rows)
-    z = F.abs((F.col("value") - F.col("expected_value")) / F.nullif(F.col("_std"), F.lit(0.0)))
+    rows = with_sliding_moments(numbered(df, keys, order), keys, "value", window, POS, block_rows)
+    std = F.sqrt(F.try_divide("_sq", "_sn"))
+    z = F.abs((F.col("value") - F.col("_sm")) / F.nullif(std, F.lit(0.0)))
     parts = [
         F.coalesce(F.least(z / 3.0, F.lit(1.0)), F.lit(0.0)),
         threshold_score(F.col("metric_name"), F.col("value")),
     ]
     if ml_score:
         parts.append(F.coalesce(F.col(ml_score), F.lit(0.0)))
-    out = rows.filter(F.col("_samples") >= min_samples).withColumn("anomaly_score", F.greatest(*parts))
+    out = rows.filter(F.col("_sn") >= min_samples).withColumn("anomaly_score", F.greatest(*parts))
     return (
         out.filter(F.col("anomaly_score") > limit)
         .withColumn("severity", severity_of_score(F.col("anomaly_score")))
-        .drop("_std", "_samples")
+        .withColumnRenamed("_sm", "expected_value")
+        .drop("_sn", "_sq", POS, TOTAL)
     )
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import calendar
 from pulsegrid.functions.distributions import t_p_value
-from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, numbered, with_frames
+from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, numbered, with_frames, with_sliding_moments
 
 SERIES = ("metric_name",)
 ORDER = ("timestamp", "event_id")
@@ -64,17 +64,14 @@ def rolling_mean_std(
 ) -> DataFrame:
     """Rolling mean and sample std; null until the window is full."""
 
-    def build(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(-(window - 1), 0)
-        return {
-            "_rows": F.count(value).over(frame),
-            "rolling_mean": F.avg(value).over(frame),
-            "rolling_std": F.stddev_samp(value).over(frame),
+    out = with_sliding_moments(numbered(df, keys, order), keys, value, window, POS, block_rows)
+    full = F.col("_sn") == window
+    return out.withColumns(
+        {
+            "rolling_mean": F.when(full, F.col("_sm")),
+            "rolling_std": F.when(full, F.sqrt(F.col("_sq") / (window - 1))),
         }
-
-    out = framed(df, build, window - 1, keys=keys, order=order, block_rows=block_rows)
-    full = F.col("_rows") == window
-    return out.withColumns({c: F.when(full, F.col(c)) for c in ("rolling_mean", "rolling_std")}).drop("_rows")
+    ).drop("_sn", "_sm", "_sq", POS, TOTAL)
 
 
 def lag_features(

@@ -72,6 +72,17 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return with_position(df, keys, order, POS, TOTAL)
 
 
+def _blocks(
+    positioned: DataFrame, before: int, after: int, pos: str, block_rows: int
+) -> tuple[DataFrame, Column]:
+    """Rows in every block whose frames reach them, and the condition for a row's own block."""
+    size = max(block_rows, before + after, 1)
+    first = F.expr(f"greatest(0, ({pos} - {after}) div {size})")
+    last = F.expr(f"({pos} + {before}) div {size}")
+    spread = positioned.withColumn("_block", F.explode(F.sequence(first, last)))
+    return spread, F.col("_block") == F.expr(f"{pos} div {size}")
+
+
 def with_frames(
     positioned: DataFrame,
     keys: Sequence[str],
@@ -85,18 +96,64 @@ def with_frames(
 
     ``build`` gets the ordered window of one block and returns the columns to add.
     """
-    size = max(block_rows, before + after, 1)
-    own = F.expr(f"{pos} div {size}")
-    first = F.expr(f"greatest(0, ({pos} - {after}) div {size})")
-    last = F.expr(f"({pos} + {before}) div {size}")
-    spread = positioned.withColumn("_block", F.explode(F.sequence(first, last)))
+    spread, own = _blocks(positioned, before, after, pos, block_rows)
     window = Window.partitionBy(*keys, "_block").orderBy(pos)
     added = build(window)
     taken = set(added) & set(positioned.columns)
     if taken:
         raise ValueError(f"frame columns exist already: {sorted(taken)}")
     framed = spread.select("*", *[c.alias(n) for n, c in added.items()])
-    return framed.filter(F.col("_block") == own).drop("_block")
+    return framed.filter(own).drop("_block")
+
+
+def with_sliding_moments(
+    positioned: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    rows: int,
+    pos: str = "pos",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Add n, mean and m2 (sum of squared deviations) of the last ``rows`` rows as
+    ``_sn``, ``_sm`` and ``_sq``.
+
+    A plain sliding frame visits ``rows`` rows for each row. Here a series is cut into runs of
+    that length: each frame is the end of one run and the start of the next, both of which are
+    running aggregates, and the two are merged. A constant frame has m2 exactly 0.
+    """
+    spread, own = _blocks(positioned, rows - 1, 0, pos, block_rows)
+    spread = spread.withColumn("_run", F.expr(f"{pos} div {rows}"))
+    run = Window.partitionBy(*keys, "_block", "_run")
+    start = run.orderBy(F.col(pos).asc()).rowsBetween(Window.unboundedPreceding, 0)
+    end = run.orderBy(F.col(pos).desc()).rowsBetween(Window.unboundedPreceding, 0)
+    # Ordered like the runs, so that each direction needs one sort.
+    block = Window.partitionBy(*keys, "_block")
+    line = block.orderBy("_run", pos)
+    whole_block = block.orderBy("_run", F.col(pos).desc()).rowsBetween(
+        Window.unboundedPreceding, Window.unboundedFollowing
+    )
+    # Values relative to one of the block: a constant series becomes zeros.
+    spread = spread.withColumn("_pivot", F.first(value, ignorenulls=True).over(whole_block))
+    spread = spread.withColumn("_d", F.col(value) - F.col("_pivot"))
+    moments = {"n": F.count("_d"), "m": F.avg("_d"), "v": F.var_pop("_d")}
+    out = spread.select("*", *[c.over(end).alias(f"_e{k}") for k, c in moments.items()])
+    out = out.select("*", *[c.over(start).alias(f"_b{k}") for k, c in moments.items()])
+    # The end of the run before, from this frame's first row on; none where the run is whole.
+    whole = F.col(pos) % rows == rows - 1
+    ahead = [F.when(~whole, F.lag(f"_e{k}", rows - 1).over(line)).alias(f"_a{k}") for k in moments]
+    out = out.select("*", *ahead).filter(own)
+    zero = F.lit(0.0)
+    na, nb = F.coalesce("_an", F.lit(0)), F.col("_bn")
+    n = na + nb
+    ma, mb = F.coalesce("_am", "_bm"), F.coalesce("_bm", "_am")
+    shift = ma - mb
+    qa, qb = F.coalesce(F.col("_av") * na, zero), F.coalesce(F.col("_bv") * nb, zero)
+    added = {
+        "_sn": n,
+        "_sm": F.col("_pivot") + mb + shift * F.try_divide(na, n),
+        "_sq": qa + qb + shift * shift * F.try_divide(na * nb, n),
+    }
+    return out.select(*positioned.columns, *[c.alias(k) for k, c in added.items()])
 
 
 def last_n(

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pulsegrid.plans.ordering import last_n, numbered, with_frames, with_position
+from pulsegrid.plans.ordering import last_n, numbered, with_frames, with_position, with_sliding_moments
 from pulsegrid.plans.quantiles import group_quantiles
 
 
@@ -70,6 +70,26 @@ def test_frames_cross_blocks(skewed, block):
     assert both.filter(wrong).count() == 0
 
 
+@pytest.mark.parametrize("rows, block", [(1, 5), (2, 7), (30, 31), (30, 10_000), (100, 64)])
+def test_sliding_moments_equal_frames(skewed, rows, block):
+    df = skewed.withColumn("v", F.when(F.col("id") % 11 != 0, F.col("v")))
+    placed = with_position(df, ["k"], ["t", "id"])
+    got = with_sliding_moments(placed, ["k"], "v", rows, block_rows=block)
+    w = Window.partitionBy("k").orderBy("t", "id").rowsBetween(1 - rows, 0)
+    want = df.select(
+        "id", F.count("v").over(w).alias("n"), F.avg("v").over(w).alias("m"), F.var_pop("v").over(w).alias("q")
+    )
+    both = got.join(want, "id")
+    assert both.count() == 3000 and both.filter("_sn != n").count() == 0
+    filled = both.filter("n > 0")
+    assert filled.filter("abs(_sm - m) > 1e-9 or abs(_sq / n - q) > 1e-9 or _sm is null").count() == 0
+
+
+def test_constant_frames_have_no_spread(spark):
+    df = spark.range(500).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.lit(0.1).alias("v"))
+    assert with_sliding_moments(df, ["k"], "v", 37, block_rows=50).filter("_sq != 0").count() == 0
+
+
 @pytest.mark.parametrize("small_rows", [0, 1_000_000])
 def test_quantiles_equal_numpy(spark, skewed, small_rows):
     probs = [0.0, 0.05, 0.25, 0.5, 0.95, 0.99, 1.0]
