@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import compare
 from pulsegrid.functions.timewin import trailing
-from pulsegrid.plans.ordering import BLOCK_ROWS, with_position
+from pulsegrid.plans.ordering import CARRY_BLOCK_ROWS, with_position
 from pulsegrid.plans.staging import stage
 
 # Name, metric, condition, threshold, severity, cooldown minutes.
@@ -131,7 +131,7 @@ def alert_cooldown(
     breaches: DataFrame,
     keys: Sequence[str] = ("rule", "source"),
     order: Sequence[str] = ("timestamp", "event_id"),
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = CARRY_BLOCK_ROWS,
 ) -> DataFrame:
     """Breaches that fire: the first of each series, then the first at least a cooldown later.
 

@@ -16,7 +16,7 @@ from pulsegrid.functions.columns import (
 )
 from pulsegrid.functions.timewin import trailing
 from pulsegrid.operators.timeseries import ORDER, SERIES, framed
-from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, last_n, numbered, with_sliding_moments
+from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, last_n, numbered, with_computed, with_sliding_moments
 
 WINDOW = 100
 MIN_SAMPLES = 50
@@ -122,7 +122,7 @@ def composite_anomaly(
     ]
     if ml_score:
         parts.append(F.coalesce(F.col(ml_score), F.lit(0.0)))
-    out = rows.filter(F.col("_sn") >= min_samples).withColumn("anomaly_score", F.greatest(*parts))
+    out = with_computed(rows.filter(F.col("_sn") >= min_samples), {"anomaly_score": F.greatest(*parts)})
     return (
         out.filter(F.col("anomaly_score") > limit)
         .withColumn("severity", severity_of_score(F.col("anomaly_score")))

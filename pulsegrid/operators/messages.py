@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.timeseries import framed
-from pulsegrid.plans.ordering import BLOCK_ROWS, last_n, with_position
+from pulsegrid.plans.ordering import BLOCK_ROWS, CARRY_BLOCK_ROWS, last_n, with_position
 from pulsegrid.plans.quantiles import group_quantiles
 from pulsegrid.plans.staging import stage
 
@@ -78,7 +78,7 @@ def delta_decode(
     fields: Sequence[str],
     keys: Sequence[str] = STREAM,
     order: Sequence[str] = ORDER,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = CARRY_BLOCK_ROWS,
 ) -> DataFrame:
     """Payload fields at every message, rebuilt from the deltas since the last full one.
 

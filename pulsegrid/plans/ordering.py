@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 
 from pulsegrid.plans.staging import stage
 
-BLOCK_ROWS = 250_000
+# Rows per block: with its halo a block stays below the 4096 rows that Spark's window operator
+# keeps in memory before it turns to its spilling buffer.
+BLOCK_ROWS = 3_500
+
+# Rows per block where a block hands one row of state on to the next.
+CARRY_BLOCK_ROWS = 250_000
+
 POS, TOTAL = "_series_pos", "_series_rows"
 
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition above bit 33
@@ -72,6 +78,17 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFr
     return with_position(df, keys, order, POS, TOTAL)
 
 
+def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that later steps refer to by name.
+
+    The optimizer copies the expression of a plain added column into every later filter and
+    projection; with long expressions the generated code then grows past what the JIT compiles.
+    A generator of one row keeps each value computed once.
+    """
+    one = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    return df.select("*", F.inline(one))
+
+
 def _blocks(
     positioned: DataFrame, before: int, after: int, pos: str, block_rows: int
 ) -> tuple[DataFrame, Column]:
@@ -153,7 +170,7 @@ def with_sliding_moments(
         "_sm": F.col("_pivot") + mb + shift * F.try_divide(na, n),
         "_sq": qa + qb + shift * shift * F.try_divide(na * nb, n),
     }
-    return out.select(*positioned.columns, *[c.alias(k) for k, c in added.items()])
+    return with_computed(out, added).select(*positioned.columns, *added)
 
 
 def last_n(
