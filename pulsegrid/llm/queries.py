@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import Registry
-from pulsegrid.llm import langid, packing, token_counts, toxicity
+from pulsegrid.llm import langid, packing, quality, resampling, token_counts, toxicity
 from pulsegrid.llm.common import bucket_of, read
+from pulsegrid.plans.staging import stage
 
 Q = Registry()
 
@@ -30,6 +31,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents")))
 
 
+@Q.add("op5_importance_resampling")
+def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance weight of every document and whether the sample has it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    target = resampling.target_rows(docs, read(spark, sf_dir, "labels"))
+    ratio = resampling.log_ratio(resampling.gram_counts(target), resampling.gram_counts(docs))
+    return resampling.resample(resampling.weigh(docs, ratio))
+
+
 @Q.add("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned outside the held-out quarter."""
@@ -47,3 +57,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs)
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
+
+
+@Q.add("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures of every document and the verdict of the weighted rules."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    voted = stage(quality.votes(quality.measures(docs)), "quality-votes")
+    base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    return quality.judge(voted).select("doc_id", *base, "kept", "quality")

@@ -33,8 +33,8 @@ from pulsegrid.plans.staging import stage
 
 SAMPLE = 20_000  # labelled rows per class
 LEAST_PREFIX = 4  # letters of a word beginning
-LEAST_RATIO = 3.0  # log ratio from which a word is an entry
-LEAST_Z = 2.4  # log ratio in standard errors
+LEAST_RATIO = 2.0  # log ratio from which a word is an entry
+LEAST_Z = 2.6  # log ratio in standard errors
 
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = dict(
@@ -89,7 +89,6 @@ class Lexicon:
     weights: dict[str, float] = field(default_factory=dict)
     exceptions: list[str] = field(default_factory=list)
     curve: tuple[float, ...] = (-4.0, 0.0, 0.0)
-    least: float = 1.0  # sums below one smallest weight count as none
 
     def automaton(self):
         import ahocorasick
@@ -132,7 +131,7 @@ class Lexicon:
         return 1.0 / (1.0 + np.exp(-np.clip(a + b * x[:, 0] + c * x[:, 1], -40, 40)))
 
 
-def _counted(kind: str, wanted: set[str] | None = None):
+def _counted(wanted: set[str] | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         for batch in batches:
@@ -154,26 +153,39 @@ def _pairs(counts: Counter) -> pa.RecordBatch:
 
 
 def _frequencies(rows: DataFrame, least: int, wanted=None) -> dict[str, int]:
-    parts = rows.select("text").mapInArrow(_counted("features", wanted), "feature string, n long")
+    parts = rows.select("text").mapInArrow(_counted(wanted), "feature string, n long")
     total = parts.groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return {r["feature"]: r["n"] for r in total.collect()}
 
 
 def _choose(n1: dict[str, int], n0: dict[str, int], docs1: int, docs0: int) -> dict[str, float]:
-    """Entries with their weights; a word goes where a beginning of it is an entry as good."""
+    """Entries with their weights. Strongest first; a word goes where a beginning of it is an
+    entry as good, and a beginning counts only what its entries so far do not explain."""
+
+    def rate(a: int, b: int) -> tuple[float, float]:
+        ratio = np.log((a + 0.5) / (docs1 + 1)) - np.log((b + 0.5) / (docs0 + 1))
+        return float(ratio), float(ratio / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5)))
+
     rated = []
     for f, a in n1.items():
-        b = n0.get(f, 0)
-        ratio = np.log((a + 0.5) / (docs1 + 1)) - np.log((b + 0.5) / (docs0 + 1))
-        z = ratio / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+        ratio, z = rate(a, n0.get(f, 0))
         if ratio >= LEAST_RATIO and z >= LEAST_Z:
-            rated.append((-float(ratio * np.sqrt(a)), len(f), f, float(ratio)))
+            rated.append((-ratio * a**0.5, len(f), f, ratio))
     chosen: dict[str, float] = {}
+    explained: dict[str, tuple[int, int]] = {}
     for _, _, f, ratio in sorted(rated):
         stem = f.rstrip()
         starts = [stem[:n] for n in range(LEAST_PREFIX + 1, len(stem) + 1)]
-        if not any(s in chosen for s in starts):
-            chosen[f] = ratio
+        if any(s in chosen for s in starts):
+            continue
+        a, b = explained.get(f, (0, 0))
+        left = rate(max(0, n1[f] - a), max(0, n0.get(f, 0) - b))
+        if left[0] < LEAST_RATIO or left[1] < LEAST_Z:
+            continue
+        chosen[f] = ratio
+        for s in starts:
+            x, y = explained.get(s, (0, 0))
+            explained[s] = (x + n1[f], y + n0.get(f, 0))
     return chosen
 
 
@@ -188,10 +200,12 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Lexicon:
     size = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not (size.get(0) and size.get(1)):
         return Lexicon()
-    bad, good = rows.filter("toxic = 1"), rows.filter("toxic = 0")
-    n1 = _frequencies(bad, max(3, size[1] // 500))
-    n0 = _frequencies(good, 1, set(n1))
-    lexicon = Lexicon(_choose(n1, n0, size[1], size[0]))
+    # Copies of a text say nothing new about a word.
+    once = stage(rows.dropDuplicates(["text", "toxic"]), "toxic-once")
+    kinds = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n1 = _frequencies(once.filter("toxic = 1"), max(3, kinds[1] // 500))
+    n0 = _frequencies(once.filter("toxic = 0"), 1, set(n1))
+    lexicon = Lexicon(_choose(n1, n0, kinds[1], kinds[0]))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
