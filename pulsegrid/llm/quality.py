@@ -2,9 +2,10 @@
 
 Each rule looks at one property of a text and votes good, bad or abstains. How reliable a rule
 is follows from how it agrees with the others over the whole corpus: expectation-maximisation
-estimates each rule's votes for good and for bad texts and the share of good texts, and every
-text gets the posterior probability of being good from its votes. That probability decides,
-not a conjunction of rules.
+estimates each rule's votes for good texts and for the kinds of bad texts (one kind per defect,
+since a text with one defect need not have the others) and the share of each, and every text
+gets the posterior probability of being good from its votes. That probability decides, not a
+conjunction of rules.
 
 Only built-in column functions see the rows. Votes of all texts are counted by pattern (three
 values a rule, so a bounded number of patterns), the estimation runs on those counts, and the
@@ -28,6 +29,7 @@ LEAST_WORDS = 50
 MOST_REPEATED = 0.5
 KEEP_FROM = 0.5
 ROUNDS = 60
+MOST_FALSE = 0.01  # share of good texts that a rule may call bad
 
 # Characters \x20 and \x09-\x0D separate words; spelled out for Java's expressions.
 _BREAK = r"[\x20\x09-\x0D]+"
@@ -37,7 +39,7 @@ _WORD = r"[^\x20\x09-\x0D]"
 #: most rules vote bad or abstain; the last three can vote good. None: no such vote.
 RULES = {
     "symbols": ("symbols_per_word", 0.10, None),
-    "lines": ("dup_line_share", 0.30, None),
+    "lines": ("dup_line_share", 0.60, None),
     "repeats": ("repeat_share", 0.30, None),
     "capitals": ("capital_share", 0.40, None),
     "exclaims": ("exclaims_per_word", 0.20, None),
@@ -153,40 +155,54 @@ def votes(measured: DataFrame) -> DataFrame:
 def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     """Posterior probability of good for each vote pattern.
 
-    Votes are independent given the truth. Every rule has a probability of each vote for good
-    and for bad texts, learned with pseudo-counts that say a rule is right more often than
-    not, which also fixes which of the two classes is the good one."""
+    A text is good or has one main defect; given which, votes are independent. Every class has
+    a probability of each vote of each rule, learned with pseudo-counts that say a rule is
+    right more often than not, which also fixes what the classes mean."""
     patterns = list(counts)
     if not patterns:
         return {}
-    m = len(patterns[0])
-    # Start: a vote of bad makes bad likely, whatever the others say.
-    post = {p: 0.05 if "-" in p else 0.9 if "+" in p else 0.7 for p in patterns}
+    rules = list(RULES.values())
+    kinds = [j for j, (_, bad, _) in enumerate(rules) if bad is not None]
+    # Start: a vote of bad makes the defects that were voted for likely, whatever others say.
+    post: dict[str, list[float]] = {}
+    for p in patterns:
+        voted = [j for j in kinds if p[j] == "-"]
+        good = 0.05 if voted else 0.95
+        share = {j: (1 - good) / len(voted or kinds) for j in (voted or kinds)}
+        post[p] = [good] + [share.get(j, 0.0) for j in kinds]
     total = sum(counts.values())
     # Pseudo-counts in proportion to the corpus, so that they mean the same at any size.
-    right, wrong, none = 0.004 * total, 0.0004 * total, 0.004 * total
+    unit = 0.001 * total
     for _ in range(rounds):
-        share = sum(counts[p] * post[p] for p in patterns)
-        pi = (share + 0.01 * total) / (1.02 * total)
-        like: list[tuple[dict[str, float], dict[str, float]]] = []
-        for j in range(m):
-            g = {"+": right, "-": wrong, "0": none}
-            b = {"+": wrong, "-": right, "0": none}
-            for p in patterns:
-                g[p[j]] += counts[p] * post[p]
-                b[p[j]] += counts[p] * (1 - post[p])
-            sg, sb = sum(g.values()), sum(b.values())
-            like.append(({k: v / sg for k, v in g.items()}, {k: v / sb for k, v in b.items()}))
-        new = {}
+        weights, like = [], []
+        for c in range(len(kinds) + 1):
+            mass = sum(counts[p] * post[p][c] for p in patterns)
+            weights.append(math.log((mass + unit) / (total + unit * (len(kinds) + 1))))
+            row = []
+            for j in range(len(rules)):
+                right = c > 0 and kinds[c - 1] == j  # the rule of this defect
+                t = {"-": unit if right else 0.2 * unit, "0": 0.2 * unit if right else unit, "+": 0.5 * unit}
+                if c == 0:
+                    t = {"-": 0.2 * unit, "0": 2 * unit, "+": 2 * unit}
+                for p in patterns:
+                    t[p[j]] += counts[p] * post[p][c]
+                s = sum(t.values())
+                if c == 0 and t["-"] > MOST_FALSE * s:
+                    scale = (1 - MOST_FALSE) * s / (s - t["-"])
+                    t = {"-": MOST_FALSE * s, "0": t["0"] * scale, "+": t["+"] * scale}
+                row.append({k: math.log(v / s) for k, v in t.items()})
+            like.append(row)
+        moved = 0.0
         for p in patterns:
-            a = math.log(pi) + sum(math.log(like[j][0][p[j]]) for j in range(m))
-            c = math.log(1 - pi) + sum(math.log(like[j][1][p[j]]) for j in range(m))
-            new[p] = 1.0 / (1.0 + math.exp(min(700.0, c - a)))
-        moved = max(abs(new[p] - post[p]) for p in patterns)
-        post = new
+            logs = [w + sum(r[j][p[j]] for j in range(len(rules))) for w, r in zip(weights, like)]
+            top = max(logs)
+            odds = [math.exp(x - top) for x in logs]
+            new = [x / sum(odds) for x in odds]
+            moved = max(moved, abs(new[0] - post[p][0]))
+            post[p] = new
         if moved < 1e-9:
             break
-    return post
+    return {p: x[0] for p, x in post.items()}
 
 
 def judge(voted: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import Registry
-from pulsegrid.llm import langid, packing, quality, resampling, token_counts, toxicity
+from pulsegrid.llm import langid, packing, pstable, quality, resampling, token_counts, toxicity
 from pulsegrid.llm.common import bucket_of, read
 from pulsegrid.plans.staging import stage
 
@@ -40,6 +40,12 @@ def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(resampling.weigh(docs, ratio))
 
 
+@Q.add("op6_embedding_near_dedup")
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.98 or more between vectors of a label, and their components."""
+    return pstable.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 @Q.add("op7_language_id")
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document; learned outside the held-out quarter."""
