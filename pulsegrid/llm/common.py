@@ -153,9 +153,15 @@ def ngrams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def sorted_sample(df: DataFrame, by: Sequence[str], n: int, seed: int) -> DataFrame:
-    """At most ``n`` rows of each value of ``by``, chosen by a hash of ``doc_id``. Each task
-    sends at most n rows of a value (window group limit)."""
+    """At most ``n`` rows of each value of ``by`` (few values), those with the smallest hashes
+    of ``doc_id``. Values are counted first, so that only rows whose hash can be among the n
+    smallest (six standard deviations to spare) are sorted at all."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*by).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+    counts = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    h = F.xxhash64("doc_id", F.lit(seed))
+    likely = F.lit(float(n + 6 * n**0.5 + 20)) / F.col("_n")
+    near = df.withColumn("_h", h).join(F.broadcast(counts), list(by))
+    near = near.filter(F.shiftrightunsigned("_h", 11) < likely * F.lit(2.0**53)).drop("_n")
+    w = Window.partitionBy(*by).orderBy("_h", "doc_id")
+    return near.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn", "_h")

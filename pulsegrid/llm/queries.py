@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import Registry
-from pulsegrid.llm import langid, packing, pstable, quality, resampling, token_counts, toxicity
+from pulsegrid.llm import langid, minhash, packing, pstable, quality, resampling, token_counts, toxicity
 from pulsegrid.llm.common import bucket_of, read
 from pulsegrid.plans.staging import stage
 
@@ -65,6 +65,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@Q.add("op9_minhash_near_dedup")
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near-duplicates of every document (five words, weighted similarity 0.8)."""
+    return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @Q.add("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures of every document and the verdict of the weighted rules."""
