@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import Registry
-from pulsegrid.llm import langid, minhash, packing, pstable, quality, resampling, token_counts, toxicity
+from pulsegrid.llm import langid, minhash, packing, pstable, quality, resampling, suffixes, token_counts, toxicity
 from pulsegrid.llm.common import bucket_of, read
 from pulsegrid.plans.staging import stage
 
@@ -31,6 +31,13 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(read(spark, sf_dir, "documents")))
 
 
+@Q.add("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document outside strings of 100 bytes that also start earlier."""
+    cut = suffixes.remove_repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.drop("text")
+
+
 @Q.add("op5_importance_resampling")
 def op5_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Importance weight of every document and whether the sample has it."""
