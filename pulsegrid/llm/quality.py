@@ -215,3 +215,16 @@ def judge(voted: DataFrame) -> DataFrame:
     joined = voted.join(F.broadcast(table), "pattern", "left")
     kept = ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)
     return joined.withColumn("kept", kept).drop("pattern")
+
+
+def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Rows of ``docs`` that the rules keep, with all their columns.
+
+    Two scans and no shuffle of texts: the first counts vote patterns, the second computes each
+    row's pattern again and keeps it by the pattern's posterior."""
+    copied = docs.withColumn("_whole", F.col(text))
+    voted = votes(measures(copied, text))
+    counts = {r["pattern"]: r["n"] for r in votes(measures(docs.select(text), text)).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    good = [p for p, q in estimate(counts).items() if q >= KEEP_FROM]
+    kept = voted.filter(~F.col("base_failed") & F.col("pattern").isin(good))
+    return kept.select(*[F.col("_whole").alias(c) if c == text else F.col(c) for c in docs.columns])

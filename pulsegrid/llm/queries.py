@@ -6,13 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import Registry
-from pulsegrid.llm import langid, minhash, packing, pstable, quality, resampling, suffixes, token_counts, toxicity
+from pulsegrid.llm import langid, minhash, packing, pstable, quality, resampling, segmentations, suffixes, token_counts, toxicity
 from pulsegrid.llm.common import bucket_of, read
 from pulsegrid.plans.staging import stage
 
 Q = Registry()
 
 
+@Q.add("op1_sampled_segmentations")
+def op1_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two distinct sampled segmentations of every document, and whether they decode to it."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    ways = segmentations.decode(segmentations.encode_samples(docs))
+    return ways.select(
+        "doc_id",
+        "sample",
+        F.size("ids").cast("long").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        F.xxhash64("decoded").alias("decoded_hash"),
+        "log_prob",
+        "log_inclusion",
+    )
+
+
 @Q.add("op2_toxicity")
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; learned from labels outside the held-out fifth."""
