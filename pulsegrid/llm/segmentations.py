@@ -36,10 +36,10 @@ from pulsegrid.llm.common import mix, slices, texts_of, tokenizer_path, uniform
 
 WAYS = 2
 SMOOTHING = 0.5
-SLICE = 400_000  # characters worked on together
+SLICE = 1_000_000  # characters worked on together
 _U = np.uint64
 _MARK = 0x2581
-_models: dict[tuple[str, float], Pieces] = {}  # noqa: F821
+_models: dict[tuple[str, float], "Pieces"] = {}
 
 
 class Pieces:
@@ -136,6 +136,7 @@ class Lattice:
         src, dst, ids, lp = (np.concatenate(x) for x in (src, dst, ids, lp))
         order = np.lexsort((dst, src))
         self.src, self.to, self.piece, lp = (x[order] for x in (src, dst, ids, lp))
+        self.closes = self.to == end_of[self.src]
         # Backward pass: log of the summed weight of all ways from a state to its word's end.
         back = np.zeros(n)
         depth = end_of - np.arange(n)
@@ -170,15 +171,6 @@ def _below(location: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray
         return location - np.log(np.exp(np.minimum(location - bound, 700.0)) - np.log(u))
 
 
-class _Way:
-    """A way under construction or done: edges in order and the log probability before each."""
-
-    __slots__ = ("edges", "before", "key")
-
-    def __init__(self, edges: np.ndarray, before: np.ndarray, key: float):
-        self.edges, self.before, self.key = edges, before, key
-
-
 def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int) -> list[list[tuple[np.ndarray, float, float]]]:
     """For each text up to k distinct ways: (pieces, log probability, log inclusion)."""
     index: dict[str, int] = {}
@@ -192,7 +184,7 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int
     n_words = np.array([len(r) for r in rows])
     words = np.concatenate(rows)
     first_word = np.concatenate([[0], np.cumsum(n_words)])
-    mixed = mix(keys.astype(np.uint64) + _U(seed) * _CHAR)
+    mixed = mix(keys.astype(np.uint64) + mix(np.array([seed])))
 
     def tails(doc: np.ndarray, word: np.ndarray, state: np.ndarray, turn: int) -> list[np.ndarray]:
         """For each search the edges from a state of a word (index among all words) to the end
@@ -203,7 +195,7 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int
         s = lattice.first[words[w]]
         s[np.cumsum(count) - count] = state  # the first word from where it is
         end = lattice.end[words[w]]
-        salt = mix(mixed[doc[who]] + (w - first_word[doc[who]]).astype(np.uint64) * _U(1_000_003) + _U(turn + 1) * _CHAR)
+        salt = mix(mixed[doc[who]] + (w - first_word[doc[who]]).astype(np.uint64) * _U(1_000_003) + mix(np.array([turn + 1])))
         live = np.flatnonzero(s < end)
         steps, owners = [], []
         t = 0
@@ -222,7 +214,7 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int
         return np.split(edge, np.searchsorted(who, np.arange(1, len(doc))))
 
     agenda: list[list[tuple]] = [[] for _ in texts]
-    out: list[list[_Way]] = [[] for _ in texts]
+    out: list[list[tuple]] = [[] for _ in texts]
     busy = np.flatnonzero(n_words > 0)
     root = -np.log(-np.log(uniform(mixed[busy], 999)))
     # A node: (key, edges so far, log probability of each beginning, edges ruled out, word, state)
@@ -235,7 +227,7 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int
             break
         doc, word, state, heads = [], [], [], []
         for d, node in todo:
-            agenda[d].remove(node) if False else agenda[d].pop(next(i for i, x in enumerate(agenda[d]) if x is node))
+            agenda[d] = [x for x in agenda[d] if x is not node]
             key, edges, before, out_, w, s = node
             if out_:  # one of the other edges of the state, by probability
                 a, b = lattice.start[s], lattice.start[s + 1]
@@ -263,7 +255,7 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int
             tail = none if d in ended else next(went)
             whole = np.concatenate([edges, tail])
             logs = np.concatenate([before, before[-1] + np.cumsum(lattice.logc[tail])])
-            out[d].append(_Way(whole, logs, key))
+            out[d].append((whole, float(logs[-1])))
             if len(tail):
                 _branch(lattice, agenda[d], whole, logs, len(edges), key, mixed[d : d + 1], turn, k - turn, words, first_word[d])
     result = []
@@ -273,10 +265,9 @@ def sample(texts: list[str], keys: np.ndarray, pieces: Pieces, k: int, seed: int
             continue
         nxt = max((x[0] for x in agenda[d]), default=-np.inf)
         ways = []
-        for way in out[d]:
-            lp = float(way.before[-1])
+        for edges, lp in out[d]:
             x = np.exp(min(lp - nxt, 50.0)) if nxt > -np.inf else np.inf
-            ways.append((lattice.piece[way.edges], lp, float(np.log(-np.expm1(-x))) if x > 1e-300 else lp - nxt))
+            ways.append((lattice.piece[edges], lp, float(np.log(-np.expm1(-x))) if x > 1e-300 else lp - nxt))
         result.append(ways)
     return result
 
@@ -303,8 +294,9 @@ def _branch(lattice, agenda, edges, logs, since, key, mixed, turn, wanted, words
         location = logs[since + several] + np.log(np.maximum(p, 0.0))
     u = uniform(np.broadcast_to(mixed, len(several)), turn, since + several, 79)
     g = _below(location, np.full(len(several), key), u)
-    ends = np.cumsum(lattice.to[edges] == lattice.end[np.searchsorted(lattice.first, lattice.src[edges], "right") - 1])
-    for i in np.argsort(-g)[:wanted]:
+    ends = np.cumsum(lattice.closes[edges])  # words done after each edge
+    top = np.argpartition(-g, wanted - 1)[:wanted] if len(g) > wanted else np.arange(len(g))
+    for i in top[np.argsort(-g[top])]:
         if g[i] == -np.inf:
             break
         at = since + int(several[i])
