@@ -139,7 +139,7 @@ def ngrams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     h = hashes.copy()
     total = len(h)
     acc = np.zeros(total, np.uint64)
-    for k in range(n):
+    for k in range(min(n, total)):
         acc[: total - k] += h[k:] * powers(n + 1)[k + 1] if k else h
     owner = np.repeat(np.arange(len(count)), count)
     inside = np.arange(total) - bounds[owner] <= count[owner] - n

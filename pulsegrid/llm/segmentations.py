@@ -29,16 +29,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid.llm.common import mix, slices, texts_of, tokenizer_path, uniform
 
 WAYS = 2
 SMOOTHING = 0.5
-SLICE = 1_000_000  # characters worked on together
+SLICE = 250_000  # characters worked on together
 _U = np.uint64
-_MARK = 0x2581
 _models: dict[tuple[str, float], "Pieces"] = {}
 
 
