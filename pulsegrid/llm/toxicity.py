@@ -39,8 +39,8 @@ LEAST_Z = 2.6  # log ratio in standard errors
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = dict(
     zip(
-        "абвгеёзикмнорстухьіјѕԁһѵαβγεικνορτυχωѡ013457@",
-        "abbreeeukmhopctyxbijsdhvabyeiknoptuxwwoieasta",
+        "абвгеёзикмнорстухьіјѕԁһѵαβγεικνορτυχωѡɡ013457@",
+        "abbreeeukmhopctyxbijsdhvabyeiknoptuxwwgoieasta",
     )
 )
 _SIGNS = re.compile(r"(?<=[^\W_])[$!|]+(?=[^\W_])")
