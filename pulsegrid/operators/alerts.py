@@ -163,23 +163,29 @@ def alert_cooldown(
 def alert_lifecycle(log: DataFrame) -> DataFrame:
     """Current state of each alert from its trigger, acknowledge and resolve actions.
 
-    An acknowledgement after the alert is resolved has no effect.
+    Actions belong together by ``alert_id`` alone; the alert's attributes are those of its first
+    trigger row. An acknowledgement after the alert is resolved has no effect.
     """
     action, ts = F.col("action"), F.col("timestamp")
+    attributes = ["metric_name", "value", "severity", "source"]
     ends = log.filter(action == "resolve").groupBy("alert_id").agg(F.min("timestamp").alias("resolved_at"))
     open_log = log.join(ends, "alert_id", "left").filter(
         (action == "trigger") | F.col("resolved_at").isNull() | (ts <= F.col("resolved_at"))
     )
     ack = F.when(action == "acknowledge", ts)
     return (
-        open_log.groupBy("alert_id", "metric_name", "value", "severity", "source")
+        open_log.groupBy("alert_id")
         .agg(
-            F.min(F.when(action == "trigger", ts)).alias("timestamp"),
+            F.min(F.when(action == "trigger", F.struct(ts, *attributes))).alias("_first"),
             F.max(ack).alias("acknowledged_at"),
             F.max_by(F.col("actor"), ack).alias("acknowledged_by"),
             F.max("resolved_at").alias("resolved_at"),
         )
-        .filter(F.col("timestamp").isNotNull())
+        .filter(F.col("_first").isNotNull())
+        .select(
+            "alert_id", *[f"_first.{c}" for c in [*attributes, "timestamp"]],
+            "acknowledged_at", "acknowledged_by", "resolved_at",
+        )
         .withColumn("acknowledged", F.col("acknowledged_at").isNotNull())
         .withColumn("resolved", F.col("resolved_at").isNotNull())
     )

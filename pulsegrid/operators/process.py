@@ -77,19 +77,20 @@ def process_history(processes: DataFrame, pid: int) -> DataFrame:
     return processes.filter(F.col("pid") == pid).orderBy("timestamp")
 
 
-def process_tree(processes: DataFrame, root: int, max_depth: int = 64) -> DataFrame:
+def process_tree(processes: DataFrame, root: int) -> DataFrame:
     """Descendants of a process with depth and path, level by level.
 
-    Each level is one join of the written frontier with the process table; the path stops
-    cycles. ``processes`` needs pid, parent_pid, name and status.
+    Each level is one join of the written frontier with the process table, until a level is
+    empty; the path stops cycles. ``processes`` needs pid, parent_pid, name and status.
     """
     nodes = processes.select("pid", "parent_pid", "name", "status")
     start = nodes.filter(F.col("pid") == root).select(
         "pid", "name", "status", F.lit(0).alias("depth"), F.array("pid").alias("path")
     )
-    level = stage(start, "tree")
+    level, depth = stage(start, "tree"), 0
     levels = [level]
-    for depth in range(1, max_depth + 1):
+    while True:
+        depth += 1
         parent = level.select(F.col("pid").alias("parent_pid"), F.col("path").alias("_up"))
         children = (
             nodes.join(parent, "parent_pid")

@@ -328,6 +328,8 @@ def stationarity_df(
 
 def smoothing_rows(alpha: float, tolerance: float = 1e-16) -> int:
     """Rows back after which a smoothing weight is below the tolerance."""
+    if alpha >= 1:
+        return 1
     return math.ceil(math.log(tolerance) / math.log(1 - alpha))
 
 

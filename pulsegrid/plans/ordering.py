@@ -37,7 +37,7 @@ def with_position(
 ) -> DataFrame:
     """Add the 0-based position of each row in its key, and the key's row count.
 
-    ``order`` must identify a row within its key. Keys must not be null.
+    ``order`` must identify a row within its key. Rows with a null key are a key of their own.
     """
     keys, order = list(keys), list(order)
     # A constant keeps single-series calls on the same path as keyed ones.
@@ -60,7 +60,12 @@ def with_position(
         .drop("_rows"),
         "offsets",
     )
-    joined = staged.withColumn("_chunk", chunk).join(offsets, keys + ["_chunk"])
+    theirs = [f"_key{i}" for i in range(len(keys))]
+    offsets = offsets.select(*[F.col(k).alias(t) for k, t in zip(keys, theirs)], "_chunk", "_first", "_base", "_total")
+    same = chunk == F.col("_chunk")
+    for k, t in zip(keys, theirs):
+        same &= F.col(k).eqNullSafe(F.col(t))
+    joined = staged.join(offsets, same)
     columns = [F.col(c) for c in df.columns]
     columns.append((F.col("_mid") - F.col("_first") + F.col("_base")).alias(pos))
     if total:
@@ -179,8 +184,8 @@ def last_n(
     """The last ``n`` rows of each key by ``order``; ``rank`` 1 is the newest.
 
     Spark keeps only ``n`` rows per key and task before the shuffle (window group limit),
-    so a hot key sends ``n`` rows per task, not its rows. Above that operator's limit the
-    same cut is made first per salted share of the key.
+    so a hot key sends ``n`` rows per task, not its rows. Above that operator's limit rows are
+    numbered by range instead; the result is the same.
     """
     newest = [F.col(c).desc() for c in order]
     limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))

@@ -17,11 +17,14 @@ _fallback: str | None = None
 
 
 def stage_root(spark: SparkSession) -> str:
-    """Shared folder for written intermediates; a local one only where none is set."""
+    """Shared folder for written intermediates; a local one only where none is set and driver
+    and executors are one process."""
     global _fallback
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if _fallback is None:
         _fallback = tempfile.mkdtemp(prefix="pulsegrid-")
     return _fallback

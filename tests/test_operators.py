@@ -254,6 +254,21 @@ def test_acknowledge_after_resolve_is_ignored(spark):
     assert got["b"].acknowledged and not got["b"].resolved
 
 
+def test_actions_of_an_alert_need_only_its_id(spark):
+    rows = [
+        ("a", "m", 1.0, "warning", "h", None, "trigger", T0),
+        ("a", None, None, None, None, "ann", "acknowledge", T0 + timedelta(minutes=5)),
+        ("a", None, None, None, None, "bo", "resolve", T0 + timedelta(minutes=9)),
+    ]
+    log = spark.createDataFrame(
+        rows,
+        "alert_id string, metric_name string, value double, severity string, source string, actor string, action string, timestamp timestamp",
+    )
+    (got,) = alerts.alert_lifecycle(log).collect()
+    assert (got.metric_name, got.value, got.severity, got.source) == ("m", 1.0, "warning", "h")
+    assert got.acknowledged and got.acknowledged_by == "ann" and got.resolved
+
+
 # ---- messages ------------------------------------------------------------------------
 
 
@@ -447,6 +462,12 @@ def test_process_tree_guards_cycles(spark):
     assert process.process_tree(df, 9).count() == 1
 
 
+def test_process_tree_has_no_depth_limit(spark):
+    chain = spark.range(1, 81).selectExpr("id AS pid", "id - 1 AS parent_pid", "'n' AS name", "'s' AS status")
+    got = process.process_tree(chain, 1)
+    assert got.count() == 80 and got.agg(F.max("depth")).first()[0] == 79
+
+
 def test_top_and_dedupe(spark):
     rows = [(1, "a", 50.0, 1), (1, "a", 90.0, 2), (2, "b", 90.0, 1), (3, "c", 10.0, 1)]
     df = spark.createDataFrame(rows, "pid long, name string, cpu_percent double, t int")

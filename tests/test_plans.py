@@ -34,6 +34,12 @@ def test_positions_equal_row_number(skewed):
     }
 
 
+def test_positions_of_null_keys(spark):
+    df = spark.createDataFrame([("a", 1), (None, 2), (None, 1), ("a", 2)], "k string, t int")
+    got = {(r.k, r.t, r.pos, r.n) for r in with_position(df, ["k"], ["t"], total="n").collect()}
+    assert got == {("a", 1, 0, 2), ("a", 2, 1, 2), (None, 1, 0, 2), (None, 2, 1, 2)}
+
+
 def test_positions_without_key(skewed):
     got = [r.id for r in with_position(skewed, [], ["t", "id"]).orderBy("pos").collect()]
     want = [r.id for r in skewed.orderBy("t", "id").collect()]

@@ -90,6 +90,8 @@ def test_failing_processor_does_not_stop_the_others(spark, parts):
     runs = spark.read.parquet(f"{path}/runs")
     failed = {r.processor_name: r.f for r in runs.groupBy("processor_name").agg(F.bool_and("failed").alias("f")).collect()}
     assert failed == {"system_aggregator": False, "anomaly_detector": False, "performance_calculator": True, "alert_generator": False}
+    assert runs.filter("failed").select("error").distinct().collect()[0].error == "ValueError: broken"
+    assert runs.filter("not failed and error is not null").isEmpty()
     got = spark.read.parquet(f"{path}/anomaly_detector")
     want = anomaly.threshold_anomalies(A.stream_events_from(parts[1]))
     assert ids(got, "event_id", "severity") == ids(want, "event_id", "severity")
