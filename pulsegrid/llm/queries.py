@@ -17,7 +17,7 @@ Q = Registry()
 def op1_sampled_segmentations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two distinct sampled segmentations of every document, and whether they decode to it."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    ways = segmentations.decode(segmentations.encode_samples(docs))
+    ways = segmentations.encode_samples(docs, decoded=True)
     return ways.select(
         "doc_id",
         "sample",
