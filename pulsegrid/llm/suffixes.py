@@ -43,6 +43,7 @@ from pulsegrid.plans.staging import stage
 
 WIDTH = 100
 CORE = 32
+HELD = 200_000  # rows of one core that a task holds at once
 
 
 def _sliding(x: np.ndarray, w: int, low: bool) -> np.ndarray:
@@ -150,53 +151,67 @@ def _next_pass(width: int, parts: int):
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(most: int):
     """One partition in order of (core, hull, doc, spot): mark nodes whose hull came before as
     settled, drop nodes alone with their core, keep the others open. What is at a partition's
-    edge stays open, since its group may go on elsewhere."""
-    held: pa.RecordBatch | None = None  # rows of the newest core, which may go on
-    begun = False
-
-    def decide(rows: pa.RecordBatch, edge: bool) -> pa.RecordBatch:
-        core, hull, doc, spot = (rows.column(c).to_numpy() for c in ("core", "hull", "doc", "spot"))
-        new_core = np.ones(len(core), bool)
-        new_core[1:] = core[1:] != core[:-1]
-        new_hull = new_core.copy()
-        new_hull[1:] |= hull[1:] != hull[:-1]
-        group = np.cumsum(new_core) - 1
-        first = np.maximum.accumulate(np.where(new_hull, np.arange(len(core)), 0))
-        settled = (doc != doc[first]) | (spot != spot[first])
-        stays = np.bincount(group, weights=new_hull)[group] > 1
-        if not begun:
-            stays |= group == 0
-        if edge:
-            stays |= group == group[-1]
-        keep = pa.array(settled | stays)
-        own = [rows.column(c).filter(keep) for c in ("doc", "tag", "spot")]
-        return pa.RecordBatch.from_arrays([*own, pa.array(settled).filter(keep)], ["doc", "tag", "spot", "settled"])
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        core = rows.column("core").to_numpy()
-        cut = int(np.searchsorted(core, core[-1], "left"))
-        if cut == 0 and len(core) > 200_000:  # one core fills everything: all but its last row
-            cut = len(core) - 1
-            yield decide(rows.slice(0, cut), True)
-        elif cut:
-            yield decide(rows.slice(0, cut), False)
-        begun = begun or cut > 0
-        held = rows.slice(cut)
-    if held is not None:
-        yield decide(held, True)
-
-
-def _sorted_pass(nodes: DataFrame) -> DataFrame:
+    edge stays open, since its group may go on elsewhere. Of a core of more than ``most`` rows
+    all but the last are given out before it ends; the first place of the newest hull is kept,
+    so that the rest is judged by the same place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # rows of the newest core, which may go on
+        begun = False
+        given: tuple[int, int, int] | None = None  # hull and first place of the held row, if its core was given out in part
+
+        def decide(rows: pa.RecordBatch, edge: bool) -> tuple[pa.RecordBatch, tuple[int, int, int]]:
+            core, hull, doc, spot = (rows.column(c).to_numpy() for c in ("core", "hull", "doc", "spot"))
+            new_core = np.ones(len(core), bool)
+            new_core[1:] = core[1:] != core[:-1]
+            new_hull = new_core.copy()
+            new_hull[1:] |= hull[1:] != hull[:-1]
+            group = np.cumsum(new_core) - 1
+            first = np.maximum.accumulate(np.where(new_hull, np.arange(len(core)), 0))
+            first_doc, first_spot = doc[first], spot[first]
+            stays = np.bincount(group, weights=new_hull)[group] > 1
+            if given is not None:
+                on = (first == 0) & (hull[0] == given[0])
+                first_doc, first_spot = np.where(on, given[1], first_doc), np.where(on, given[2], first_spot)
+            if given is not None or not begun:
+                stays |= group == 0
+            if edge:
+                stays |= group == group[-1]
+            settled = (doc != first_doc) | (spot != first_spot)
+            keep = pa.array(settled | stays)
+            own = [rows.column(c).filter(keep) for c in ("doc", "tag", "spot")]
+            out = pa.RecordBatch.from_arrays([*own, pa.array(settled).filter(keep)], ["doc", "tag", "spot", "settled"])
+            return out, (int(hull[-1]), int(first_doc[-1]), int(first_spot[-1]))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            core = rows.column("core").to_numpy()
+            cut = int(np.searchsorted(core, core[-1], "left"))
+            if cut == 0 and len(core) > most:  # one core fills everything: all but its last row
+                cut = len(core) - 1
+                out, given = decide(rows.slice(0, cut), True)
+                yield out
+            elif cut:
+                yield decide(rows.slice(0, cut), False)[0]
+                given = None
+            begun = begun or cut > 0
+            held = rows.slice(cut)
+        if held is not None:
+            yield decide(held, True)[0]
+
+    return run
+
+
+def _sorted_pass(nodes: DataFrame, most: int) -> DataFrame:
     order = ["core", "hull", "doc", "spot"]
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = nodes.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return ranged.mapInArrow(_settle, "doc long, tag int, spot long, settled boolean")
+    return ranged.mapInArrow(_settle(most), "doc long, tag int, spot long, settled boolean")
 
 
 def _keep(df: DataFrame, name: str) -> DataFrame:
@@ -214,12 +229,12 @@ def _keyed(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def repeated_windows(
-    docs: DataFrame, width: int = WIDTH, core: int = CORE, id: str = "doc_id", text: str = "text"
+    docs: DataFrame, width: int = WIDTH, core: int = CORE, id: str = "doc_id", text: str = "text", held: int = HELD
 ) -> DataFrame:
     """Settled nodes of all texts: doc, tag (hash of the text, for ids that repeat) and spots,
     the array of places whose windows all start earlier too."""
     texts = _keyed(docs, id, text)
-    marked = [_keep(_sorted_pass(texts.mapInArrow(_first_pass(width, core), NODE)), "windows")]
+    marked = [_keep(_sorted_pass(texts.mapInArrow(_first_pass(width, core), NODE), held), "windows")]
 
     def opened(parts: int) -> DataFrame:
         spots = marked[-1].filter("not settled").groupBy("doc", "tag").agg(F.collect_set("spot").alias("spots"))
@@ -229,7 +244,7 @@ def repeated_windows(
     size = width - core + 1
     while size > 6:
         size = -(-size // 4)
-        marked.append(_keep(_sorted_pass(opened(4)), "windows"))
+        marked.append(_keep(_sorted_pass(opened(4), held), "windows"))
     # Single windows: all but the earliest of each are repeated.
     leaves = _keep(opened(size), "leaves")
     place = F.struct("doc", F.shiftright("spot", 24).alias("at"))
@@ -256,14 +271,14 @@ def spans(spots: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray
 
 
 def remove_repeats(
-    docs: DataFrame, width: int = WIDTH, core: int = CORE, id: str = "doc_id", text: str = "text"
+    docs: DataFrame, width: int = WIDTH, core: int = CORE, id: str = "doc_id", text: str = "text", held: int = HELD
 ) -> DataFrame:
     """One row per document: its columns with ``text`` replaced by what is kept, as text
     (characters cut in half are left out), and n_bytes, n_removed, n_spans and kept_sha256 (of
     the kept bytes). A null text stays null."""
     new = {"n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string"}
     names = [c for c in docs.columns if c not in new and c not in ("_doc", "_tag", "_spots")]
-    found = repeated_windows(docs, width, core, id, text).select(
+    found = repeated_windows(docs, width, core, id, text, held).select(
         F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), F.col("spots").alias("_spots")
     )
     t = F.coalesce(F.col(text), F.lit(""))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pulsegrid.llm import (
     common,
@@ -146,6 +147,44 @@ def test_repeats_on_odd_rows(spark, odd, empty):
     assert set(suffixes.remove_repeats(more).columns) >= {"core", "spots", "tag", "n_bytes"}
 
 
+def test_a_core_given_out_in_parts_loses_no_node():
+    rng = random.Random(6)
+    for trial in range(200):
+        nodes = {(rng.randrange(3), rng.randrange(2), rng.randrange(9), rng.randrange(3)) for _ in range(rng.randrange(2, 40))}
+        rows = [(*r, i) for i, r in enumerate(sorted(nodes))]  # core, hull, doc, spot, tag
+        size = rng.randrange(1, 4)
+        batches = [
+            pa.RecordBatch.from_pydict({k: pa.array([r[c] for r in rows[i : i + size]], pa.int64()) for k, c in
+                                        (("doc", 2), ("tag", 4), ("spot", 3), ("core", 0), ("hull", 1))})
+            for i in range(0, len(rows), size)
+        ]
+        out = [tuple(r.values()) for b in suffixes._settle(3)(iter(batches)) for r in b.to_pylist()]
+        firsts = {}
+        for core, hull, doc, spot, _ in rows:
+            firsts.setdefault((core, hull), (doc, spot))
+        late = {i: (d, s) != firsts[c, h] for c, h, d, s, i in rows}
+        must = {(d, i, s, late[i]) for c, _, d, s, i in rows if late[i] or sum(x[0] == c for x in firsts) > 1}
+        assert must <= set(out), trial
+        assert len(out) == len(set(out)) <= len(rows)
+
+
+def test_repeats_with_a_core_given_out_in_parts(spark):
+    rng = random.Random(9)
+    hot = "".join(rng.choice("abcdefgh") for _ in range(60))
+    word = lambda n: "".join(rng.choice("ijklmnop") for _ in range(n))
+    texts = [word(rng.randrange(30)) + hot + word(rng.randrange(30)) for _ in range(40)] + [hot] * 40
+    before = {k: spark.conf.get(k) for k in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        got = collected(suffixes.remove_repeats(docs_of(spark, texts), 40, 9, held=5))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    want = brute_repeats(list(enumerate(texts)), 40)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+
+
 # --- near-duplicates -------------------------------------------------------------------
 
 
