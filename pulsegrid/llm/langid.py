@@ -2,16 +2,20 @@
 
 Per language a suffix automaton of labelled text knows every string that occurs in it. A text
 is parsed from left to right into the longest strings the automaton knows; a text in the
-language needs few of these phrases. All automata have the same amount of text, so phrase
-counts divided by the text's length compare directly, and the lowest wins (ties: the language
-of more labelled documents, then the smaller name).
+language needs few of these phrases. A phrase costs the bits (in nats) that name its place in
+the language's sample, ln(size), and ``PHRASE`` for its length; a character that the sample does
+not have costs the logarithm of the alphabet of all samples where that is more. The cheapest
+language wins (ties: the language of more labelled documents, then the smaller name). So a
+language with little text has a small automaton whose phrases are cheap but short, and samples
+of one length compare by their phrase counts.
 
 Texts are lower-cased letters with single spaces for all else, parsed in stretches of
 ``STRETCH`` characters that are independent, so that the stretches of many texts advance
 together, one character a step, as array operations.
 
-Training text is a bounded sample: ``DOCS`` documents a language by a hash of the id, of each
-at most ``DOC_CHARS`` characters, ``CHARS`` characters in all. Null text and text without a
+Training text is a bounded sample: documents with letters by a hash of the id, of each at most
+``DOC_CHARS`` characters, until a language has ``CHARS`` characters; a language with less has
+all it has, and does not shorten the others. Null text and text without a
 letter are ``und`` with score 1; without training languages every text is ``und``.
 """
 
@@ -21,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import slices, sorted_sample
+from pulsegrid.llm.common import slices
 
-DOCS, DOC_CHARS, CHARS = 64, 5_000, 40_000
+DOC_CHARS, CHARS = 5_000, 40_000
+PHRASE = 1.0
 STRETCH = 256
 UNKNOWN = "und"
 
@@ -94,13 +99,20 @@ class Model:
 
     def __init__(self, samples: dict[str, str], order: list[str]):
         self.langs = [x for x in order if samples.get(x)]
-        size = min([CHARS, *(len(samples[x]) for x in self.langs)])
-        alphabet = sorted(set("".join(samples[x][:size] for x in self.langs)) - {" "})
+        texts = [samples[x][:CHARS] for x in self.langs]
+        sizes = [len(t) for t in texts]
+        alphabet = sorted(set("".join(texts)) - {" "})
         self.codes = {" ": 0} | {c: i + 1 for i, c in enumerate(alphabet)}
         self.width = len(self.codes) + 2  # the last two: other letters, padding
-        self.size = size
+        self.size = max(sizes, default=0)
+        self.phrase = np.log(np.array(sizes, float)) + PHRASE
+        # What a character outside the sample costs beyond its phrase.
+        self.literal = np.maximum(0.0, np.log(self.width) + PHRASE - self.phrase)
+        self.missing = np.ones((len(texts), self.width), bool)
+        for k, t in enumerate(texts):
+            self.missing[k, [self.codes[c] for c in {*t, " "}]] = False
         enc = lambda s: np.array([self.codes[c] for c in s], np.int32)
-        self.tables = [automaton(enc(f"{samples[x][:size]} "), self.width) for x in self.langs]
+        self.tables = [automaton(enc(f"{t} "), self.width) for t in texts]
         self._lut: np.ndarray | None = None
 
     def lut(self) -> np.ndarray:
@@ -113,6 +125,11 @@ class Model:
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases of each text under each language, and the number of characters parsed."""
+        counts, _, size = self.parsed(texts)
+        return counts, size
+
+    def parsed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases of each text under each language, their cost, and the number of characters."""
         lut, parts, sizes = self.lut(), [], []
         for t in texts:
             raw = np.frombuffer(t.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -140,10 +157,16 @@ class Model:
                 n += entry & 1
                 state = entry >> 1
             np.add.at(counts[:, k], owner, n)
-        return counts, size
+        cost = counts * self.phrase
+        whose = np.repeat(np.arange(len(texts)), size)
+        for k in np.flatnonzero(self.literal):
+            absent = self.missing[k][np.concatenate(parts)] if parts else np.zeros(0, bool)
+            cost[:, k] += self.literal[k] * np.bincount(whose[absent], minlength=len(texts))
+        return counts, cost, size
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        counts, size = self.phrases([t or "" for t in texts])
+        _, cost, _ = self.parsed([t or "" for t in texts])
+        unit = self.phrase.max(initial=PHRASE)
         has = letters()
         names, scores = [], np.ones(len(texts))
         for d, t in enumerate(texts):
@@ -151,29 +174,53 @@ class Model:
             if not self.langs or not has[raw].any():
                 names.append(UNKNOWN)
                 continue
-            c = counts[d]
+            c = cost[d]
             best = int(np.argmin(c))
             names.append(self.langs[best])
-            # Each further phrase makes the language less likely by a constant factor.
-            scores[d] = 1.0 / np.exp(-np.minimum(c - c[best], 500) * 0.7).sum()
+            # Each further phrase of the largest sample makes the language less likely by a
+            # constant factor.
+            scores[d] = 1.0 / np.exp(-np.minimum((c - c[best]) / unit, 500) * 0.7).sum()
         return names, scores
 
 
 def learn(docs: DataFrame, seed: int = 11) -> Model:
     """Model from documents (doc_id, text, lang) that the caller lets it see."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    ids = sorted_sample(known.select("doc_id", "lang"), ["lang"], DOCS, seed).select("doc_id", "lang")
-    # At most DOCS ids a language: a bounded broadcast.
-    picked = docs.select("doc_id", F.substring("text", 1, DOC_CHARS).alias("text")).join(
-        F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id"
+    # Letters as ``plain`` leaves them, but for the case.
+    text = F.trim(F.regexp_replace(F.substring("text", 1, DOC_CHARS), r"[^\p{L}]+", " "))
+    # A row's level is the number of leading zeros of its hash: each has half the rows of the
+    # level below, so whole levels from the top on hold a sample of about the size asked for.
+    h = F.xxhash64("doc_id", F.lit(seed))
+    level = F.when(h < 0, 0).when(h == 0, 64).otherwise(64 - F.length(F.bin(h))).cast("int")
+    rows = known.select("lang", "doc_id", h.alias("_h"), level.alias("_level"), text.alias("_text"))
+    usable = F.col("doc_id").isNotNull() & (F.length("_text") > 0)
+    levels = rows.groupBy("lang", "_level").agg(
+        F.count("*").alias("n"), F.sum(F.when(usable, F.length("_text") + 1)).alias("chars")
+    )
+    n: dict[str, int] = {}
+    chars: dict[str, int] = {}
+    least: dict[str, int] = {}
+    for r in sorted(levels.collect(), key=lambda r: -r["_level"]):  # 65 rows a language at most
+        n[r["lang"]] = n.get(r["lang"], 0) + r["n"]
+        if chars.get(r["lang"], 0) <= CHARS:
+            chars[r["lang"]] = chars.get(r["lang"], 0) + (r["chars"] or 0)
+            least[r["lang"]] = r["_level"]
+    if not least:
+        return Model({}, [])
+    wanted = docs.sparkSession.createDataFrame(sorted(least.items()), "lang string, _least int")
+    w = Window.partitionBy("lang").orderBy("_h", "doc_id", "_text").rowsBetween(Window.unboundedPreceding, -1)
+    picked = (
+        rows.filter(usable)
+        .join(F.broadcast(wanted), "lang")
+        .filter(F.col("_level") >= F.col("_least"))
+        .withColumn("_h", F.shiftrightunsigned("_h", 1))
+        .withColumn("_before", F.coalesce(F.sum(F.length("_text") + 1).over(w), F.lit(0)))
+        .filter(F.col("_before") <= CHARS)
     )
-    samples: dict[str, str] = {}
-    for r in sorted(picked.collect(), key=lambda r: (r["lang"], str(r["doc_id"]), r["text"])):
-        have = samples.get(r["lang"], "")
-        if len(have) < CHARS:
-            samples[r["lang"]] = f"{have} {plain(r['text'] or '')}".strip()
-    return Model(samples, sorted(n, key=lambda x: (-n[x], x)))
+    samples: dict[str, list[str]] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r["lang"], r["_before"])):
+        samples.setdefault(r["lang"], []).append(plain(r["_text"]))
+    return Model({k: " ".join(" ".join(v).split()) for k, v in samples.items()}, sorted(n, key=lambda x: (-n[x], x)))
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

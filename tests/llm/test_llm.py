@@ -356,6 +356,30 @@ def test_held_out_accuracy(spark, sf_dir):
     assert got and sum(r["lang_pred"] == lang[r["doc_id"]] for r in got) >= 0.97 * len(got)
 
 
+def test_a_poor_language_does_not_shorten_the_others(spark, sf_dir):
+    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    poor = [(-1, "Zyx wvut qponm lkjih gfedcb", "poor"), (-2, "ok", "tiny"), (-3, " 12 !?", "blank")]
+    seen = docs.filter(common.bucket_of("doc_id", 4) != 2).union(spark.createDataFrame(poor, docs.schema))
+    model = langid.learn(seen)
+    assert {"poor", "tiny"} < set(model.langs) and "blank" not in model.langs
+    held = docs.filter(common.bucket_of("doc_id", 4) == 2).collect()
+    names, _ = model.predict([r["text"] for r in held])
+    assert sum(x == r["lang"] for x, r in zip(names, held)) >= 0.97 * len(held)
+    assert model.predict(["zyx wvut qponm lkjih"])[0] == ["poor"]
+
+
+def test_language_samples_are_topped_up(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    rows = [(i, word(), "aa") for i in range(9000)] + [(i, "", "aa") for i in range(9000, 9600)]
+    rows += [(i, " ".join(word() for _ in range(40)), "bb") for i in range(10_000, 10_400)]
+    rows += [(i, word(), "cc") for i in range(20_000, 20_100)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.langs == ["aa", "bb", "cc"]
+    sizes = np.exp(model.phrase - langid.PHRASE).round().astype(int).tolist()
+    assert sizes == [langid.CHARS, langid.CHARS, 599]
+
+
 def test_resampling(spark, empty):
     rng = random.Random(3)
     good = [" ".join(rng.choice(["sun", "moon", "star", "sky"]) for _ in range(60)) for _ in range(80)]
