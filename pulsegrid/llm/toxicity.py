@@ -7,7 +7,9 @@ sum of the weights, for itself and per length of the text, gives the score.
 
 The lexicon is learned from labelled rows: at most ``SAMPLE`` per class, chosen by a hash of
 the id. Weights are smoothed log ratios of document frequencies in the two classes; phrases
-around entries that only harmless texts use become exceptions; a logistic curve over the two
+around entries that only harmless texts use (``LEAST_SPARED`` of them at least) become exceptions,
+all of them unless the caller limits their number; a word counts from ``LEAST_TEXTS`` toxic texts
+and a share of ``LEAST_SHARE`` of them on; a logistic curve over the two
 sums, fitted on the same rows, makes the score a probability.
 
 Null and empty texts, and texts without a word, have no hits and get the score of such texts.
@@ -35,6 +37,8 @@ SAMPLE = 20_000  # labelled rows per class
 LEAST_PREFIX = 4  # letters of a word beginning
 LEAST_RATIO = 2.0  # log ratio from which a word is an entry
 LEAST_Z = 2.6  # log ratio in standard errors
+LEAST_TEXTS, LEAST_SHARE = 3, 1 / 500  # toxic texts, and their share, that an entry has
+LEAST_SPARED = 3  # harmless texts that an exception has
 
 # Letters of other alphabets that look like Latin ones, and signs that stand for letters.
 LOOK_ALIKES = dict(
@@ -189,8 +193,17 @@ def _choose(n1: dict[str, int], n0: dict[str, int], docs1: int, docs0: int) -> d
     return chosen
 
 
-def learn(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Lexicon:
-    """Lexicon from the rows of ``labels`` (doc_id, toxic 0/1) that the caller lets it see."""
+def learn(
+    docs: DataFrame,
+    labels: DataFrame,
+    seed: int = 7,
+    exceptions: int | None = None,
+    least_texts: int = LEAST_TEXTS,
+    least_share: float = LEAST_SHARE,
+) -> Lexicon:
+    """Lexicon from the rows of ``labels`` (doc_id, toxic 0/1) that the caller lets it see, with
+    all exceptions or the ``exceptions`` most frequent ones. Entries are in ``least_texts`` and
+    in a share of ``least_share`` of the toxic texts at least."""
     known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = sorted_sample(known, ["toxic"], SAMPLE, seed)
@@ -203,7 +216,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Lexicon:
     # Copies of a text say nothing new about a word.
     once = stage(rows.dropDuplicates(["text", "toxic"]), "toxic-once")
     kinds = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1 = _frequencies(once.filter("toxic = 1"), max(3, kinds[1] // 500))
+    n1 = _frequencies(once.filter("toxic = 1"), max(least_texts, int(kinds[1] * least_share)))
     n0 = _frequencies(once.filter("toxic = 0"), 1, set(n1))
     lexicon = Lexicon(_choose(n1, n0, kinds[1], kinds[0]))
 
@@ -216,7 +229,7 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Lexicon:
                 a, b = lexicon.sums(machine, folded)
                 x0.append(a)
                 x1.append(b)
-                phrases.append(sorted({p for at, _ in lexicon.hits(machine, folded) for p in around(folded, at)})[:1000])
+                phrases.append(sorted({p for at, _ in lexicon.hits(machine, folded) for p in around(folded, at)}))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x0), pa.array(x1), pa.array(phrases, pa.list_(pa.string())), batch.column(1)],
                 ["x0", "x1", "phrases", "toxic"],
@@ -228,10 +241,11 @@ def learn(docs: DataFrame, labels: DataFrame, seed: int = 7) -> Lexicon:
         seen.select(F.explode("phrases").alias("p"), "toxic")
         .groupBy("p")
         .agg(F.sum(1 - F.col("toxic")).alias("n0"), F.sum("toxic").alias("n1"))
-        .filter("n0 >= 3 and n1 = 0")
+        .filter((F.col("n0") >= LEAST_SPARED) & (F.col("n1") == 0))
         .orderBy(F.desc("n0"), "p")
-        .limit(1000)
     )
+    if exceptions is not None:
+        spared = spared.limit(exceptions)
     lexicon.exceptions = [r["p"] for r in spared.collect()]
     if lexicon.exceptions:
         seen = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(measured, schema)

@@ -332,6 +332,20 @@ def test_toxicity(spark, odd):
     assert toxicity.learn(docs, labels.limit(0)).weights == {}
 
 
+def test_toxic_phrases_of_long_texts_count(spark):
+    import itertools
+
+    many = ["".join(x) for x in itertools.islice(itertools.product("abcdefghij", repeat=4), 1300)]
+    toxic = [" ".join(f"{w} vile" for w in many) + " zz vile"] + ["you are vile"] * 40
+    toxic = [f"{t} {'abcdefghijk'[i % 11]}{'lmnop'[i % 5]}" for i, t in enumerate(toxic)]
+    harmless = [f"zz vile garden {w}" for w in many[:5]] + [f"sunny day {w} {v}" for w, v in zip(many[:600], many[600:])]
+    labels = [(i, int(i < len(toxic))) for i in range(len(toxic) + len(harmless))]
+    docs, labels = docs_of(spark, toxic + harmless), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = toxicity.learn(docs, labels).exceptions
+    assert any("vile garden" in p for p in found) and not any("zz vile" in p for p in found)
+    assert toxicity.learn(docs, labels, exceptions=0).exceptions == []
+
+
 def test_language_model_counts_phrases():
     text = "the cat sat on the mat and the dog ran"
     model = langid.Model({"en": text, "xx": "zzz qqq www kkk jjj zqz wkw jzj qkq zwz"}, ["en", "xx"])
