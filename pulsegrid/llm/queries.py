@@ -6,7 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.catalog.registry import Registry
-from pulsegrid.llm import langid, minhash, packing, pstable, quality, resampling, segmentations, suffixes, token_counts, toxicity
+from pulsegrid.llm import (
+    audit,
+    langid,
+    merkle,
+    minhash,
+    packing,
+    pstable,
+    quality,
+    resampling,
+    segmentations,
+    sql,
+    suffixes,
+    token_counts,
+    toxicity,
+)
 from pulsegrid.llm.common import bucket_of, read
 from pulsegrid.plans.staging import stage
 
@@ -101,3 +115,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     voted = stage(quality.votes(quality.measures(docs)), "quality-votes")
     base = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     return quality.judge(voted).select("doc_id", *base, "kept", "quality")
+
+
+@Q.add("op12_filter_audit", sql.FILTER_AUDIT)
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove per source, in every order of applying them."""
+    return audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@Q.add("op13_merkle_manifest", sql.MERKLE_MANIFEST)
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof of every document in a tree per language; some rows are verified after tampering."""
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.coalesce(bucket_of("doc_id", 7) == 0, F.lit(False))
+    return merkle.manifest(merkle.document_leaves(docs, tampered)).withColumnRenamed("id", "doc_id")
