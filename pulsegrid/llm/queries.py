@@ -17,6 +17,7 @@ from pulsegrid.llm import (
     resampling,
     segmentations,
     sql,
+    substrings,
     suffixes,
     token_counts,
     toxicity,
@@ -117,6 +118,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(voted).select("doc_id", *base, "kept", "quality")
 
 
+@Q.add("op11_substring_dedup", sql.SUBSTRING_DEDUP)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document outside windows of 13 words that a smaller id also has."""
+    cut = substrings.remove_repeated(read(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 @Q.add("op12_filter_audit", sql.FILTER_AUDIT)
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What five filters remove per source, in every order of applying them."""

@@ -1,5 +1,22 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+SUBSTRING_DEDUP = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+places AS (SELECT n, doc_id, words, unnest(range(1, greatest(len(words) - 11, 1))) AS p FROM split),
+windows AS (SELECT n, doc_id, p, array_to_string(words[p : p + 12], ' ') AS w FROM places),
+firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
+late AS (SELECT n, unnest(range(p, p + 13)) AS k FROM windows JOIN firsts USING (w) WHERE doc_id > least),
+cut AS (SELECT n, list(DISTINCT k) AS ks FROM late GROUP BY n),
+done AS (
+  SELECT doc_id, len(words) AS n_words, coalesce(len(ks), 0) AS n_removed,
+         [words[k] FOR k IN range(1, len(words) + 1) IF NOT list_contains(coalesce(ks, []), k)] AS kept
+  FROM split LEFT JOIN cut USING (n))
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(kept, ' ')) AS kept_sha256
+FROM done
+"""
+
 FILTER_AUDIT = r"""
 WITH rows AS (
   SELECT row_number() OVER () AS n, doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
