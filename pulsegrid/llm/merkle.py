@@ -8,7 +8,7 @@ Digests are sent to the label of the parent through a priority queue, so that a
 order finds each parent's children at the head of the queue when it gets there. A second sweep
 in reverse order sends to each node the siblings on its way to the root, the suffix of every
 proof below it. The external part of the queue is Spark's sort: leaves are put in order by a
-range shuffle, runs of ``1 << LEVELS`` leaves are swept in a task each, and what they send beyond
+range shuffle, runs of ``1 << LEVELS`` leaves (a parameter) are swept in a task each, and what they send beyond
 their run is grouped by the label of the receiving run for the next round. There are
 log(n) / LEVELS rounds; a round holds a ``1 << LEVELS``-th of the nodes of the one before.
 
@@ -111,79 +111,91 @@ _NODE = "tree string, pos long, total long, digest string"
 _SEED = "tree string, pos long, path array<string>, roots array<string>"
 
 
-def _runs(nodes: DataFrame):
-    return nodes.groupBy("tree", F.shiftright("pos", LEVELS).alias("run"))
+def _runs(nodes: DataFrame, most: int):
+    return nodes.groupBy("tree", F.shiftright("pos", most).alias("run"))
 
 
-def _raise(key: tuple[pa.Scalar, ...], run: pa.Table) -> pa.Table:
+def _raise(most: int):
     """A run of nodes to the one node above it."""
+
+    def run_up(key: tuple[pa.Scalar, ...], run: pa.Table) -> pa.Table:
+        run = run.sort_by("pos")
+        total = run.column("total")[0].as_py()
+        levels = min(most, height(total))
+        top = upward(run.column("digest").to_pylist(), levels)[levels][0]
+        return pa.table(
+            {
+                "tree": pa.array([key[0].as_py()], pa.string()),
+                "pos": pa.array([key[1].as_py()], pa.int64()),
+                "total": pa.array([-(-total >> most)], pa.int64()),
+                "digest": [top],
+            }
+        )
+
+    return run_up
+
+
+def _spread(run: pa.Table, seed: pa.Table, most: int) -> tuple[pa.Table, list[Path], list[str]]:
     run = run.sort_by("pos")
-    total = run.column("total")[0].as_py()
-    levels = min(LEVELS, height(total))
-    top = upward(run.column("digest").to_pylist(), levels)[levels][0]
-    return pa.table(
-        {
-            "tree": pa.array([key[0].as_py()], pa.string()),
-            "pos": pa.array([key[1].as_py()], pa.int64()),
-            "total": pa.array([-(-total >> LEVELS) if total > 1 else 1], pa.int64()),
-            "digest": [top],
-        }
-    )
-
-
-def _spread(run: pa.Table, seed: pa.Table) -> tuple[pa.Table, list[Path], list[str]]:
-    run = run.sort_by("pos")
-    levels = min(LEVELS, height(run.column("total")[0].as_py()))
+    levels = min(most, height(run.column("total")[0].as_py()))
     nodes = upward(run.column("digest").to_pylist(), levels)
     return run, downward(nodes, tuple(seed.column("path")[0].as_py())), seed.column("roots")[0].as_py()
 
 
-def _lower(key: tuple[pa.Scalar, ...], run: pa.Table, seed: pa.Table) -> pa.Table:
+def _lower(most: int):
     """A run of nodes and the siblings above it to the siblings of each node."""
-    run, paths, roots = _spread(run, seed)
-    return pa.table(
-        {
-            "tree": run.column("tree"),
-            "pos": run.column("pos"),
-            "path": pa.array([list(p) for p in paths], pa.list_(pa.string())),
-            "roots": pa.array([roots] * len(paths), pa.list_(pa.string())),
-        }
-    )
-
-
-def _prove(key: tuple[pa.Scalar, ...], run: pa.Table, seed: pa.Table) -> pa.Table:
+
+    def run_down(key: tuple[pa.Scalar, ...], run: pa.Table, seed: pa.Table) -> pa.Table:
+        run, paths, roots = _spread(run, seed, most)
+        return pa.table(
+            {
+                "tree": run.column("tree"),
+                "pos": run.column("pos"),
+                "path": pa.array([list(p) for p in paths], pa.list_(pa.string())),
+                "roots": pa.array([roots] * len(paths), pa.list_(pa.string())),
+            }
+        )
+
+    return run_down
+
+
+def _prove(most: int):
     """A run of leaves and the siblings above it to the leaves' proofs."""
-    run, paths, (subroot, root) = _spread(run, seed)
-    leaves, claims = run.column("digest").to_pylist(), run.column("claim").to_pylist()
-    folded = [fold(c, p) for c, p in zip(claims, paths)]
-    return pa.table(
-        {
-            "id": run.column("id"),
-            "leaf": leaves,
-            "subroot": [subroot] * len(leaves),
-            "root": [root] * len(leaves),
-            "proof_sha256": [digest(*(s[1:] for s in p)) for p in paths],
-            "folded_root": folded,
-            "verified": [f == root for f in folded],
-        }
-    )
-
-
-def _rounds(nodes: DataFrame) -> Iterator[DataFrame]:
+
+    def run_down(key: tuple[pa.Scalar, ...], run: pa.Table, seed: pa.Table) -> pa.Table:
+        run, paths, (subroot, root) = _spread(run, seed, most)
+        leaves, claims = run.column("digest").to_pylist(), run.column("claim").to_pylist()
+        folded = [fold(c, p) for c, p in zip(claims, paths)]
+        return pa.table(
+            {
+                "id": run.column("id"),
+                "leaf": leaves,
+                "subroot": [subroot] * len(leaves),
+                "root": [root] * len(leaves),
+                "proof_sha256": [digest(*(s[1:] for s in p)) for p in paths],
+                "folded_root": folded,
+                "verified": [f == root for f in folded],
+            }
+        )
+
+    return run_down
+
+
+def _rounds(nodes: DataFrame, most: int) -> Iterator[DataFrame]:
     """The nodes at the foot of each round, and at last the roots."""
     largest = nodes.agg(F.max("total")).first()[0] or 1
     yield nodes
-    for _ in range(max(1, -(-height(largest) // LEVELS))):
-        runs = _runs(nodes.select("tree", "pos", "total", "digest"))
-        nodes = stage(runs.applyInArrow(_raise, _NODE), "merkle-nodes")
+    for _ in range(max(1, -(-height(largest) // most))):
+        runs = _runs(nodes.select("tree", "pos", "total", "digest"), most)
+        nodes = stage(runs.applyInArrow(_raise(most), _NODE), "merkle-nodes")
         yield nodes
 
 
-def _descend(below: DataFrame, seeds: DataFrame, send, schema: str) -> DataFrame:
-    return _runs(below).cogroup(seeds.groupBy("tree", "pos")).applyInArrow(send, schema)
+def _descend(below: DataFrame, seeds: DataFrame, send, most: int, schema: str) -> DataFrame:
+    return _runs(below, most).cogroup(seeds.groupBy("tree", "pos")).applyInArrow(send(most), schema)
 
 
-def manifest(leaves: DataFrame) -> DataFrame:
+def manifest(leaves: DataFrame, levels: int = LEVELS) -> DataFrame:
     """Proof of every leaf. ``leaves`` has the columns id, tree (a group as a non-null string that
     sorts like the group), leaf, claim (the digest to verify: of the row as it is now).
 
@@ -194,25 +206,25 @@ def manifest(leaves: DataFrame) -> DataFrame:
     leaves = stage(leaves.withColumn("tie", F.monotonically_increasing_id()), "merkle-leaves")
     placed = with_position(leaves, ["tree"], ["id", "leaf", "tie"], "pos", "total")
     placed = stage(placed.select("id", "tree", "pos", "total", F.col("leaf").alias("digest"), "claim"), "merkle-placed")
-    *lower, subroots = _rounds(placed)
+    *lower, subroots = _rounds(placed, levels)
     ranked = subroots.select(F.lit("").alias("all"), "tree", F.col("digest").alias("subroot"))
     ranked = with_position(ranked, ["all"], ["tree"], "pos", "total")
     ranked = stage(ranked.select(F.col("tree").alias("group"), F.col("all").alias("tree"), "pos", "total",
                                  F.col("subroot").alias("digest")), "merkle-groups")
-    *upper, root = _rounds(ranked)
+    *upper, root = _rounds(ranked, levels)
     # Downwards: the root has no siblings; a subroot's siblings start the ways into its group.
     nothing = F.array().cast("array<string>")
     seeds = root.select("tree", "pos", nothing.alias("path"), F.array("digest").alias("roots"))
     for nodes in reversed(upper):
-        seeds = stage(_descend(nodes.select("tree", "pos", "total", "digest"), seeds, _lower, _SEED), "merkle-ways")
+        seeds = stage(_descend(nodes.select("tree", "pos", "total", "digest"), seeds, _lower, levels, _SEED), "merkle-ways")
     groups = ranked.select(F.col("group").alias("tree"), "pos", F.col("digest").alias("subroot"))
     seeds = groups.join(seeds.select("pos", "path", "roots"), "pos")
     seeds = seeds.select("tree", F.lit(0).cast("long").alias("pos"), "path",
                          F.concat(F.array("subroot"), "roots").alias("roots"))
     for nodes in reversed(lower[1:]):
-        seeds = stage(_descend(nodes, seeds, _lower, _SEED), "merkle-ways")
+        seeds = stage(_descend(nodes, seeds, _lower, levels, _SEED), "merkle-ways")
     proof = f"id {id_type}, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean"
-    return _descend(lower[0], seeds, _prove, proof)
+    return _descend(lower[0], seeds, _prove, levels, proof)
 
 
 def document_leaves(docs: DataFrame, tampered: Column | None = None) -> DataFrame:

@@ -17,7 +17,8 @@ would be quadratic. So a document meets only the shards that can hold its window
   hot themselves (the window itself if all are): equal windows have equal anchors. Anchors that
   one document has alone are dropped. Stretches whose anchors remain go to the shard of the least
   document with that anchor, so all documents with a window meet in one shard, and copies of a
-  text as one long stretch. A shard streams its stretches in the order of their ids through the
+  text as one long stretch; anchors of more than ``CROWD`` entries have shards of their own, so
+  that no shard gets all of a large group. A shard streams its stretches in the order of their ids through the
   automaton of those before, then adds them to it.
 
 Hashes only choose where a stretch is sent; words are compared as they are. Windows are judged on
@@ -41,6 +42,8 @@ from pulsegrid.plans.staging import stage
 WINDOW, GRAM = 13, 6
 HOT, HOT_WINDOWS, HOT_GRAMS = 0.004, 20_000, 100_000
 ANCHORS_PER_SHARD, WORDS_PER_SHARD = 500_000, 200_000
+#: Entries of an anchor from which on they meet at the anchor's own shard.
+CROWD = 200
 _U = np.uint64
 _NEVER = _U(0xFFFFFFFFFFFFFFFF)
 
@@ -230,21 +233,28 @@ def _anchors(hot, shards: int):
 _PLANES = {"anchor": np.uint64, "id": np.int64, "tag": np.int64, "place": "<u4", "n": "<u4"}
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of a shard's entries those whose anchor several ids have, with the least of these."""
-    anchor, id, tag, place, n = (
-        np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-        for name, kind in _PLANES.items()
-    )
-    order = np.lexsort((id, anchor))
-    a, d = anchor[order], id[order]
-    first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
-    size = np.diff(np.append(first, len(a)))
-    least, most = d[first], d[first + size - 1]
-    keep = np.repeat(least != most, size)
-    at = order[keep]
-    columns = [id[at], tag[at], place[at].astype(np.int32), n[at].astype(np.int32), np.repeat(least, size)[keep]]
-    return pa.table([pa.array(c) for c in columns], ["id", "tag", "place", "n", "holder"])
+def _shared(crowd: int):
+    """Of a shard's entries those whose anchor several ids have, and what they meet at: the least
+    of these ids, so that a copy stays in one stretch, or the anchor itself where many have it, so
+    that a group of copies is spread over the shards of its anchors."""
+
+    def run(table: pa.Table) -> pa.Table:
+        anchor, id, tag, place, n = (
+            np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
+            for name, kind in _PLANES.items()
+        )
+        order = np.lexsort((id, anchor))
+        a, d = anchor[order], id[order]
+        first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        size = np.diff(np.append(first, len(a)))
+        least, most = d[first], d[first + size - 1]
+        keep = np.repeat(least != most, size)
+        at = order[keep]
+        meets = np.where(size > crowd, a[first].view(np.int64), least)
+        columns = [id[at], tag[at], place[at].astype(np.int32), n[at].astype(np.int32), np.repeat(meets, size)[keep]]
+        return pa.table([pa.array(c) for c in columns], ["id", "tag", "place", "n", "meets"])
+
+    return run
 
 
 # --- automata ---------------------------------------------------------------------------------
@@ -261,8 +271,8 @@ def _stretches(shards: int):
                 for k, text in enumerate(texts_of(part, "text")):
                     own = text.encode("utf-8", "surrogatepass").split()
                     got = entries[k].values
-                    place, n, holder = (np.asarray(got.field(x)) for x in ("place", "n", "holder"))
-                    shard = ((mix(holder) >> _U(33)) % _U(shards)).astype(np.int64)
+                    place, n, meets = (np.asarray(got.field(x)) for x in ("place", "n", "meets"))
+                    shard = ((mix(meets) >> _U(33)) % _U(shards)).astype(np.int64)
                     order = np.argsort(place, kind="stable")
                     place, end, shard = place[order], (place + n)[order], shard[order]
                     new = np.ones(len(place), bool)
@@ -395,7 +405,9 @@ def _cut(hot):
     return run
 
 
-def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", hot: float = HOT) -> DataFrame:
+def remove_repeated(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", hot: float = HOT, crowd: int = CROWD
+) -> DataFrame:
     """One row per document: id, n_words, n_removed, spans (maximal removed runs of words: first
     and one past the last), kept (words that stay, joined by single spaces)."""
     spark = docs.sparkSession
@@ -425,10 +437,10 @@ def remove_repeated(docs: DataFrame, id: str = "doc_id", text: str = "text", hot
     packed = named.mapInArrow(
         _anchors(hot_values, shards), "shard long, anchor binary, id binary, tag binary, place binary, n binary"
     )
-    shared = packed.groupBy("shard").applyInArrow(_shared, "id long, tag long, place int, n int, holder long")
+    shared = packed.groupBy("shard").applyInArrow(_shared(crowd), "id long, tag long, place int, n int, meets long")
     shared = stage(shared, "shared-anchors")
     amount = shared.agg(F.sum(F.col("n") + WINDOW)).first()[0] or 0
-    entries = shared.groupBy("id", "tag").agg(F.collect_set(F.struct("place", "n", "holder")).alias("entries"))
+    entries = shared.groupBy("id", "tag").agg(F.collect_set(F.struct("place", "n", "meets")).alias("entries"))
     meeting = named.join(entries, ["id", "tag"]).select("id", "tag", "text", "entries")
     stretches = meeting.mapInArrow(
         _stretches(int(amount / WORDS_PER_SHARD) + 1), "shard long, id long, tag long, place int, stretch binary"
