@@ -37,6 +37,7 @@ from pulsegrid.plans.staging import stage
 
 FILTERS = "ABCDE"
 RANGE = 14
+TASK_ROWS = 1 << 16
 LABELS = ("good", "toxic")
 #: Texts that more than this share of all rows have are looked up in a broadcast table, which so
 #: has at most ``1 / HEAVY`` rows.
@@ -217,7 +218,10 @@ def set_sizes(lists: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per part, order of the filters and step."""
     spark = docs.sparkSession
-    sizes = stage(set_sizes(posting_lists(flags(docs, labels))), "audit-sizes")
+    lists = stage(posting_lists(flags(docs, labels)), "audit-lists")
+    # Merging costs far more than reading the lists: tasks by rows, not by bytes.
+    tasks = (lists.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS + 1
+    sizes = stage(set_sizes(lists.repartition(tasks, "part", "range")), "audit-sizes")
     last = len(FILTERS) - 1
     # What a filter removes after a set, summed over the orders that begin with that set.
     facts = [

@@ -237,8 +237,18 @@ def test_near_duplicates_equal_brute_force(spark):
             b[rng.randrange(len(b))] = word()
         texts.append(" ".join(b))
     texts += ["", None, "one two", "one two"]
-    docs = docs_of(spark, texts)
-    idf = minhash.document_frequencies(docs)
+    docs = docs_of(spark, texts).coalesce(1)
+    # Frequencies counted by hand; few texts, so that every window of two texts is a frequent one.
+    held = Counter()
+    for t in texts:
+        own = (t or "").split()
+        held.update({tuple(own[k : k + 5]) for k in range(max(1, len(own) - 4))} if own else ())
+    values = {g: minhash.ngrams(*common.words([" ".join(g)]), 5)[0][0] for g in held}
+    table = sorted((values[g], n) for g, n in held.items() if n > 1)
+    idf = minhash.Weights(np.array([v for v, _ in table]), np.array([n for _, n in table]), len(texts))
+    measured = minhash.window_weights(docs)
+    assert (measured.windows == idf.windows).all() and np.allclose(measured.idf, idf.idf) and measured.rest == idf.rest
+    assert np.isclose(idf.rest, np.log((1 + len(texts)) / 2) + 1)
     h, w, bounds = minhash.weighted_sets([t or "" for t in texts], idf)
     cut = lambda i: slice(bounds[i], bounds[i + 1])
     links, sims = [], minhash.similarities([t or "" for t in texts], idf)
