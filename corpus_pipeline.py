@@ -32,11 +32,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates."""
-    judged = minhash.near_duplicates(docs.select("doc_id", "text"))
-    kept = judged.filter("kept").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    return known.union(docs.filter("doc_id is null")).select(*COLUMNS)
+    """The document with the smallest id of each group of near-duplicates. Repeated rows are one;
+    rows without an id are compared like the others, under a number made of their text that comes
+    after all ids below 2^62."""
+    text = F.coalesce("text", F.lit(""))
+    unnamed = F.xxhash64(text).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
+    keyed = docs.select(*COLUMNS, F.coalesce("doc_id", unnamed).alias("_id"), F.sha2(text, 256).alias("_sha"))
+    once = keyed.dropDuplicates(["_id", "_sha"])
+    judged = minhash.near_duplicates(keyed.select("_id", "text"), id="_id")
+    kept = judged.filter("kept").select("_id").distinct()
+    return once.join(kept, "_id", "left_semi").select(*COLUMNS)
 
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
