@@ -17,9 +17,18 @@ from pulsegrid.plans.staging import stage
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
+#: Rows that go to a Python worker at once. Documents are wide: with Spark's 10,000 rows a batch
+#: and its copies take more of an executor than the work on them.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score below one half. Learned from all labels."""
+    _small_batches(spark)
     lexicon = toxicity.learn(docs, read(spark, sf_dir, "labels"))
     scored = toxicity.score(docs.select(*COLUMNS), lexicon, to="_score")
     return scored.filter(~toxicity.is_toxic(F.col("_score"))).select(*COLUMNS)
@@ -35,6 +44,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of near-duplicates. Repeated rows are one;
     rows without an id are compared like the others, under a number made of their text that comes
     after all ids below 2^62."""
+    _small_batches(spark)
     text = F.coalesce("text", F.lit(""))
     unnamed = F.xxhash64(text).bitwiseAND((1 << 62) - 1) + F.lit(1 << 62)
     keyed = docs.select(*COLUMNS, F.coalesce("doc_id", unnamed).alias("_id"), F.sha2(text, 256).alias("_sha"))
@@ -46,12 +56,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def repeats_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without strings of 100 bytes that also start earlier; n_chars follows the text."""
+    _small_batches(spark)
     cut = suffixes.remove_repeats(docs.select(*COLUMNS))
     return cut.withColumn("n_chars", F.coalesce(F.char_length("text").cast("long"), F.lit(0))).select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their places in sequences of at most 1024 tokens."""
+    _small_batches(spark)
     return packing.pack(packing.pieces(docs.select("doc_id", "text")))
 
 
