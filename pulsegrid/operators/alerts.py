@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import compare
 from pulsegrid.functions.timewin import trailing
-from pulsegrid.plans.ordering import CARRY_BLOCK_ROWS, with_position
-from pulsegrid.plans.staging import stage
+from pulsegrid.operators.cooldown import BLOCK_ROWS, fire
 
 # Name, metric, condition, threshold, severity, cooldown minutes.
 DEFAULT_RULES = [
@@ -56,108 +53,17 @@ def rule_match(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.filter(hit).withColumn("message", message)
 
 
-# ---- cooldown ------------------------------------------------------------------------
-#
-# Firing is greedy: after a breach fires, its rule is silent for the cooldown, so each step
-# depends on the one before. A block of breaches maps the time of the last firing before it
-# to the time of its own last firing; that map is a step function with few steps. Blocks
-# compute theirs in parallel, the steps are applied in order per series, and every block then
-# marks its firings from the known entry.
-
-
-def _micros(ts: pd.Series) -> np.ndarray:
-    return ts.to_numpy().astype("datetime64[us]").astype("int64")
-
-
-def _next_firing(ts: np.ndarray, cooldown: int) -> np.ndarray:
-    """Index of the breach that fires after each one, len(ts) if none in the block."""
-    return np.searchsorted(ts, ts + cooldown, side="left")
-
-
-def _block_steps(key_columns: list[str]):
-    def steps(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_pos")
-        ts, cooldown = _micros(pdf["timestamp"]), int(pdf["_cooldown"].iloc[0])
-        nxt = _next_firing(ts, cooldown)
-        last = ts.copy()
-        for i in range(len(ts) - 1, -1, -1):
-            if nxt[i] < len(ts):
-                last[i] = last[nxt[i]]
-        # Firing is free again at most one cooldown after the block's start, so the block's
-        # first firing is at latest the first breach from then on.
-        reach = min(len(ts), int(np.searchsorted(ts, ts[0] + cooldown, side="left")) + 1)
-        starts, ends = ts[:reach], last[:reach]
-        change = np.append(np.flatnonzero(np.diff(ends)), reach - 1)
-        out = {c: [pdf[c].iloc[0]] for c in [*key_columns, "_block"]}
-        out["_cooldown"] = [cooldown]
-        out["_starts"] = [starts[change].tolist()]
-        out["_ends"] = [ends[change].tolist()]
-        return pd.DataFrame(out)
-
-    return steps
-
-
-def _entries(key_columns: list[str]):
-    def entries(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block").reset_index(drop=True)
-        cooldown, fired, at = int(pdf["_cooldown"].iloc[0]), None, []
-        for starts, ends in zip(pdf["_starts"], pdf["_ends"]):
-            at.append(fired)
-            free = starts[0] if fired is None else fired + cooldown
-            i = int(np.searchsorted(starts, free, side="left"))
-            if i < len(starts):
-                fired = int(ends[i])
-        out = pdf[[*key_columns, "_block"]].copy()
-        out["_entry"] = pd.array(at, dtype="Int64")
-        return out
-
-    return entries
-
-
-def _mark(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("_pos").reset_index(drop=True)
-    ts, cooldown = _micros(pdf["timestamp"]), int(pdf["_cooldown"].iloc[0])
-    nxt = _next_firing(ts, cooldown)
-    entry = pdf["_entry"].iloc[0]
-    i = 0 if pd.isna(entry) else int(np.searchsorted(ts, int(entry) + cooldown, side="left"))
-    fired = []
-    while i < len(ts):
-        fired.append(i)
-        i = int(nxt[i])
-    return pdf.iloc[fired].drop(columns=["_cooldown", "_entry"])
-
-
 def alert_cooldown(
     breaches: DataFrame,
     keys: Sequence[str] = ("rule", "source"),
     order: Sequence[str] = ("timestamp", "event_id"),
-    block_rows: int = CARRY_BLOCK_ROWS,
+    block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """Breaches that fire: the first of each series, then the first at least a cooldown later.
 
-    ``keys=("rule",)`` shares the cooldown over all sources.
+    ``keys=("rule",)`` shares the cooldown over all sources. ``order`` begins with the time.
     """
-    keys = list(keys)
-    columns = breaches.columns
-    placed = with_position(breaches, keys, order, "_pos")
-    placed = placed.withColumn("_block", F.expr(f"_pos div {block_rows}")).withColumn(
-        "_cooldown", F.col("cooldown_minutes").cast("bigint") * 60_000_000
-    )
-    types = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    key_schema = ", ".join(f"`{k}` {types[k]}" for k in keys)
-    narrow = placed.select(*keys, "_block", "_pos", "_cooldown", "timestamp")
-    steps = narrow.groupBy(*keys, "_block").applyInPandas(
-        _block_steps(keys),
-        f"{key_schema}, _block bigint, _cooldown bigint, _starts array<bigint>, _ends array<bigint>",
-    )
-    entries = steps.groupBy(*keys).applyInPandas(
-        _entries(keys), f"{key_schema}, _block bigint, _entry bigint"
-    )
-    marked = placed.join(stage(entries, "cooldown_entries"), [*keys, "_block"])
-    marked = marked.select(*columns, "_pos", "_block", "_cooldown", "_entry")
-    schema = ", ".join(f"`{c}` {types[c]}" for c in [*columns, "_pos", "_block"])
-    fired = marked.groupBy(*keys, "_block").applyInPandas(_mark, schema)
-    return fired.select(*columns)
+    return fire(breaches, keys, order, "cooldown_minutes", block_rows)
 
 
 def alert_lifecycle(log: DataFrame) -> DataFrame:

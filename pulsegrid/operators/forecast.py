@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.timewin import trailing
 from pulsegrid.operators.timeseries import ORDER, SERIES, exponential_smoothing, ols_time, seconds
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.ordering import POS, TOTAL, last_n, numbered
 from pulsegrid.plans.staging import stage
 
@@ -72,8 +73,8 @@ def linear_model_info(df: DataFrame, keys: Sequence[str] = SERIES, value: str =
     """r2, mse and mae of the regression; the mean absolute error takes a second pass."""
     fit = linear_fit(df, keys, value)
     line = F.col("intercept") + F.col("slope") * (seconds("timestamp") - seconds("_t0"))
-    mae = df.join(fit, list(keys)).groupBy(*keys).agg(F.avg(F.abs(F.col(value) - line)).alias("mae"))
-    return fit.select(*keys, "r_squared", "mse").join(mae, list(keys))
+    mae = join_keys(df, fit, list(keys)).groupBy(*keys).agg(F.avg(F.abs(F.col(value) - line)).alias("mae"))
+    return join_keys(fit.select(*keys, "r_squared", "mse"), mae, list(keys))
 
 
 def exp_smoothing_forecast(
@@ -124,7 +125,7 @@ def seasonal_naive_forecast(
     pattern = placed.filter(season.isNotNull()).select(*keys, season.alias("place"), F.col(value).alias("forecast"))
     index = placed.groupBy(*keys, place.alias("place")).agg(F.avg(value).alias("seasonal_index"))
     steps = F.expr(f"sequence(0, {periods} - 1)")
-    both = pattern.join(index, [*keys, "place"])
+    both = join_keys(pattern, index, [*keys, "place"])
     return (
         both.withColumn("_i", F.explode(F.filter(steps, lambda i: i % seasonal_period == F.col("place"))))
         .select(*keys, (F.col("_i") + 1).alias("step"), "forecast", "place", "seasonal_index")

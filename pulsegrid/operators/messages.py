@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.timeseries import framed
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.ordering import BLOCK_ROWS, CARRY_BLOCK_ROWS, last_n, with_position
 from pulsegrid.plans.quantiles import group_quantiles
 from pulsegrid.plans.staging import stage
@@ -110,7 +111,7 @@ def delta_decode(
     inside = (
         Window.partitionBy(*keys, "_block").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     )
-    joined = placed.join(seeds, [*keys, "_block"])
+    joined = join_keys(placed, seeds, [*keys, "_block"])
     state = {
         f: F.coalesce(F.last(f"_set_{f}", ignorenulls=True).over(inside), F.col(f"_seed_{f}")).getField("v")
         for f in fields
@@ -145,7 +146,7 @@ def stream_aggregate(
         F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"),
     )
     median = group_quantiles(rows, by, "value", [0.5], approx)
-    return basics.join(median, by).select(*basics.columns, F.col("q")[0].alias("median"))
+    return join_keys(basics, median, by).select(*basics.columns, F.col("q")[0].alias("median"))
 
 
 def latency_throughput(
@@ -164,7 +165,7 @@ def latency_throughput(
     )
     p95 = group_quantiles(events.filter(F.col(latency) > 0), keys, latency, [0.95], approx)
     rate = F.when(F.col("total_events") > 1, F.col("total_events") / F.col("time_span_seconds"))
-    return basics.join(p95, keys, "left").select(
+    return join_keys(basics, p95, keys, "left").select(
         *basics.columns, F.col("q")[0].alias("percentile_95"), rate.alias("events_per_second")
     )
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.quantiles import group_quantiles, quantiles_of_counts, value_counts
 from pulsegrid.plans.staging import stage
 
@@ -19,7 +20,7 @@ def _joined(df: DataFrame, stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     The statistics are written first: with their true size known the optimizer broadcasts them
     when they fit and otherwise joins by shuffle with its skew handling.
     """
-    return df.join(stage(stats, "group_stats"), list(keys))
+    return join_keys(df, stage(stats, "group_stats"), list(keys))
 
 
 def zscore_outliers(
@@ -58,7 +59,7 @@ def outliers_iqr(
         q = quantiles_of_counts(counts, keys, [0.25, 0.75])
         n = counts.groupBy(*keys).agg(F.sum("_count").alias("_n")).filter("_n >= 4")
     spread = 1.5 * (F.col("q")[1] - F.col("q")[0])
-    bounds = q.join(n, keys).select(
+    bounds = join_keys(q, n, keys).select(
         *keys, (F.col("q")[0] - spread).alias("_low"), (F.col("q")[1] + spread).alias("_high")
     )
     rows = _joined(df, bounds, keys)
@@ -79,7 +80,7 @@ def outliers_modified_zscore(
         quantiles_of_counts(counts, keys, [0.5]).select(*keys, F.col("q")[0].alias("_median")), "medians"
     )
     deviations = (
-        counts.join(median, keys)
+        join_keys(counts, median, keys)
         .withColumn("_value", F.abs(F.col("_value") - F.col("_median")))
         .groupBy(*keys, "_value")
         .agg(F.sum("_count").alias("_count"))
@@ -88,7 +89,7 @@ def outliers_modified_zscore(
         *keys, F.col("q")[0].alias("_mad")
     )
     n = counts.groupBy(*keys).agg(F.sum("_count").alias("_n")).filter("_n >= 4").drop("_n")
-    stats = median.join(mad, keys).join(n, keys).filter("_mad > 0")
+    stats = join_keys(join_keys(median, mad, keys), n, keys).filter("_mad > 0")
     rows = _joined(df, stats, keys)
     z = F.abs(0.6745 * (F.col(value) - F.col("_median")) / F.col("_mad"))
     return rows.filter(z > threshold).drop("_median", "_mad")
@@ -100,6 +101,6 @@ def outlier_summary(df: DataFrame, outliers: DataFrame, keys: Sequence[str] = SE
     n = df.groupBy(*keys).agg(F.count("*").alias("_n"))
     hits = outliers.groupBy(*keys).agg(F.count("*").alias("outlier_count"))
     count = F.coalesce("outlier_count", F.lit(0))
-    return n.join(hits, keys, "left").select(
+    return join_keys(n, hits, keys, "left").select(
         *keys, count.alias("outlier_count"), (count / F.col("_n") * 100).alias("outlier_percentage")
     )

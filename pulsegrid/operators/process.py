@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,36 +78,48 @@ def process_history(processes: DataFrame, pid: int) -> DataFrame:
 
 
 def process_tree(processes: DataFrame, root: int) -> DataFrame:
-    """Descendants of a process with depth and path, level by level.
-
-    Each level is one join of the written frontier with the process table, until a level is
-    empty; the path stops cycles. ``processes`` needs pid, parent_pid, name and status.
+    """Descendants of a process with depth and path, by ancestors 1, 2, 4, … levels up.
+
+    In each round a process that has not reached the root takes over the ancestor of its
+    ancestor, twice as far up, so a tree of depth d takes log2(d) rounds. The first rounds find
+    the descendants and carry no paths: a cycle never reaches the root and is left behind there.
+    The second ones join the paths of the descendants alone. A parent that is not in the table
+    ends a way. ``processes`` needs pid, parent_pid, name and status; of several rows of a pid
+    the least counts.
     """
-    nodes = processes.select("pid", "parent_pid", "name", "status")
-    start = nodes.filter(F.col("pid") == root).select(
-        "pid", "name", "status", F.lit(0).alias("depth"), F.array("pid").alias("path")
+    one = F.min(F.struct("parent_pid", "name", "status"))
+    nodes = processes.groupBy("pid").agg(one.alias("_p")).select("pid", "_p.*")
+    nodes = stage(nodes.filter(F.col("pid").isNotNull()), "tree-nodes")
+    links = nodes.filter((F.col("pid") != root) & F.col("parent_pid").isNotNull())
+    links = links.select("pid", F.col("parent_pid").alias("up"))
+    below = _climbed(links, root, {}).select("pid")
+    own = stage(links.join(below, "pid").withColumn("path", F.array("pid")), "tree-links")
+    paths = _climbed(own, root, {"path": lambda upper, lower: F.concat(upper, lower)})
+    start = nodes.filter(F.col("pid") == root).select("pid", F.array().cast(paths.schema["path"].dataType).alias("path"))
+    reached = paths.select("pid", F.concat(F.array(F.lit(root).cast(nodes.schema["pid"].dataType)), "path").alias("path"))
+    # The root itself has the path of one; below it only if it is in the table.
+    found = start.withColumn("path", F.array("pid")).union(reached.join(start.select(), how="left_semi"))
+    return nodes.join(found, "pid").select(
+        "pid", "name", "status", (F.size("path") - 1).alias("depth"), "path", F.lit(root).alias("root")
     )
-    level, depth = stage(start, "tree"), 0
-    levels = [level]
-    while True:
-        depth += 1
-        parent = level.select(F.col("pid").alias("parent_pid"), F.col("path").alias("_up"))
-        children = (
-            nodes.join(parent, "parent_pid")
-            .filter(~F.array_contains("_up", F.col("pid")))
-            .select(
-                "pid", "name", "status", F.lit(depth).alias("depth"),
-                F.concat("_up", F.array("pid")).alias("path"),
-            )
-        )
-        level = stage(children, "tree")
-        if level.isEmpty():
-            break
-        levels.append(level)
-    out = levels[0]
-    for one in levels[1:]:
-        out = out.unionByName(one)
-    return out.withColumn("root", F.lit(root))
+
+
+def _climbed(links: DataFrame, root: int, joined: dict[str, Callable[[Column, Column], Column]]) -> DataFrame:
+    """``links`` (pid, up) whose way leads to ``root``, followed to it. ``joined`` says how a
+    column of the upper part of a way and that of the lower part become one."""
+    most = links.count()
+    waiting = stage(links.filter(F.col("up") != root), "tree-waiting")
+    done, reach = links.filter(F.col("up") == root), 1
+    # A way without a cycle is no longer than the number of links.
+    while reach <= most and not waiting.isEmpty():
+        upper = done.unionByName(waiting)
+        upper = upper.select(F.col("pid").alias("up"), F.col("up").alias("_up"), *[F.col(c).alias(f"_{c}") for c in joined])
+        both = [f(F.col(f"_{c}"), F.col(c)).alias(c) for c, f in joined.items()]
+        moved = stage(waiting.join(upper, "up").select("pid", F.col("_up").alias("up"), *both), "tree-moved")
+        done = stage(done.unionByName(moved.filter(F.col("up") == root)), "tree-done")
+        waiting = moved.filter(F.col("up") != root)
+        reach *= 2
+    return done
 
 
 def _family(col: Column) -> Column:

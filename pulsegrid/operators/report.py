@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions.timewin import trailing
 from pulsegrid.operators import forecast, outliers, stats, timeseries
 from pulsegrid.operators.timeseries import ORDER, SERIES
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.ordering import numbered
 from pulsegrid.plans.staging import stage
 
@@ -50,8 +51,8 @@ def metric_report(
     seasonal = as_list(forecast.seasonal_naive_forecast(rows, 24, 12, keys, order), "seasonal_forecast")
     out = described
     for part in (hits, trend.drop("n"), season, stationary, linear, flat):
-        out = out.join(part, keys)
-    return out.join(seasonal, keys, "left")
+        out = join_keys(out, part, keys)
+    return join_keys(out, seasonal, keys, "left")
 
 
 def cross_metric_analysis(

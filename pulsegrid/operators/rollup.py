@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.quantiles import group_quantiles, quantiles_of_counts
 from pulsegrid.plans.staging import stage
 
@@ -59,7 +60,7 @@ def rollup_metrics(
             .agg(F.sum("_count").alias("_count"))
         )
         q = quantiles_of_counts(stage(counts, "rollup_counts"), keys, [0.95, 0.99])
-    return basics.join(q, keys).select(
+    return join_keys(basics, q, keys).select(
         *basics.columns,
         F.col("q")[0].alias("percentile_95"),
         F.col("q")[1].alias("percentile_99"),
@@ -95,7 +96,7 @@ def performance_baselines(metrics: DataFrame, approx: bool = False) -> DataFrame
     )
     q = group_quantiles(spread, keys, "value", [0.5, 0.9, 0.95, 0.99], approx)
     points = [F.col("q")[i].alias(f"percentile_{p}") for i, p in enumerate((50, 90, 95, 99))]
-    return basics.join(q, keys).select(*basics.columns, *points)
+    return join_keys(basics, q, keys).select(*basics.columns, *points)
 
 
 def baseline_join(anomalies: DataFrame, baselines: DataFrame) -> DataFrame:

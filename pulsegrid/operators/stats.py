@@ -8,6 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.ordering import with_position
 from pulsegrid.plans.quantiles import group_quantiles, quantiles_of_counts, value_counts
 from pulsegrid.plans.staging import stage
@@ -42,7 +43,7 @@ def descriptive_stats(
     else:
         q = quantiles_of_counts(counts, keys, probs)
     points = [F.col("q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTILES)]
-    out = moments.filter("count >= 2").join(q, keys).join(mode, keys)
+    out = join_keys(join_keys(moments.filter("count >= 2"), q, keys), mode, keys)
     return out.select(
         *keys,
         "count",
@@ -76,7 +77,7 @@ def summary_stats(
         F.max(value).alias("max"),
     )
     q = group_quantiles(df, keys, value, [0.95, 0.99], approx)
-    return moments.join(q, keys).select(
+    return join_keys(moments, q, keys).select(
         *keys,
         "mean",
         "std",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.functions.columns import calendar
 from pulsegrid.functions.distributions import t_p_value
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, numbered, with_frames, with_sliding_moments
 
 SERIES = ("metric_name",)
@@ -359,7 +360,7 @@ def exponential_smoothing(
     inside = Window.partitionBy(*keys, "_run").orderBy(POS).rowsBetween(Window.unboundedPreceding, 0)
     before = F.coalesce(F.col("_carry"), F.lit(0.0)) * keep
     smoothed = F.pow(F.lit(keep), F.col("_i")) * (F.sum(grown).over(inside) + before)
-    result = rows.join(carry, [*keys, "_run"], "left").withColumn(out, smoothed)
+    result = join_keys(rows, carry, [*keys, "_run"], "left").withColumn(out, smoothed)
     result = result.select(*rows.columns, out).drop("_run", "_i")
     return result if keep_position else result.drop(POS, TOTAL)
 

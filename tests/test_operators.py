@@ -1,5 +1,6 @@
 """Edge cases on small hand-made tables."""
 
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -202,30 +203,31 @@ def test_breach_burst(spark, block):
     assert sorted(r.event_id for r in got.collect()) == [0, 3, 4]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 400), min_size=1, max_size=60), st.integers(1, 30), st.integers(1, 9))
-def test_cooldown_blocks_equal_the_scan(minutes, cooldown, block):
-    """The three block steps in pandas, against the plain scan."""
-    import pandas as pd
-
-    ts = sorted(minutes)
-    pdf = pd.DataFrame(
-        {"rule": "r", "_pos": range(len(ts)), "_cooldown": cooldown * 60_000_000,
-         "timestamp": [pd.Timestamp(T0) + pd.Timedelta(minutes=m) for m in ts]}
-    )
-    pdf["_block"] = pdf["_pos"] // block
-    steps = pd.concat([alerts._block_steps(["rule"])(g) for _, g in pdf.groupby("_block")])
-    entries = alerts._entries(["rule"])(steps).set_index("_block")["_entry"]
-    fired = []
-    for b, g in pdf.groupby("_block"):
-        g = g.assign(_entry=entries[b])
-        fired += alerts._mark(g)["_pos"].tolist()
-    want, last = [], None
-    for i, m in enumerate(ts):
-        if last is None or m >= last + cooldown:
-            want.append(i)
-            last = m
-    assert fired == want
+@pytest.mark.parametrize("block_rows", [7, 60, 100_000])
+def test_cooldown_over_blocks_and_null_keys(spark, block_rows):
+    """Ways over many blocks; blocks shorter and longer than a cooldown; null parts of keys."""
+    rng, start, rows = random.Random(4), datetime(2024, 1, 1), []
+    for rule, source, n, span, minutes in [("a", "x", 400, 4000, 5), ("a", None, 300, 9000, 5), (None, None, 200, 60, 1), ("b", "x", 3, 1, 0)]:
+        rows += [(rule, source, start + timedelta(seconds=rng.randrange(span)), len(rows) + i, minutes) for i in range(n)]
+    want, last = set(), {}
+    for rule, source, ts, event, minutes in sorted(rows, key=lambda r: (r[2], r[3])):
+        before = last.get((rule, source))
+        if before is None or ts - before >= timedelta(minutes=minutes):
+            want.add(event)
+            last[(rule, source)] = ts
+    schema = "rule string, source string, timestamp timestamp, event_id long, cooldown_minutes int"
+    got = alerts.alert_cooldown(spark.createDataFrame(rows, schema), block_rows=block_rows)
+    assert sorted(r["event_id"] for r in got.collect()) == sorted(want)
+
+
+def test_process_tree_of_a_chain_with_cycles_and_orphans(spark):
+    rows = [(i, i - 1 if i > 1 else None, f"n{i}", "s") for i in range(1, 80)]
+    rows += [(100, 101, "c", "s"), (101, 100, "c", "s"), (102, 100, "c", "s"), (200, 30, None, None), (300, 999, "o", "s"), (None, 1, "x", "s")]
+    table = spark.createDataFrame(rows, "pid int, parent_pid int, name string, status string")
+    got = {r["pid"]: (r["depth"], r["path"]) for r in process.process_tree(table, 1).collect()}
+    want = {i: (i - 1, list(range(1, i + 1))) for i in range(1, 80)} | {200: (30, [*range(1, 31), 200])}
+    assert got == want
+    assert process.process_tree(table, 12345).count() == 0
 
 
 def test_cooldown_is_per_source(spark):
@@ -511,3 +513,31 @@ def test_column_rules(spark):
     nested = spark.createDataFrame([(({"x": 1.239},), [1.555, 2.0], None)], "s struct<m:map<string,double>>, a array<double>, n struct<z:int>")
     r = one(C.sanitize_numeric(nested, ["s", "a", "n"]))
     assert r.s.m == {"x": 1.24} and r.a == [1.56, 2.0] and r.n is None
+
+
+# ---- null keys -----------------------------------------------------------------------
+
+
+def test_a_null_key_is_a_key_like_any_other(spark):
+    """The same series under a name and under none gives the same numbers."""
+    start = datetime(2024, 1, 1)
+    values = [50.0 + (i % 24) + (300 if i == 77 else 0) for i in range(240)]
+    rows = [(k * 1000 + i, start + timedelta(hours=i), name, v) for k, name in enumerate(["a", None]) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "event_id long, timestamp timestamp, metric_name string, value double")
+    keys, order = ["metric_name"], ["timestamp", "event_id"]
+    shared = {
+        "smoothing": timeseries.exponential_smoothing(df, 0.3, "s", "value", keys, order),
+        "seasonal": forecast.seasonal_naive_forecast(df, 24, 30, keys=keys),
+        "mae": forecast.linear_model_info(df, keys),
+        "zscore": outliers.zscore_outliers(df, keys=keys),
+        "iqr": outliers.outliers_iqr(df, keys=keys),
+        "modified": outliers.outliers_modified_zscore(df, keys=keys),
+        "stats": stats.descriptive_stats(df, keys),
+        "summary": stats.summary_stats(df, keys),
+    }
+    for name, out in shared.items():
+        got = {"a": [], None: []}
+        for r in out.drop("event_id", "indices").collect():
+            r = r.asDict()
+            got[r.pop("metric_name")].append(str(sorted(r.items(), key=str)))
+        assert sorted(got["a"]) == sorted(got[None]) and got["a"], name
