@@ -147,7 +147,7 @@ FROM (SELECT *, printf('%02d:00-%02d:00', hour(timestamp), (hour(timestamp) + 1)
 JOIN baselines b ON a.metric_name = b.metric_name AND b.baseline_type = 'hourly' AND b.time_period = a.period""",
 )
 def baseline_join(spark, d):
-    base = rollup.performance_baselines(A.metrics_long(spark, d))
+    base = rollup.performance_baselines(A.metrics_long(spark, d), kinds=("hourly",))
     return rounded(rollup.baseline_join(A.anomaly_log(spark, d), base))
 
 

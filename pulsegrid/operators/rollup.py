@@ -27,26 +27,60 @@ def _levels(ts: Column, levels: Sequence[str]) -> Column:
     )
 
 
+def _hourly(metrics: DataFrame, series: Sequence[str]) -> DataFrame:
+    """State of every series and hour: what coarser buckets are merged from. Rows are aggregated
+    map-side and read once."""
+    states = metrics.groupBy(*series, F.date_trunc("hour", "timestamp").alias("_hour")).agg(
+        F.count("value").alias("_n"),
+        F.avg("value").alias("_mean"),
+        (F.var_pop("value") * F.count("value")).alias("_m2"),
+        F.sum("value").alias("_sum"),
+        F.min("value").alias("_min"),
+        F.max("value").alias("_max"),
+    )
+    return stage(states, "hourly-states")
+
+
+def _merged(states: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """States of larger buckets: counts, sums and bounds add up, and the squared deviations of
+    a bucket are those inside its hours and those of the hours' means from its own."""
+    got = F.col("_n") > 0
+    part = F.when(got, F.struct("_n", "_mean", "_m2"))
+    out = states.groupBy(*keys).agg(
+        F.min("_min").alias("min_value"),
+        F.max("_max").alias("max_value"),
+        F.sum("_sum").alias("sum_value"),
+        F.sum("_n").alias("count_value"),
+        # Hours of a bucket: 744 of a month at most.
+        F.collect_list(part).alias("_parts"),
+    )
+    mean = F.try_divide("sum_value", "count_value")
+    out = out.withColumn("avg_value", mean)
+    around = F.aggregate(
+        F.col("_parts"),
+        F.lit(0.0),
+        lambda total, p: total + p["_m2"] + p["_n"] * (p["_mean"] - F.col("avg_value")) * (p["_mean"] - F.col("avg_value")),
+    )
+    std = F.when(F.col("count_value") > 1, F.sqrt(around / (F.col("count_value") - 1)))
+    return out.withColumn("std_dev", std).drop("_parts")
+
+
 def rollup_metrics(
     metrics: DataFrame, levels: Sequence[str] = LEVELS, approx: bool = False
 ) -> DataFrame:
     """Min, max, avg, sum, count, sample std, p95 and p99 per bucket and level.
 
-    Rows are aggregated map-side before the only shuffle; the percentile histogram of the
-    coarser levels is built from the hourly one, not from the rows again.
+    Rows are read once into hourly states, which are merged into the levels; the percentile
+    histogram of the coarser levels is built from the hourly one, not from the rows again.
     """
     series = ["metric_type", "metric_name"]
     keys = ["aggregation_level", "time_bucket", *series]
-    spread = metrics.select(*series, "value", F.inline(_levels(F.col("timestamp"), levels)))
-    basics = spread.groupBy(*keys).agg(
-        F.min("value").alias("min_value"),
-        F.max("value").alias("max_value"),
-        F.avg("value").alias("avg_value"),
-        F.sum("value").alias("sum_value"),
-        F.count("value").alias("count_value"),
-        F.stddev_samp("value").alias("std_dev"),
+    merged = _merged(_hourly(metrics, series).select("*", F.inline(_levels(F.col("_hour"), levels))), keys)
+    basics = merged.select(
+        *keys, "min_value", "max_value", "avg_value", "sum_value", "count_value", "std_dev"
     )
     if approx:
+        spread = metrics.select(*series, "value", F.inline(_levels(F.col("timestamp"), levels)))
         q = group_quantiles(spread, keys, "value", [0.95, 0.99], approx=True)
     else:
         hourly = (
@@ -67,8 +101,13 @@ def rollup_metrics(
     )
 
 
-def performance_baselines(metrics: DataFrame, approx: bool = False) -> DataFrame:
-    """Distribution per metric by hour of day, weekday and week of year."""
+BASELINES = ("hourly", "daily", "weekly")
+
+
+def performance_baselines(
+    metrics: DataFrame, approx: bool = False, kinds: Sequence[str] = BASELINES
+) -> DataFrame:
+    """Distribution per metric by hour of day, weekday and week of year; ``kinds`` picks some."""
     ts = F.col("timestamp")
     hour = F.hour(ts)
     periods = F.array(
@@ -86,6 +125,7 @@ def performance_baselines(metrics: DataFrame, approx: bool = False) -> DataFrame
         ),
     )
     keys = ["metric_name", "baseline_type", "time_period"]
+    periods = F.filter(periods, lambda p: p["baseline_type"].isin(list(kinds)))
     spread = metrics.select("metric_name", "value", F.inline(periods))
     basics = spread.groupBy(*keys).agg(
         F.min("value").alias("min_value"),

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.comoments import correlations
 from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.ordering import with_position
 from pulsegrid.plans.quantiles import group_quantiles, quantiles_of_counts, value_counts
@@ -134,15 +134,7 @@ def timestamp_align(
 
 def correlation_matrix(wide: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair, from one pass over the wide rows."""
-    pairs = list(combinations(columns, 2))
-    one = wide.agg(*[F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    cells = F.array(
-        *[
-            F.struct(F.lit(a).alias("metric1"), F.lit(b).alias("metric2"), F.col(f"c{i}").alias("correlation"))
-            for i, (a, b) in enumerate(pairs)
-        ]
-    )
-    return one.select(F.inline(cells))
+    return correlations(wide, columns)
 
 
 def significant_correlations(matrix: DataFrame) -> DataFrame:

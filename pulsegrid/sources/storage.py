@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from pulsegrid.functions.columns import json_map, map_number, with_json_map
 from pulsegrid.functions.timewin import latest, trailing
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.staging import stage
 
 CSV_TIMESTAMP = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
@@ -212,22 +213,29 @@ def incremental_load(
     path: str,
     ts: str = "timestamp",
     row_id: Sequence[str] | None = None,
+    lateness: timedelta | None = None,
 ) -> DataFrame:
-    """Append the rows newer than the table's newest row. Running it again adds nothing.
+    """Append the rows that the table does not have yet, late ones and ties included. Running it
+    again adds nothing.
 
-    With ``row_id``, rows of that newest instant that are not in the table yet are added too.
+    Rows are known by ``row_id``; without it by all their columns, and of equal rows as many are
+    added as the table has too few. With ``lateness``, rows older than that before the table's
+    newest row are not looked at, and the comparison reads only the table's later dates.
     """
     fs, jvm = _filesystem(spark, path)
-    watermark = None
+    fresh = source
     if fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
-        watermark = spark.read.parquet(path).agg(F.max(ts)).first()[0]
-    if watermark is None:
-        fresh = source
-    elif row_id is None:
-        fresh = source.filter(F.col(ts) > F.lit(watermark))
-    else:
-        loaded = spark.read.parquet(path).filter(F.col(ts) == F.lit(watermark)).select(*row_id)
-        fresh = source.filter(F.col(ts) >= F.lit(watermark)).join(loaded, list(row_id), "left_anti")
+        loaded = spark.read.parquet(path)
+        newest = loaded.agg(F.max(ts)).first()[0] if lateness is not None else None
+        if newest is not None:
+            edge = F.lit(newest - lateness)
+            source, loaded = source.filter(F.col(ts) >= edge), loaded.filter(F.col(ts) >= edge)
+        if row_id is None:
+            fresh = source.exceptAll(loaded.select(*source.columns))
+        else:
+            fresh = join_keys(source, loaded.select(*row_id).distinct(), list(row_id), "left_anti")
+        # Written before the table grows: the plan reads the table it is appended to.
+        fresh = stage(fresh, "fresh-rows")
     append_table(fresh, path, ts)
     return spark.read.parquet(path)
 

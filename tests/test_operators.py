@@ -541,3 +541,33 @@ def test_a_null_key_is_a_key_like_any_other(spark):
             r = r.asDict()
             got[r.pop("metric_name")].append(str(sorted(r.items(), key=str)))
         assert sorted(got["a"]) == sorted(got[None]) and got["a"], name
+
+
+def test_incremental_load_takes_late_rows_and_ties(spark):
+    rows = [(1, T0, 1.0), (2, T0 + timedelta(hours=5), 2.0), (2, T0 + timedelta(hours=5), 2.0)]
+    late = [(3, T0 + timedelta(hours=1), 3.0), (4, T0 + timedelta(hours=5), None), (5, T0 + timedelta(hours=9), 5.0)]
+    schema = "event_id long, timestamp timestamp, value double"
+    path = stage_path(spark, "late-rows")
+    storage.incremental_load(spark, spark.createDataFrame(rows[:2], schema), path)
+    for _ in range(2):
+        out = storage.incremental_load(spark, spark.createDataFrame(rows + late, schema), path)
+        assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 2, 3, 4, 5]
+    very_late = spark.createDataFrame([(6, T0 - timedelta(days=1), 6.0), (7, T0 + timedelta(hours=8), 7.0)], schema)
+    out = storage.incremental_load(spark, very_late, path, row_id=["event_id"], lateness=timedelta(hours=3))
+    assert sorted(r["event_id"] for r in out.collect()) == [1, 2, 2, 3, 4, 5, 7]
+
+
+def test_correlations_of_many_columns(spark):
+    rng = np.random.default_rng(3)
+    x = 1e6 + rng.normal(size=(300, 200)).cumsum(axis=1)
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = 4.0
+    names = [f"m{i}" for i in range(x.shape[1])]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in x]
+    wide = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    got = {(r["metric1"], r["metric2"]): r["correlation"] for r in stats.correlation_matrix(wide, names).collect()}
+    assert len(got) == 200 * 199 // 2
+    for i, j in [(0, 1), (3, 150), (198, 199), (20, 21)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        assert abs(got[(names[i], names[j])] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
+    assert got[("m6", "m7")] is None
