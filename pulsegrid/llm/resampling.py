@@ -1,10 +1,10 @@
 """Quality by importance resampling.
 
 Two generative models over hashed word n-grams (one and two words), one of target text and one
-of the raw corpus, give each document a log importance weight: the mean log ratio of its
-n-grams times the number of n-grams up to ``EVIDENCE``, so that long texts do not outweigh
-everything by length alone. Gumbel noise seeded by the row key is added and the top k keys are
-a sample without replacement in proportion to the weights.
+of the raw corpus, give each document a log importance weight: the log ratio of its likelihoods
+under the two, summed over all its n-grams. Gumbel noise seeded by the row key is added and the
+top k keys are a sample without replacement in proportion to the weights. ``weigh`` can temper
+the weight of long texts on request (``evidence``); by default it does not.
 
 The raw model counts all documents. The target model counts a bounded sample of at most
 ``TARGET_DOCS`` labelled good documents, chosen by a hash of the id.
@@ -28,7 +28,6 @@ from pulsegrid.plans.ordering import with_position
 
 BUCKETS = 1 << 14
 TARGET_DOCS = 20_000
-EVIDENCE = 64
 KEEP_SHARE = 0.85
 _U = np.uint64
 
@@ -77,8 +76,11 @@ def target_rows(docs: DataFrame, labels: DataFrame, seed: int = 5) -> DataFrame:
     return docs.join(F.broadcast(ids), "doc_id", "left_semi")  # at most TARGET_DOCS ids
 
 
-def weigh(docs: DataFrame, ratio: np.ndarray, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: id, n_grams, log_weight."""
+def weigh(
+    docs: DataFrame, ratio: np.ndarray, id: str = "doc_id", text: str = "text", evidence: int | None = None
+) -> DataFrame:
+    """One row per document: id, n_grams, log_weight. With ``evidence`` a text of more n-grams
+    weighs as if it had that many, at the mean log ratio of all of them."""
     sent = docs.sparkSession.sparkContext.broadcast(ratio)
     kind = docs.schema[id].dataType.simpleString()
 
@@ -88,7 +90,7 @@ def weigh(docs: DataFrame, ratio: np.ndarray, id: str = "doc_id", text: str = "t
                 bucket, owner = grams(texts_of(part, text))
                 n = np.bincount(owner, minlength=part.num_rows)
                 s = np.bincount(owner, weights=sent.value[bucket], minlength=part.num_rows)
-                w = s / np.maximum(n, 1) * np.minimum(n, EVIDENCE)
+                w = s if evidence is None else s / np.maximum(n, 1) * np.minimum(n, evidence)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(id), pa.array(n, pa.int64()), pa.array(w, pa.float64())], [id, "n_grams", "log_weight"]
                 )
