@@ -13,7 +13,8 @@ posterior of each pattern is joined back.
 
 Null text has no words. Texts of fewer than ``LEAST_WORDS`` words or with most words in
 repeated windows fail outright. An empty table gives an empty result; repeated rows count
-each; only ``doc_id`` and the text column are read, other columns are carried on.
+each; only ``doc_id`` and the text column are read, other columns are carried on under numbered
+names, so that their own may be those of the measures or of columns used on the way.
 """
 
 from __future__ import annotations
@@ -93,10 +94,11 @@ def _repeat_words(words: Column) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """Counts of each text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and
-    what the rules look at. Columns of the same names are replaced, the text is dropped."""
+    what the rules look at. Columns of the same names are replaced, the text is dropped, all
+    others are carried on."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     names += [m for m, _, _ in RULES.values() if m != "n_words"]
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     words = F.filter(F.split(t, _BREAK), lambda w: w != "")
     bare = F.regexp_replace(t, _BREAK, "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(_WORD))
@@ -113,9 +115,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         "_ended": F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?][\x20\x09-\x0D]*$"))).cast("double"),
         "_exclaims": (F.char_length("_bare") - F.char_length(F.translate("_bare", "!", ""))).cast("double"),
     }
-    kept = [F.col(f"`{c}`") for c in docs.columns if c != text and c not in names]
+    kept = [c for c in docs.columns if c != text and c not in names]
+    carried = [F.col(f"`{c}`").alias(f"_carried{i}") for i, c in enumerate(kept)]
     cut = with_computed(
-        docs.select(*kept, t.alias("_text")).withColumnRenamed("_text", text),
+        docs.select(*carried, t.alias(text)),
         {"_words": words, "_bare": bare, "_lines": lines},
     ).drop(text)
     out = with_computed(cut, first).drop("_words", "_bare", "_lines")
@@ -135,7 +138,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         }
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 100 * MOST_REPEATED * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_n_lines", "_kinds", "_letters", "_capitals", "_exclaims", "_ended")
+    done = out.withColumn("base_failed", failed)
+    return done.select(*[F.col(f"_carried{i}").alias(c) for i, c in enumerate(kept)], *names)
 
 
 def votes(measured: DataFrame) -> DataFrame:
@@ -206,13 +210,14 @@ def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
 
 
 def judge(voted: DataFrame) -> DataFrame:
-    """Add ``quality`` (posterior) and ``kept`` to voted rows; drops the pattern."""
+    """Add ``quality`` (posterior) and ``kept`` to voted rows, in place of columns of these
+    names; drops the pattern."""
     spark = voted.sparkSession
     # At most three to the number of rules rows.
     counts = {r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()}
     post = estimate(counts)
     table = spark.createDataFrame(list(post.items()), "pattern string, quality double")
-    joined = voted.join(F.broadcast(table), "pattern", "left")
+    joined = voted.drop("quality", "kept").join(F.broadcast(table), "pattern", "left")
     kept = ~F.col("base_failed") & (F.col("quality") >= KEEP_FROM)
     return joined.withColumn("kept", kept).drop("pattern")
 
@@ -222,9 +227,10 @@ def filter_documents(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Two scans and no shuffle of texts: the first counts vote patterns, the second computes each
     row's pattern again and keeps it by the pattern's posterior."""
-    copied = docs.withColumn("_whole", F.col(text))
-    voted = votes(measures(copied, text))
-    counts = {r["pattern"]: r["n"] for r in votes(measures(docs.select(text), text)).groupBy("pattern").agg(F.count("*").alias("n")).collect()}
+    numbered = [F.col(f"`{c}`").alias(f"in{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*numbered, F.col(f"`{text}`").alias("text"))
+    patterns = votes(measures(rows.select("text"))).groupBy("pattern").agg(F.count("*").alias("n"))
+    counts = {r["pattern"]: r["n"] for r in patterns.collect()}
     good = [p for p, q in estimate(counts).items() if q >= KEEP_FROM]
-    kept = voted.filter(~F.col("base_failed") & F.col("pattern").isin(good))
-    return kept.select(*[F.col("_whole").alias(c) if c == text else F.col(c) for c in docs.columns])
+    kept = votes(measures(rows)).filter(~F.col("base_failed") & F.col("pattern").isin(good))
+    return kept.select(*[F.col(f"in{i}").alias(c) for i, c in enumerate(docs.columns)])

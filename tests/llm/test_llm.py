@@ -325,6 +325,48 @@ def test_quality_verdicts(spark, empty):
     assert quality.filter_documents(empty).count() == 0 and quality.estimate({}) == {}
 
 
+def test_quality_carries_columns_of_any_name(spark):
+    names = ["pattern", "quality", "n_words", "_words", "_text", "_whole", "whole", "_row", "kept", "a.b"]
+    text = ". ".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(14)) + "."
+    rows = [(i, None if i == 7 else text, *[f"{n}-{i}" for n in names]) for i in range(20)]
+    schema = "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    got = quality.filter_documents(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] != 7)
+    judged = quality.judge(quality.votes(quality.measures(docs))).collect()
+    assert len(judged) == 20 and all(0 <= r["quality"] <= 1 and r["_words"] == f"_words-{r['doc_id']}" for r in judged)
+
+
+def naive_score(text, lexicon):
+    folded = toxicity.fold(text or "")
+    spared = {
+        (s, s + len(p) - 1) for p in lexicon.exceptions for s in range(len(folded)) if folded[s : s + len(p)] == p
+    }
+    total = 0.0
+    for at in range(len(folded)):
+        here = [e for e in lexicon.weights if folded[at : at + len(e)] == e]
+        if here and not any(s <= at < t for s, t in spared):
+            total += lexicon.weights[max(here, key=len)]
+    n = max(20, len(folded.split()))
+    a, b, c = lexicon.curve
+    return 1 / (1 + np.exp(-(a + b * np.log1p(total) + c * np.log1p(100 * total / n))))
+
+
+def test_toxicity_equals_a_naive_scan(spark, odd):
+    """The matched weight of each text against a scan of every entry at every place."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("aeioumnr") for _ in range(5))
+    texts = [" ".join(rng.choice(["grunkle", "Grunkles", "gr4nkle", "street", word()]) for _ in range(30)) for _ in range(60)]
+    texts += [" ".join([*(word() for _ in range(20)), "grunkle", "lane", word()]) for _ in range(6)]
+    texts += [" ".join(word() for _ in range(40)) for _ in range(174)]
+    docs = docs_of(spark, texts)
+    lexicon = toxicity.learn(docs, spark.createDataFrame([(i, int(i < 60)) for i in range(240)], "doc_id long, toxic int"))
+    assert lexicon.weights and lexicon.exceptions
+    for r in toxicity.score(docs.union(odd), lexicon).collect():
+        assert abs(r["score"] - naive_score(r["text"], lexicon)) < 1e-9
+
+
 def test_toxicity(spark, odd):
     assert toxicity.fold("ІD1ОT!! stup1d$$$ é") == " idiot stupid e "
     rng = random.Random(7)
@@ -420,6 +462,48 @@ def test_resampling(spark, empty):
     assert resampling.resample(resampling.weigh(empty, ratio)).count() == 0
 
 
+def test_resampling_equals_plain_python(spark, odd):
+    """Models, weights, keys and sample against plain loops; long, blank, null and tied rows."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["Sun", "moon", "star", "buy", "now", "é"]) for _ in range(rng.randrange(1, 400))) for _ in range(60)]
+    docs = docs_of(spark, texts).selectExpr("doc_id + 100 as doc_id", "text").union(odd)
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+    def buckets(t):
+        hashes, _ = common.words([t], lower=True)
+        h = [int(x) for x in hashes]
+        pairs = [int(common.mix(np.array([(a * 3 + b) % 2**64], np.uint64))[0]) for a, b in zip(h, h[1:])]
+        return [x >> 50 for x in h + pairs]
+
+    labels = spark.createDataFrame([(i, 1) for i in range(100, 130)], "doc_id long, quality int")
+    raw, want = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        if i is not None and 100 <= i < 130:
+            want.update(buckets(t))
+    target = resampling.gram_counts(resampling.target_rows(docs, labels))
+    total = resampling.gram_counts(docs)
+    assert {i: n for i, n in enumerate(total) if n} == raw and {i: n for i, n in enumerate(target) if n} == want
+    ratio = resampling.log_ratio(target, total)
+    b, n_raw, n_want = resampling.BUCKETS, sum(raw.values()), sum(want.values())
+    for i in list(raw)[:50] + [0, 1]:
+        base = (raw[i] + 1) / (n_raw + b)
+        model = (want[i] + 0.2 * b * base) / (n_want + 0.2 * b)
+        assert abs(ratio[i] - np.log(model / base)) < 1e-9
+    weighed = resampling.weigh(docs, ratio)
+    expect = sorted((str(i), len(g), round(sum(ratio[x] for x in g), 6)) for i, t in rows for g in [buckets(t)])
+    assert sorted((str(r["doc_id"]), r["n_grams"], round(r["log_weight"], 6)) for r in weighed.collect()) == expect
+    got = resampling.resample(weighed, 0.4).collect()
+    by_key = sorted(got, key=lambda r: (-r["gumbel_key"], r["sample_rank"]))
+    assert [r["sample_rank"] for r in by_key] == list(range(len(rows)))
+    assert sum(r["selected"] for r in got) == -(-len(rows) * 4 // 10)
+    tempered = resampling.weigh(docs, ratio, evidence=64).filter("n_grams > 64").collect()
+    whole = {r["doc_id"]: r for r in weighed.collect()}
+    assert tempered and all(
+        abs(r["log_weight"] - whole[r["doc_id"]]["log_weight"] * 64 / r["n_grams"]) < 1e-6 for r in tempered
+    )
+
+
 # --- segmentations ---------------------------------------------------------------------
 
 
