@@ -21,6 +21,31 @@ def _source(spark, d):
     return jobs.event_stream(spark, d)
 
 
+#: Streams in event order: how late rows may be, and the slots they wait in.
+LATE = {"lateness": "1 hour", "slot_seconds": 6 * 3600}
+
+
+def _released(rows: str, time: str = "timestamp") -> str:
+    """Rows whose slot the watermark has passed when all input is read."""
+    return f"time_bucket(INTERVAL 6 HOUR, {time}) + INTERVAL 6 HOUR <= (SELECT max(timestamp) FROM {rows}) - INTERVAL 1 HOUR"
+
+
+def _in_parts(spark, d, job, name):
+    """Result of a stream job that gets the events in three deliveries, up to 40 minutes out
+    of order, and is stopped and started again between them."""
+    events = spark.read.parquet(f"{d}/events.parquet")
+    at = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod("event_id", F.lit(5)) * 600_000_000
+    bounds = events.select(at.cast("double").alias("at")).approxQuantile("at", [1 / 3, 2 / 3], 0.01)
+    folder, path, checkpoint = (stage_path(spark, f"{name}-{x}") for x in ("in", "out", "checkpoint"))
+    out = None
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        inside = F.lit(True) if low is None else at >= low
+        inside = inside if high is None else inside & (at < high)
+        events.filter(inside).write.mode("append").parquet(folder)
+        out = jobs.run_available(job(jobs.event_stream(spark, folder, files="*.parquet")), path, checkpoint)
+    return out
+
+
 def _batches(spark, path):
     return spark.read.parquet(path).drop("batch")
 
@@ -40,25 +65,26 @@ def route_stream(spark, d):
     "windowed_stream_agg",
     with_(S.STREAM_EVENTS)
     + f"""SELECT * FROM (SELECT time_bucket(INTERVAL 1 HOUR, timestamp) AS window_start, time_bucket(INTERVAL 1 HOUR, timestamp) + INTERVAL 1 HOUR AS window_end, metric_type,
-  count(*) AS count, {r('avg(value)')} AS mean, {r('min(value)')} AS min, {r('max(value)')} AS max, {r('coalesce(stddev_samp(value), 0)')} AS stdev
+  count(*) AS count, {r('avg(value)')} AS mean, {r('min(value)')} AS min, {r('max(value)')} AS max, {r('coalesce(stddev_samp(value), 0)')} AS stdev, {r('median(value)')} AS median
 FROM stream_events WHERE event_type = 'system_metric' GROUP BY 1, 2, 3)
 WHERE window_end <= (SELECT max(timestamp) FROM stream_events WHERE event_type = 'system_metric') - INTERVAL 5 MINUTE""",
 )
 def windowed_stream_agg(spark, d):
     out = jobs.windowed_stream_agg(A.stream_events_from(_source(spark, d)), "1 hour")
-    return rounded(jobs.drain(out, "windows").drop("median"))
+    return rounded(jobs.drain(out, "windows"))
 
 
 @Q.add(
     "sliding_stream_agg",
     with_(S.STREAM_EVENTS)
-    + f"""SELECT * FROM (SELECT ws AS window_start, ws + INTERVAL 2 HOUR AS window_end, metric_type, count(*) AS count, {r('avg(value)')} AS mean
+    + f"""SELECT * FROM (SELECT ws AS window_start, ws + INTERVAL 2 HOUR AS window_end, metric_type, count(*) AS count, {r('avg(value)')} AS mean,
+  {r('min(value)')} AS min, {r('max(value)')} AS max, {r('coalesce(stddev_samp(value), 0)')} AS stdev, {r('median(value)')} AS median
 FROM (SELECT *, unnest([time_bucket(INTERVAL 1 HOUR, timestamp), time_bucket(INTERVAL 1 HOUR, timestamp) - INTERVAL 1 HOUR]) AS ws FROM stream_events WHERE event_type = 'system_metric') GROUP BY 1, 2, 3)
 WHERE window_end <= (SELECT max(timestamp) FROM stream_events WHERE event_type = 'system_metric') - INTERVAL 5 MINUTE""",
 )
 def sliding_stream_agg(spark, d):
     out = jobs.windowed_stream_agg(A.stream_events_from(_source(spark, d)), "2 hours", "1 hour")
-    return rounded(jobs.drain(out, "sliding").select("window_start", "window_end", "metric_type", "count", "mean"))
+    return rounded(jobs.drain(out, "sliding"))
 
 
 @Q.add(
@@ -77,11 +103,13 @@ def stream_threshold_anomaly(spark, d):
 @Q.add(
     "stream_baseline_anomaly",
     with_(S.METRICS, COMPOSITE)
-    + f"SELECT event_id, metric_name, value, {r('m')} AS expected_value, {r('score', 5)} AS anomaly_score, {SEV} AS severity FROM comp WHERE score > 0.5",
+    + f"SELECT event_id, metric_name, value, {r('m')} AS expected_value, {r('score', 5)} AS anomaly_score, {SEV} AS severity FROM comp WHERE score > 0.5 AND "
+    + _released("metrics_long"),
 )
 def stream_baseline_anomaly(spark, d):
     stateful.use_rocksdb(spark)
-    out = jobs.drain(stateful.stream_baseline_anomaly(A.metrics_from_events(_source(spark, d))), "baseline")
+    job = lambda src: stateful.stream_baseline_anomaly(A.metrics_from_events(src), **LATE)
+    out = _in_parts(spark, d, job, "baseline")
     return out.select(
         "event_id", "metric_name", "value", r6("expected_value"),
         F.round("anomaly_score", 5).alias("anomaly_score"), "severity",
@@ -91,21 +119,29 @@ def stream_baseline_anomaly(spark, d):
 @Q.add(
     "stream_alert_cooldown",
     _recursive(with_(S.METRICS, RULES, _cooldown_sql("rule, source", "n.cooldown * 60")))
-    + "SELECT rule, source, event_id FROM f WHERE fires",
+    + "SELECT rule, source, event_id FROM f WHERE fires AND " + _released("breaches", "fired"),
 )
 def stream_alert_cooldown(spark, d):
     stateful.use_rocksdb(spark)
     rules = alerts.rule_table(spark, [(*x[:5], x[5] * 60) for x in alerts.DEFAULT_RULES])
-    hits = alerts.rule_match(A.metrics_from_events(_source(spark, d)), rules)
-    return jobs.drain(stateful.stream_alert_cooldown(hits), "cooldown").select("rule", "source", "event_id")
+    hits = lambda src: alerts.rule_match(A.metrics_from_events(src), rules)
+    out = _in_parts(spark, d, lambda src: stateful.stream_alert_cooldown(hits(src), **LATE), "cooldown")
+    return out.select("rule", "source", "event_id")
 
 
-@Q.add("stream_delta", with_(S.MESSAGES, ENC) + "SELECT event_id, stream_name, type, d_kind, d_level, d_zone FROM enc")
+@Q.add(
+    "stream_delta",
+    with_(S.MESSAGES, ENC)
+    + "SELECT event_id, stream_name, type, d_kind, d_level, d_zone, (d_kind IS NOT NULL)::BIGINT + (d_level IS NOT NULL)::BIGINT + (d_zone IS NOT NULL)::BIGINT AS entries,"
+    + " 0::BIGINT AS removed FROM enc JOIN stream_messages USING (event_id, stream_name) WHERE " + _released("stream_messages"),
+)
 def stream_delta(spark, d):
     stateful.use_rocksdb(spark)
-    fields = ["kind", "level", "zone"]
-    out = jobs.drain(stateful.stream_delta(A.stream_messages_from(_source(spark, d)), fields), "delta")
-    return out.select("event_id", "stream_name", "type", *[F.col(f).alias(f"d_{f}") for f in fields])
+    out = _in_parts(spark, d, lambda src: stateful.stream_delta(A.stream_messages_from(src), **LATE), "delta")
+    return out.select(
+        "event_id", "stream_name", "type", *[F.col("delta").getItem(f).alias(f"d_{f}") for f in ("kind", "level", "zone")],
+        F.size("delta").cast("long").alias("entries"), F.size("removed").cast("long").alias("removed"),
+    )
 
 
 @Q.add(

@@ -1,5 +1,6 @@
 """Streams over several micro-batches, compared with the batch operators."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -13,10 +14,14 @@ from pulsegrid.streaming import jobs, stateful
 T0 = datetime(2024, 1, 1)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def rocksdb(spark):
+    stateful.use_rocksdb(spark)
+
+
 @pytest.fixture(scope="module")
 def parts(spark, sf_dir):
     """The events table as five files in time order, read one file per micro-batch."""
-    stateful.use_rocksdb(spark)
     folder = stage_path(spark, "events")
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     size = events.count() // 5 + 1
@@ -34,9 +39,24 @@ def ids(df, *cols):
     return sorted(tuple(r) for r in df.select(*cols).collect())
 
 
+def released(df, rows, late=5, slot=60):
+    """Rows of ``df`` that a stream over ``rows`` has given out at the end of its input."""
+    top = rows.agg(F.max(F.unix_millis("timestamp"))).first()[0] - late * 60_000
+    return df.filter(F.expr(f"(unix_millis(timestamp) div {slot * 1000} + 1) * {slot * 1000} <= {top}"))
+
+
+def delivered(spark, name, batches, schema):
+    """Lists of rows as files that a stream reads one by one."""
+    folder = stage_path(spark, name)
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    return jobs.event_stream(spark, folder, schema, "*.parquet", max_files=1)
+
+
 def test_baseline_state_spans_batches(spark, parts):
     live = jobs.drain(stateful.stream_baseline_anomaly(A.metrics_from_events(stream(spark, parts))), "t")
-    batch = anomaly.composite_anomaly(A.metrics_from_events(parts[1]).select("event_id", "timestamp", "metric_name", "value"))
+    metrics = A.metrics_from_events(parts[1]).select("event_id", "timestamp", "metric_name", "value")
+    batch = released(anomaly.composite_anomaly(metrics), metrics)
     cols = ("event_id", F.round("anomaly_score", 6))
     assert batch.count() > 0 and ids(live, *cols) == ids(batch, *cols)
 
@@ -46,16 +66,112 @@ def test_cooldown_state_spans_batches(spark, parts):
     live = jobs.drain(stateful.stream_alert_cooldown(alerts.rule_match(A.metrics_from_events(stream(spark, parts)), rules)), "t")
     hits = alerts.rule_match(A.metrics_from_events(parts[1]), rules)
     batch = alerts.alert_cooldown(hits.select("rule", "source", "timestamp", "event_id", "cooldown_minutes"), block_rows=7)
+    batch = released(batch, hits)
     assert batch.count() > 0 and ids(live, "rule", "source", "event_id") == ids(batch, "rule", "source", "event_id")
 
 
 def test_delta_state_spans_batches(spark, parts):
-    fields = ["kind", "level", "zone"]
-    live = jobs.drain(stateful.stream_delta(A.stream_messages_from(stream(spark, parts)), fields), "t")
-    batch = messages.delta_encode(A.stream_messages_from(parts[1]))
-    flat = batch.select("event_id", "type", *[F.col("delta").getItem(f).alias(f) for f in fields])
-    cols = ("event_id", "type", *[F.coalesce(f, F.lit("-")).alias(f) for f in fields])
-    assert ids(live, *cols) == ids(flat, *cols)
+    live = jobs.drain(stateful.stream_delta(A.stream_messages_from(stream(spark, parts))), "t")
+    sent = A.stream_messages_from(parts[1])
+    entries = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("delta")))).alias("d")
+    assert ids(live, "event_id", "type", entries) == ids(released(messages.delta_encode(sent), sent), "event_id", "type", entries)
+    assert live.filter("size(removed) > 0").isEmpty()
+
+
+def test_hot_key_out_of_order_in_chunks_and_late_rows(spark, monkeypatch):
+    """One metric, five files that overlap by four minutes, read in chunks; then a late file."""
+    rng = random.Random(2)
+    schema = "event_id long, metric_name string, timestamp timestamp, value double"
+    rows = [(i, None, T0 + timedelta(seconds=2 * i), None if i % 50 == 7 else float(rng.randrange(100))) for i in range(2000)]
+    mixed = sorted(rows, key=lambda r: r[2] + timedelta(seconds=rng.randrange(240)))
+    late = [(9000, None, T0, 1.0), (9001, None, T0 + timedelta(hours=2), 1.0)]
+    files = [*(mixed[i : i + 400] for i in range(0, 2000, 400)), late[1:], late[:1], [(9002, None, T0 + timedelta(hours=3), 1.0)]]
+    source = delivered(spark, "hot", files, schema)
+    monkeypatch.setattr(stateful, "TAKE_ROWS", 100)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "150")
+    try:
+        path, check = stage_path(spark, "hot-out"), stage_path(spark, "hot-check")
+        out = stateful.stream_baseline_anomaly(source, window=20, min_samples=5, limit=-1.0)
+        query = jobs.start(out, path, check)
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert jobs.late_rows(query) == 1
+    want, seen = {}, []
+    for i, _, _, v in [*rows, late[1]]:
+        seen.append(v)
+        last = [x for x in seen[-20:] if x is not None]
+        if v is not None and len(last) >= 5:
+            want[i] = round(sum(last) / len(last), 6)
+    assert {r.event_id: round(r.expected_value, 6) for r in spark.read.parquet(path).collect()} == want
+
+
+def test_state_of_a_silent_key_goes(spark):
+    schema = "event_id long, metric_name string, timestamp timestamp, value double"
+    minutes = [list(range(10)), [200 + i for i in range(10)], [600]]
+    files = [[(m, "a", T0 + timedelta(minutes=m), 5.0) for m in part] for part in minutes]
+    files[0] += [(1000 + m, "b", T0 + timedelta(minutes=m), 5.0) for m in range(10)]
+    check = stage_path(spark, "ttl-check")
+    source = delivered(spark, "ttl", files, schema)
+    out = stateful.stream_baseline_anomaly(source, min_samples=6, limit=-1.0, ttl_hours=1)
+    got = jobs.run_available(out, stage_path(spark, "ttl-out"), check)
+    # Six samples to begin with, and again after three silent hours.
+    assert ids(got, "event_id") == [(i,) for i in [*range(5, 10), *range(205, 210), *range(1005, 1010)]]
+    state = spark.read.format("statestore").option("stateVarName", "seen").load(check)
+    assert state.isEmpty()
+
+
+def test_cooldown_outlives_the_watermark_inside_a_slot(spark):
+    """Rows wait in a slot of an hour while the watermark passes the end of a cooldown in it."""
+    schema = "rule string, source string, timestamp timestamp, event_id long, severity string, message string, cooldown_minutes int"
+    minutes = [55, 62, 70, 71, 80, 100, 300]
+    rows = [[("r", "s", T0 + timedelta(minutes=m), m, "warning", "m", 20)] for m in minutes]
+    source = delivered(spark, "slots", rows, schema)
+    got = jobs.drain(stateful.stream_alert_cooldown(source, slot_seconds=3600), "t")
+    assert ids(got, "event_id") == [(55,), (80,), (100,)]
+
+
+def test_cooldown_of_zero_fires_at_every_breach(spark):
+    schema = "rule string, source string, timestamp timestamp, event_id long, severity string, message string, cooldown_minutes int"
+    rows = [("r", None, T0 + timedelta(minutes=i // 2), i, "warning", "m", 0) for i in range(20)]
+    source = delivered(spark, "zero", [rows[:9], rows[9:], [("x", "y", T0 + timedelta(hours=1), 99, "warning", "m", 5)]], schema)
+    got = jobs.drain(stateful.stream_alert_cooldown(source), "t")
+    assert ids(got, "event_id") == [(i,) for i in range(20)]
+
+
+def test_deltas_of_any_fields_decode_to_their_input(spark):
+    """Fields come, go, change and are set to null; payloads are null or empty; five files."""
+    rng = random.Random(5)
+    schema = "event_id long, stream_name string, timestamp timestamp, data map<string,string>"
+
+    def payload():
+        if rng.random() < 0.05:
+            return None
+        return {f: rng.choice([None, "1", "2"]) for f in "abcdef" if rng.random() < 0.6}
+
+    rows = [(i, rng.choice(["s", "t", None]), T0 + timedelta(seconds=20 * i), payload()) for i in range(300)]
+    source = delivered(spark, "payloads", [rows[i : i + 60] for i in range(0, 300, 60)], schema)
+    path = stage_path(spark, "encoded")
+    encoded = jobs.run_available(stateful.stream_delta(source), path, stage_path(spark, "encoded-check"))
+    again = spark.readStream.schema(encoded.schema).parquet(path)
+    got = {r.event_id: r.data for r in jobs.drain(stateful.stream_delta_decode(again), "decoded").collect()}
+    sent = {r[0]: r[3] for r in rows}
+    assert len(got) > 250 and got == {i: sent[i] for i in got}
+    full = {r.event_id: r.delta for r in encoded.filter("type = 'delta'").collect()}
+    assert any(None in (d or {}).values() for d in full.values())
+    assert any(len(d or {}) < len(sent[i] or {}) for i, d in full.items())
+
+
+def test_a_stream_runs_on_until_it_is_stopped(spark, parts):
+    routed = jobs.route_stream(A.stream_events_from(stream(spark, parts))).select("event_id", "processor")
+    path = stage_path(spark, "on")
+    query = jobs.start(routed, path, stage_path(spark, "on-check"), every="1 second")
+    query.processAllAvailable()
+    assert query.isActive
+    query.stop()
+    want = messages.event_routing(A.stream_events_from(parts[1]))
+    assert ids(spark.read.parquet(path), "event_id", "processor") == ids(want, "event_id", "processor")
 
 
 def test_routing_and_tiers(spark, parts):
