@@ -14,7 +14,8 @@ from pulsegrid.functions.timewin import latest
 from pulsegrid.operators import kpi
 from pulsegrid.plans.staging import stage_path
 from pulsegrid.sources import adapters as A
-from pulsegrid.sources import payloads, storage
+from pulsegrid.sources import payloads, storage, versioned
+from pulsegrid.streaming import jobs
 
 Q = Registry()
 
@@ -176,24 +177,34 @@ def derive_business_metrics(spark, d):
 )
 def retention_cleanup(spark, d):
     m = A.metrics_long(spark, d).select("event_id", "timestamp", "metric_name", "value")
-    path = stage_path(spark, "retained")
-    storage.append_table(m, path)
-    return storage.retention_cleanup(spark, path, latest(m)).drop("date")
+    table = versioned.VersionedTable(spark, stage_path(spark, "retained"))
+    # Two commits, so that dates have rows of both.
+    late = F.col("event_id") % 7 == 0
+    versioned.append_dated(table, m.filter(~late))
+    versioned.append_dated(table, m.filter(late))
+    versioned.retain(table, latest(m))
+    table.vacuum()
+    return table.read().drop("date")
 
 
-STATS_TABLES = ["customer", "orders", "lineitem", "events", "documents"]
+STATS_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+]
 
 
 @Q.add(
     "table_stats",
     " UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS column_count"
+        f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS row_count, CAST((SELECT count(*) FROM (DESCRIBE {t})) AS INTEGER) AS column_count, (SELECT string_agg(column_name, ', ' ORDER BY column_name) FROM (DESCRIBE {t})) AS column_names"
         for t in STATS_TABLES
     ),
 )
 def table_stats(spark, d):
     out = storage.table_stats(spark, {t: f"{d}/{t}.parquet" for t in STATS_TABLES})
-    return out.select("table_name", "row_count", "column_count")
+    # Type names differ between engines.
+    names = F.transform(F.split("columns", ", "), lambda c: F.split(c, " ")[0])
+    return out.select("table_name", "row_count", "column_count", F.array_join(F.array_sort(names), ", ").alias("column_names"))
 
 
 @Q.add("incremental_load", with_(S.METRICS) + "SELECT event_id, timestamp, metric_name, value FROM metrics_long")
@@ -207,28 +218,44 @@ def incremental_load(spark, d):
     return storage.incremental_load(spark, m, path, row_id=["event_id"]).drop("date")
 
 
-@Q.add(
-    "cdc_apply",
-    f"""WITH newest AS (SELECT * FROM (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal, o_orderpriority AS c_mktsegment,
+NEWEST_CHANGES = """WITH newest AS (SELECT * FROM (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal, o_orderpriority AS c_mktsegment,
     CASE o_orderstatus WHEN 'F' THEN 'delete' WHEN 'O' THEN 'update' ELSE 'insert' END AS op,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1)
 SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM newest)
-UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM newest WHERE op <> 'delete'""",
-)
-def cdc_apply(spark, d):
-    base = A.table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    changes = A.table(spark, d, "orders").select(
+UNION ALL SELECT c_custkey, c_acctbal, c_mktsegment FROM newest WHERE op <> 'delete'"""
+
+
+def _changes(spark, d):
+    kind = F.when(F.col("o_orderstatus") == "F", "delete").when(F.col("o_orderstatus") == "O", "update")
+    return A.table(spark, d, "orders").select(
         F.col("o_custkey").alias("c_custkey"),
         F.col("o_totalprice").alias("c_acctbal"),
         F.col("o_orderpriority").alias("c_mktsegment"),
-        F.when(F.col("o_orderstatus") == "F", "delete")
-        .when(F.col("o_orderstatus") == "O", "update")
-        .otherwise("insert")
-        .alias("op"),
+        kind.otherwise("insert").alias("op"),
         "o_orderdate",
         "o_orderkey",
     )
-    return storage.cdc_apply(base, changes, ["c_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@Q.add("cdc_apply", NEWEST_CHANGES)
+def cdc_apply(spark, d):
+    base = A.table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return storage.cdc_apply(base, _changes(spark, d), ["c_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+@Q.add("cdc_stream", NEWEST_CHANGES)
+def cdc_stream(spark, d):
+    """The change log in five deliveries, newest orders first, some delivered twice."""
+    base = A.table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    changes, log = _changes(spark, d), stage_path(spark, "cdc-log")
+    for part in (4, 2, 3, 0, 1):
+        again = (F.col("o_orderkey") % 7 == 0) & (F.col("o_orderkey") % 5 == (part + 1) % 5)
+        changes.filter((F.col("o_orderkey") % 5 == part) | again).coalesce(1).write.mode("append").parquet(log)
+    table = versioned.ChangeTable(spark, stage_path(spark, "cdc-table"), ["c_custkey"], ["o_orderdate", "o_orderkey"], 8)
+    table.load(base, changes)
+    stream = spark.readStream.schema(changes.schema).option("maxFilesPerTrigger", 1).parquet(log)
+    jobs.for_each_batch(stream, lambda batch, n: table.apply(batch, n + 2), stage_path(spark, "cdc-checkpoint"))
+    return table.read()
 
 
 def _first(kind: str, col: str) -> str:
@@ -277,22 +304,21 @@ def export_single_csv(spark, d):
     return storage.read_csv(spark, path, out.schema)
 
 
-@Q.add("export_json", with_(S.METRICS) + "SELECT event_id, timestamp, metric_name, value, source FROM metrics_long WHERE metric_type = 'cpu'")
+@Q.add("export_json", with_(S.METRICS) + "SELECT event_id, timestamp, metric_name, value, source, metric_type FROM metrics_long")
 def export_json(spark, d):
-    out = A.metrics_long(spark, d).filter("metric_type = 'cpu'").select("event_id", "timestamp", "metric_name", "value", "source")
+    out = A.metrics_long(spark, d).select("event_id", "timestamp", "metric_name", "value", "source", "metric_type")
     path = stage_path(spark, "json")
-    storage.write_json(out, path)
+    storage.write_json(out, path, ["metric_type"])
     return spark.read.schema(out.schema).option("timestampFormat", storage.CSV_TIMESTAMP).json(path)
 
 
 @Q.add(
     "export_manifest",
     with_(S.METRICS)
-    + "SELECT TIMESTAMP '2024-01-31' AS exported_at, 'cpu' AS data_type, 720.0::DOUBLE AS time_range_hours, count(*) AS row_count FROM metrics_long WHERE metric_type = 'cpu'",
+    + "SELECT TIMESTAMP '2024-01-31' AS exported_at, metric_type AS data_type, 720.0::DOUBLE AS time_range_hours, count(*) AS row_count FROM metrics_long GROUP BY metric_type",
 )
 def export_manifest(spark, d):
-    out = A.metrics_long(spark, d).filter("metric_type = 'cpu'")
-    return storage.export_manifest(out, "cpu", 720, datetime(2024, 1, 31))
+    return storage.export_manifest(A.metrics_long(spark, d), "metric_type", 720, datetime(2024, 1, 31))
 
 
 def _kpi_rows_sql() -> str:

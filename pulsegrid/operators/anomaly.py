@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+import numpy as np
+import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions.columns import (
     severity_of_score,
@@ -15,13 +19,32 @@ from pulsegrid.functions.columns import (
     threshold_score,
 )
 from pulsegrid.functions.timewin import trailing
-from pulsegrid.operators.timeseries import ORDER, SERIES, framed
-from pulsegrid.plans.ordering import BLOCK_ROWS, POS, TOTAL, last_n, numbered, with_computed, with_sliding_moments
+from pulsegrid.operators.iforest import decide
+from pulsegrid.operators.timeseries import ORDER, SERIES
+from pulsegrid.plans.joins import join_keys
+from pulsegrid.plans.ordering import (
+    BLOCK_ROWS,
+    POS,
+    TOTAL,
+    last_n,
+    numbered,
+    spread_blocks,
+    with_computed,
+    with_sliding_moments,
+)
 
 WINDOW = 100
 MIN_SAMPLES = 50
 SCORE_LIMIT = 0.5
 
+# Rows of a block whose windows are kept sorted in one pass.
+STATS_BLOCK_ROWS = 50_000
+
+# Values of overlapping windows that are summed at once.
+WINDOW_CELLS = 2_000_000
+
+_STATS = ["mean", "std", "q1", "median", "q3", "min", "max"]
+
 
 def usage_ratio(df: DataFrame) -> DataFrame:
     """Used share in percent and the total in GiB."""
@@ -72,31 +95,57 @@ def ml_feature_project(raw: DataFrame) -> DataFrame:
     )
 
 
+def _window_stats(values: pd.Series, window: int) -> pd.DataFrame:
+    """Statistics of the last ``window`` values at every place; nulls do not count.
+
+    Quantiles, minimum and maximum come from a sorted window that each step adds one value to and
+    takes one from. Mean and deviation are taken relative to the window's largest value, so that a
+    constant window has deviation 0.
+    """
+    rolled = values.rolling(window, min_periods=1)
+    out = pd.DataFrame({n: rolled.quantile(q) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))})
+    out["min"], out["max"] = rolled.min(), rolled.max()
+    out["samples"] = values.notna().rolling(window, min_periods=1).sum().astype("int64")
+    padded = np.concatenate([np.full(window - 1, np.nan), values.to_numpy(float)])
+    mean, std = np.full(len(values), np.nan), np.full(len(values), np.nan)
+    step = max(1, WINDOW_CELLS // window)
+    for at in range(0, len(values), step):
+        part = sliding_window_view(padded[at : at + step + window - 1], window)
+        n, top = out["samples"].to_numpy()[at : at + step], out["max"].to_numpy()[at : at + step]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            off = part - top[:, None]
+            shift = np.nansum(off, axis=1) / n
+            mean[at : at + step] = top + shift
+            std[at : at + step] = np.sqrt(np.nansum((off - shift[:, None]) ** 2, axis=1) / n)
+    out["mean"], out["std"] = mean, std
+    return out
+
+
 def baseline_stats(
     df: DataFrame,
     window: int = WINDOW,
     keys: Sequence[str] = SERIES,
     order: Sequence[str] = ORDER,
     value: str = "value",
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int = STATS_BLOCK_ROWS,
 ) -> DataFrame:
-    """Statistics of the last ``window`` samples at every row, from the third row on."""
+    """Statistics of the last ``window`` samples at every row, from the third row on.
 
-    def build(w: WindowSpec) -> dict[str, Column]:
-        frame = w.rowsBetween(-(window - 1), 0)
-        q = F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))").over(frame)
-        return {
-            "mean": F.avg(value).over(frame),
-            "std": F.stddev_pop(value).over(frame),
-            "_q": q,
-            "min": F.min(value).over(frame),
-            "max": F.max(value).over(frame),
-            "samples": F.count(value).over(frame),
-        }
+    A block of a series is one task's frame, with the ``window`` - 1 rows before it.
+    """
+    keys = list(keys)
+    rows = numbered(df, keys, order).withColumn(value, F.col(value).cast("double"))
+    spread, own = spread_blocks(rows, window - 1, 0, POS, block_rows)
+    added = ", ".join(f"{n} double" for n in _STATS) + ", samples bigint"
+    schema = T.StructType([*spread.withColumn("_own", own).schema.fields, *T.StructType.fromDDL(added).fields])
+
+    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(POS, ignore_index=True)
+        stats = _window_stats(pdf[value], window)
+        return pd.concat([pdf, stats], axis=1)[pdf["_own"] & (stats["samples"] >= 3)][schema.names]
 
-    out = framed(df, build, window - 1, keys=keys, order=order, block_rows=block_rows)
-    quart = {n: F.col("_q")[i] for i, n in enumerate(("q1", "median", "q3"))}
-    return out.filter("samples >= 3").withColumns(quart).drop("_q")
+    out = spread.withColumn("_own", own).groupBy(*keys, "_block").applyInPandas(measure, schema)
+    return out.drop("_block", "_own", POS, TOTAL)
 
 
 def composite_anomaly(
@@ -131,6 +180,26 @@ def composite_anomaly(
     )
 
 
+def composite_with_forest(
+    df: DataFrame,
+    features_of: DataFrame,
+    forest: DataFrame,
+    features: Sequence[str],
+    row_id: Sequence[str] = ("event_id",),
+    keys: Sequence[str] = SERIES,
+    contamination: float = 0.01,
+    **options,
+) -> DataFrame:
+    """``composite_anomaly`` whose model score is that of an isolation forest.
+
+    ``features_of`` holds feature rows by ``row_id``; rows without features have no model score
+    and are judged by the other two terms. A score of 0.5 is the model's own bound.
+    """
+    judged = decide(features_of, forest, features, keys, row_id, contamination).select(*keys, *row_id, "ml_score")
+    rows = join_keys(df, judged, [*keys, *row_id], "left")
+    return composite_anomaly(rows, ml_score="ml_score", keys=keys, **options)
+
+
 def expected_range(
     df: DataFrame,
     window: int = 20,

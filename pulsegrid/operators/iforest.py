@@ -8,7 +8,7 @@ so standardizing the columns first would change nothing and is left out.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,12 +16,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.quantiles import group_quantiles
 from pulsegrid.plans.staging import stage
 
 SAMPLE = 256
 TREES = 100
-BROADCAST_TREES = 20_000
 SCORE_ROWS = 100_000
 _OVERSAMPLE = 1.3
 
@@ -84,9 +84,9 @@ def train_forest(
     may share rows.
     """
     keys, features = list(keys), list(features)
-    rows = df.select(*keys, *row_id, *features).na.drop()
+    rows = df.select(*dict.fromkeys([*keys, *row_id, *features])).na.drop(subset=features)
     sizes = stage(rows.groupBy(*keys).agg(F.count("*").alias("_rows")), "sizes")
-    placed = rows.join(sizes, keys)
+    placed = join_keys(rows, sizes, keys)
     rate = F.lit(sample * _OVERSAMPLE) / F.col("_rows")
 
     def draw(*salt: Column) -> Column:
@@ -143,39 +143,21 @@ def score_forest(
     features: Sequence[str],
     keys: Sequence[str] = ("metric_name",),
     row_id: Sequence[str] = ("event_id",),
-    broadcast_trees: int = BROADCAST_TREES,
+    share_rows: int = SCORE_ROWS,
 ) -> DataFrame:
     """Add ``score`` (about 0.5 normal, towards 1 anomalous) to every row without null features.
 
-    A forest table of few rows is sent to the tasks once; a larger one is cogrouped with
-    equally large shares of each series.
+    Each series is cut into shares of about ``share_rows`` rows, and a copy of its trees goes to
+    each share. Rows of a series without trees have a null score.
     """
     keys, features = list(keys), list(features)
     rows = df.na.drop(subset=features)
     schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    if forest.count() <= broadcast_trees:
-        by_key: dict[tuple, list[dict]] = {}
-        for r in forest.collect():  # at most broadcast_trees rows
-            by_key.setdefault(tuple(r[k] for k in keys), []).append({p: r[p] for p in _PARTS})
-        shared = df.sparkSession.sparkContext.broadcast(by_key)
-
-        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                pdf["score"] = np.nan
-                for key, part in pdf.groupby(keys, sort=False):
-                    key = key if isinstance(key, tuple) else (key,)
-                    trees = shared.value.get(key)
-                    if trees:
-                        pdf.loc[part.index, "score"] = _scores(part[features].to_numpy(float), trees)
-                yield pdf
-
-        return rows.mapInPandas(score, schema)
-
-    shares = rows.groupBy(*keys).agg(F.ceil(F.count("*") / SCORE_ROWS).cast("int").alias("_shares"))
+    shares = rows.groupBy(*keys).agg(F.ceil(F.count("*") / share_rows).cast("int").alias("_shares"))
     shares = stage(shares, "shares")
     share = F.pmod(F.xxhash64(*row_id), F.col("_shares")).cast("int")
-    salted = rows.join(shares, keys).withColumn("_share", share).drop("_shares")
-    copies = forest.join(shares, keys).withColumn("_share", F.explode(F.expr("sequence(0, _shares - 1)")))
+    salted = join_keys(rows, shares, keys).withColumn("_share", share).drop("_shares")
+    copies = join_keys(forest, shares, keys).withColumn("_share", F.explode(F.expr("sequence(0, _shares - 1)")))
 
     def score_share(pdf: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.drop(columns="_share")
@@ -212,13 +194,25 @@ def isolation_forest(
     ``ml_score`` maps the decision to 0..1, as the composite anomaly score takes it.
     """
     forest = train_forest(df, features, keys, row_id, trees, sample, seed)
+    return decide(df, forest, features, keys, row_id, contamination)
+
+
+def decide(
+    df: DataFrame,
+    forest: DataFrame,
+    features: Sequence[str],
+    keys: Sequence[str] = ("metric_name",),
+    row_id: Sequence[str] = ("event_id",),
+    contamination: float = 0.01,
+) -> DataFrame:
+    """Score with a forest that exists, such as a saved one; see ``isolation_forest``."""
     scored = stage(score_forest(df, forest, features, keys, row_id), "scored")
     cut = group_quantiles(scored, keys, "score", [1 - contamination])
     limits = stage(cut.select(*keys, F.col("q")[0].alias("_cut")), "cuts")
     decision = F.col("_cut") - F.col("score")
     ml_score = 1 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("decision") + 0.5))
     return (
-        scored.join(limits, list(keys))
+        join_keys(scored, limits, list(keys))
         .withColumn("decision", decision)
         .withColumn("is_anomaly", F.col("decision") < 0)
         .withColumn("ml_score", ml_score)

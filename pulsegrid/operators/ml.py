@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
-from pulsegrid.operators.timeseries import ORDER, lag_features
+from pulsegrid.operators.timeseries import ORDER, framed, lag_features
+from pulsegrid.plans.ordering import last_n, numbered
 from pulsegrid.plans.staging import stage
 
 SEED = 42
@@ -83,31 +87,60 @@ def performance_clustering(wide: DataFrame, columns: Sequence[str], max_k: int =
     )
 
 
-def train_horizon_models(
+def _horizon_features(rows: DataFrame, horizons: Sequence[int], order: Sequence[str]) -> DataFrame:
+    """Lag features of every type with the values of all horizons, numbered and written once."""
+    first, *others = horizons
+
+    def targets(w: WindowSpec) -> dict[str, Column]:
+        return {f"target_{h}": F.lead("value", h).over(w) for h in others}
+
+    ahead = framed(numbered(rows, ["metric_type"], order), targets, 0, max(horizons), ["metric_type"], order, keep_position=True)
+    feats = lag_features(ahead, first, LAGS, keys=["metric_type"], order=order, keep_last=True)
+    feats = feats.withColumnRenamed("target", f"target_{first}")
+    columns = dict.fromkeys(["metric_type", *order, *FEATURES, *[f"target_{h}" for h in horizons]])
+    return stage(feats.select(*columns), "features")
+
+
+def train_all_models(
     metrics: DataFrame,
-    metric_type: str,
+    types: Sequence[str] | None = None,
     horizons: Sequence[int] = HORIZONS,
     trees: int = 100,
     depth: int = 10,
     order: Sequence[str] = ORDER,
     min_rows: int = 100,
     min_clean: int = 50,
+    trained_at: datetime | None = None,
+    parallelism: int = 4,
 ) -> tuple[dict[str, PipelineModel], list[tuple]]:
-    """One random forest per horizon (in rows) and its accuracy, mae and mse on a hashed fifth.
+    """One random forest per metric type and horizon (in rows), with accuracy, mae and mse on a
+    hashed fifth and the time of training.
 
-    The forests train distributed on spark.ml; only their scores come back to the caller.
+    All types' features are built in one pass. The forests train distributed on spark.ml,
+    ``parallelism`` at a time; only their scores come back to the caller. A type needs
+    ``min_rows`` rows, a model ``min_clean`` complete ones; others are left out.
     """
-    rows = metrics.filter(F.col("metric_type") == metric_type)
-    if rows.limit(min_rows).count() < min_rows:
+    rows = metrics.filter(F.col("metric_type").isNotNull())
+    if types is not None:
+        rows = rows.filter(F.col("metric_type").isin(list(types)))
+    # One row per metric type.
+    enough = rows.groupBy("metric_type").agg(F.count("*").alias("n")).filter(F.col("n") >= min_rows)
+    names = sorted(r.metric_type for r in enough.collect())
+    if not names:
         return {}, []
-    models, scores = {}, []
-    for horizon in horizons:
-        feats = stage(lag_features(rows, horizon, LAGS, keys=["metric_type"], order=order), "features")
-        if feats.limit(min_clean).count() < min_clean:
-            continue
-        # The split depends on the row only, so reruns and retries agree.
-        fold = F.pmod(F.xxhash64(*order), F.lit(10))
-        train, test = feats.filter(fold < 8), feats.filter(fold >= 8)
+    trained_at = trained_at or datetime.now()
+    feats = _horizon_features(rows.filter(F.col("metric_type").isin(names)), horizons, order)
+    known = feats.groupBy("metric_type").agg(*[F.count(f"target_{h}").alias(str(h)) for h in horizons])
+    clean = {r.metric_type: r for r in known.collect()}
+    wanted = [(t, h) for t in names if t in clean for h in horizons if clean[t][str(h)] >= min_clean]
+    # The split depends on the row only, so reruns and retries agree.
+    fold = F.pmod(F.xxhash64(*order), F.lit(10))
+
+    def fit(task: tuple[str, int]) -> tuple[PipelineModel, tuple]:
+        name, horizon = task
+        mine = feats.filter(F.col("metric_type") == name).withColumn("target", F.col(f"target_{horizon}"))
+        mine = mine.filter(F.col("target").isNotNull())
+        train, test = mine.filter(fold < 8), mine.filter(fold >= 8)
         forest = RandomForestRegressor(
             featuresCol="features", labelCol="target", predictionCol="prediction",
             numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="all",
@@ -122,30 +155,65 @@ def train_horizon_models(
             (F.max("target") - F.min("target")).alias("spread"),
         ).first()
         accuracy = 1 - s["mae"] / s["spread"] if s["spread"] else 0.0
-        key = f"{metric_type}_{horizon}min"
-        models[key] = model
-        scores.append((key, metric_type, horizon, max(0.0, min(1.0, accuracy)), s["mae"], s["mse"]))
-    return models, scores
+        accuracy = max(0.0, min(1.0, accuracy))
+        return model, (f"{name}_{horizon}min", name, horizon, accuracy, s["mae"], s["mse"], trained_at)
+
+    with ThreadPoolExecutor(max(1, parallelism)) as pool:
+        fitted = list(pool.map(inheritable_thread_target(metrics.sparkSession)(fit), wanted))
+    return {score[0]: model for model, score in fitted}, [score for _, score in fitted]
+
+
+def train_horizon_models(
+    metrics: DataFrame, metric_type: str, horizons: Sequence[int] = HORIZONS, **options
+) -> tuple[dict[str, PipelineModel], list[tuple]]:
+    """``train_all_models`` of one metric type."""
+    return train_all_models(metrics, [metric_type], horizons, **options)
 
 
-SCORE_SCHEMA = "model string, metric_type string, horizon_minutes int, accuracy double, mae double, mse double"
+SCORE_SCHEMA = (
+    "model string, metric_type string, horizon_minutes int, accuracy double, mae double, mse double, trained_at timestamp"
+)
 
 
 def model_performance_summary(scores: DataFrame) -> DataFrame:
-    """Accuracy and mean absolute error per model."""
-    return scores.select("model", "accuracy", "mae")
+    """Accuracy, mean absolute error and time of training per model."""
+    return scores.select("model", "accuracy", "mae", F.col("trained_at").alias("last_updated"))
+
+
+def newest_features(metrics: DataFrame, order: Sequence[str] = ORDER, tail_rows: int = 500) -> DataFrame:
+    """The newest complete feature row of every metric type.
+
+    The last ``tail_rows`` rows of each type are enough unless all of these are incomplete; only
+    the types where they are get their whole history looked through.
+    """
+    kept = list(dict.fromkeys([*order, *FEATURES]))
+
+    def newest(rows: DataFrame) -> DataFrame:
+        feats = lag_features(rows, 1, LAGS, keys=["metric_type"], order=order, keep_last=True)
+        best = F.max_by(F.struct(*kept), F.struct(*order))
+        return feats.groupBy("metric_type").agg(best.alias("_r")).select("metric_type", "_r.*")
+
+    quick = stage(newest(last_n(metrics, ["metric_type"], order, tail_rows)), "newest")
+    types = metrics.select("metric_type").distinct()
+    rest = stage(types.join(quick, "metric_type", "left_anti").filter("metric_type is not null"), "rest")
+    if rest.isEmpty():
+        return quick
+    return quick.unionByName(stage(newest(metrics.join(rest, "metric_type", "left_semi")), "newest"))
 
 
 def predict_horizon(
-    metrics: DataFrame, models: dict[str, PipelineModel], scores: list[tuple], order: Sequence[str] = ORDER
+    metrics: DataFrame,
+    models: dict[str, PipelineModel],
+    scores: list[tuple],
+    order: Sequence[str] = ORDER,
+    tail_rows: int = 500,
 ) -> DataFrame:
-    """Prediction of each model from the newest complete feature row, with its confidence."""
+    """Prediction of each model from its type's newest complete feature row, with its confidence."""
+    types = list(dict.fromkeys(score[1] for score in scores))
+    newest = newest_features(metrics.filter(F.col("metric_type").isin(types)), order, tail_rows)
     out = None
-    for key, metric_type, horizon, accuracy, _, _ in scores:
-        rows = metrics.filter(F.col("metric_type") == metric_type)
-        feats = lag_features(rows, horizon, LAGS, keys=["metric_type"], order=order, keep_last=True)
-        newest = feats.orderBy(*[F.col(c).desc() for c in order]).limit(1)
-        one = models[key].transform(newest).select(
+    for key, metric_type, horizon, accuracy, *_ in scores:
+        one = models[key].transform(newest.filter(F.col("metric_type") == metric_type)).select(
             F.lit(key).alias("model"),
             "metric_type",
             F.lit(horizon).alias("horizon_minutes"),
@@ -154,6 +222,8 @@ def predict_horizon(
             F.lit(min(1.0, accuracy)).alias("confidence"),
         )
         out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no models")
     return out
 
 
@@ -166,6 +236,7 @@ def latest_prediction(predictions: DataFrame, order: str = "event_id") -> DataFr
 
 
 def save_models(models: dict[str, PipelineModel], path: str) -> None:
+    """One folder per model."""
     for key, model in models.items():
         model.write().overwrite().save(f"{path}/{key}")
 

@@ -38,9 +38,12 @@ def framed(
     order: Sequence[str] = ORDER,
     block_rows: int = BLOCK_ROWS,
     keep_total: bool = False,
+    keep_position: bool = False,
 ) -> DataFrame:
     """Number the rows of each series, unless they are, and add frame columns."""
     out = with_frames(numbered(df, keys, order), keys, build, before, after, POS, block_rows)
+    if keep_position:
+        return out
     return out.drop(POS) if keep_total else out.drop(POS, TOTAL)
 
 

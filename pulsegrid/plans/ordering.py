@@ -94,7 +94,7 @@ def with_computed(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     return df.select("*", F.inline(one))
 
 
-def _blocks(
+def spread_blocks(
     positioned: DataFrame, before: int, after: int, pos: str, block_rows: int
 ) -> tuple[DataFrame, Column]:
     """Rows in every block whose frames reach them, and the condition for a row's own block."""
@@ -118,7 +118,7 @@ def with_frames(
 
     ``build`` gets the ordered window of one block and returns the columns to add.
     """
-    spread, own = _blocks(positioned, before, after, pos, block_rows)
+    spread, own = spread_blocks(positioned, before, after, pos, block_rows)
     window = Window.partitionBy(*keys, "_block").orderBy(pos)
     added = build(window)
     taken = set(added) & set(positioned.columns)
@@ -143,7 +143,7 @@ def with_sliding_moments(
     that length: each frame is the end of one run and the start of the next, both of which are
     running aggregates, and the two are merged. A constant frame has m2 exactly 0.
     """
-    spread, own = _blocks(positioned, rows - 1, 0, pos, block_rows)
+    spread, own = spread_blocks(positioned, rows - 1, 0, pos, block_rows)
     spread = spread.withColumn("_run", F.expr(f"{pos} div {rows}"))
     run = Window.partitionBy(*keys, "_block", "_run")
     start = run.orderBy(F.col(pos).asc()).rowsBetween(Window.unboundedPreceding, 0)

@@ -155,7 +155,8 @@ def derive_business_metrics(metrics: DataFrame) -> DataFrame:
     )
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
+    """Hadoop file system of a path, and the JVM view."""
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm
@@ -164,10 +165,11 @@ def _filesystem(spark: SparkSession, path: str):
 def retention_cleanup(spark: SparkSession, path: str, as_of: datetime, days: int = 7) -> DataFrame:
     """Delete rows older than ``days`` from a table partitioned by date.
 
-    Only the partition of the cut is rewritten; older ones are dropped as directories.
+    Only the partition of the cut is rewritten; older ones are dropped as directories. For tables
+    that are read meanwhile, ``versioned.retain`` does it in one commit.
     """
     cutoff = as_of - timedelta(days=days)
-    fs, jvm = _filesystem(spark, path)
+    fs, jvm = filesystem(spark, path)
     edge = cutoff.date().isoformat()
     edge_path = jvm.org.apache.hadoop.fs.Path(f"{path}/date={edge}")
     if fs.exists(edge_path):
@@ -194,7 +196,7 @@ def table_stats(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     out = None
     for name, path in paths.items():
         df = spark.read.parquet(path)
-        fs, jvm = _filesystem(spark, path)
+        fs, jvm = filesystem(spark, path)
         size = fs.getContentSummary(jvm.org.apache.hadoop.fs.Path(path)).getLength()
         one = df.agg(F.count("*").alias("row_count")).select(
             F.lit(name).alias("table_name"),
@@ -222,7 +224,7 @@ def incremental_load(
     added as the table has too few. With ``lateness``, rows older than that before the table's
     newest row are not looked at, and the comparison reads only the table's later dates.
     """
-    fs, jvm = _filesystem(spark, path)
+    fs, jvm = filesystem(spark, path)
     fresh = source
     if fs.exists(jvm.org.apache.hadoop.fs.Path(path)):
         loaded = spark.read.parquet(path)
@@ -311,16 +313,17 @@ def export_single(snapshots: DataFrame, metric_type: str, fields: dict[str, str]
     return rows.filter(F.col("_p").isNotNull()).select("timestamp", *[F.col(f"_p.{k}") for k in fields])
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """JSON lines with microsecond timestamps."""
-    df.write.mode("error").option("timestampFormat", CSV_TIMESTAMP).json(path)
+def write_json(df: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """JSON lines with microsecond timestamps, in one folder per value of ``by``."""
+    out = df.hint("rebalance", *by) if by else df
+    out.write.mode("error").option("timestampFormat", CSV_TIMESTAMP).partitionBy(*by).json(path)
 
 
-def export_manifest(df: DataFrame, data_type: str, hours: float, exported_at: datetime) -> DataFrame:
-    """The one-row description that goes with an export."""
-    return df.agg(F.count("*").alias("row_count")).select(
+def export_manifest(df: DataFrame, by: str, hours: float, exported_at: datetime) -> DataFrame:
+    """The description that goes with an export: one row per value of ``by``."""
+    return df.groupBy(F.col(by).alias("data_type")).agg(F.count("*").alias("row_count")).select(
         F.lit(exported_at).alias("exported_at"),
-        F.lit(data_type).alias("data_type"),
+        "data_type",
         F.lit(float(hours)).alias("time_range_hours"),
         "row_count",
     )

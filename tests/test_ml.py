@@ -43,15 +43,15 @@ def test_large_series_use_one_tree_per_row(spark):
     assert forest.count() == 20 and forest.agg(F.min("_n")).first()[0] >= 200
 
 
-def test_both_scoring_paths_agree(planted):
+def test_shares_do_not_change_scores(planted):
     path = stage_path(planted.sparkSession, "forest")
     iforest.save_forest(iforest.train_forest(planted, ["x", "y"], row_id=["row"], trees=10), path)
     forest = iforest.load_forest(planted.sparkSession, path)
-    shared = {r.row: r.score for r in iforest.score_forest(planted, forest, ["x", "y"], row_id=["row"]).collect()}
-    grouped = iforest.score_forest(planted, forest, ["x", "y"], row_id=["row"], broadcast_trees=0)
+    whole = {r.row: r.score for r in iforest.score_forest(planted, forest, ["x", "y"], row_id=["row"]).collect()}
+    grouped = iforest.score_forest(planted, forest, ["x", "y"], row_id=["row"], share_rows=50)
     got = {r.row: r.score for r in grouped.collect()}
-    assert got.keys() == shared.keys()
-    assert max(abs(got[k] - shared[k]) for k in got) < 1e-12
+    assert got.keys() == whole.keys() and len(got) == 1000
+    assert max(abs(got[k] - whole[k]) for k in got) < 1e-12
 
 
 def test_average_path():
@@ -85,3 +85,52 @@ def test_horizon_model_learns_and_persists(spark):
     got = ml.predict_horizon(df, ml.load_models(path, list(models)), scores).first()
     assert got.predicted_value == want.predicted_value and got.timestamp == t0 + timedelta(minutes=399)
     assert ml.train_horizon_models(df.limit(50), "cpu")[0] == {}
+
+
+def test_forest_keeps_series_without_a_name(planted):
+    nameless = planted.withColumn("metric_name", F.when(F.col("metric_name") == "a", "a"))
+    out = iforest.isolation_forest(nameless, ["x", "y"], row_id=["row"])
+    assert out.count() == 1000 and out.filter("score is null").count() == 0
+    top = out.filter("metric_name is null").orderBy(F.col("score").desc()).limit(3).collect()
+    assert {r.i for r in top} == {0, 1, 2}
+
+
+def test_composite_score_takes_the_larger_of_model_and_rules(spark, series):
+    from pulsegrid.operators import anomaly, timeseries
+
+    rng = np.random.default_rng(5)
+    values = list(rng.normal(50, 5, 400))
+    df = series(load=values)
+    feats = timeseries.rolling_features(df)
+    columns = ["value", "rolling_mean", "rolling_std"]
+    forest = iforest.train_forest(feats, columns)
+    plain = {r.event_id: r.anomaly_score for r in anomaly.composite_anomaly(df, limit=-1.0).collect()}
+    model = {r.event_id: r.ml_score for r in iforest.decide(feats, forest, columns).collect()}
+    both = anomaly.composite_with_forest(df, feats, forest, columns, limit=-1.0).collect()
+    assert {r.event_id for r in both} == plain.keys()
+    for r in both:
+        assert r.anomaly_score == max(plain[r.event_id], model.get(r.event_id, 0.0))
+    assert any(model.get(r.event_id, 0) > plain[r.event_id] for r in both)
+
+
+def test_all_horizon_models_in_one_call(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    schema = "event_id long, timestamp timestamp, metric_type string, metric_name string, value double"
+    rows = []
+    for k, (kind, n) in enumerate((("cpu", 300), ("memory", 200), ("short", 40))):
+        rows += [(k * 1000 + i, t0 + timedelta(minutes=i), kind, kind, 50 + 30 * float(np.sin(i / 5 + k))) for i in range(n)]
+    # The newest memory rows are incomplete, beyond what the tail holds.
+    rows += [(1000 + i, t0 + timedelta(minutes=i), "memory", "memory", None) for i in range(200, 230)]
+    df = spark.createDataFrame(rows, schema)
+    at = datetime(2024, 2, 1)
+    models, scores = ml.train_all_models(df, horizons=(5, 15), trees=10, depth=6, trained_at=at)
+    assert set(models) == {"cpu_5min", "cpu_15min", "memory_5min", "memory_15min"}
+    one, alone = ml.train_horizon_models(df, "cpu", horizons=(5,), trees=10, depth=6, trained_at=at)
+    assert [s for s in scores if s[0] == "cpu_5min"] == alone
+    got = {r.model: r for r in ml.predict_horizon(df, models, scores, tail_rows=20).collect()}
+    assert set(got) == set(models)
+    assert got["memory_5min"].timestamp == t0 + timedelta(minutes=199)
+    summary = ml.model_performance_summary(spark.createDataFrame(scores, ml.SCORE_SCHEMA)).collect()
+    assert len(summary) == 4 and all(r.last_updated == at for r in summary)

@@ -571,3 +571,25 @@ def test_correlations_of_many_columns(spark):
         both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
         assert abs(got[(names[i], names[j])] - np.corrcoef(x[both, i], x[both, j])[0, 1]) < 1e-9
     assert got[("m6", "m7")] is None
+
+
+@pytest.mark.parametrize("block_rows", [7, 50_000])
+def test_sliding_order_statistics_by_hand(spark, series, block_rows):
+
+    rng = np.random.default_rng(3)
+    values = [None if rng.random() < 0.1 else float(rng.integers(0, 9)) for _ in range(60)]
+    df = series(a=values, b=[4.1] * 20)
+    out = {r.event_id: r for r in anomaly.baseline_stats(df, window=10, block_rows=block_rows).collect()}
+    seen = 0
+    for i in range(60):
+        frame = [v for v in values[max(0, i - 9) : i + 1] if v is not None]
+        if len(frame) < 3:
+            assert i not in out
+            continue
+        r, seen = out[i], seen + 1
+        want = [np.mean(frame), np.std(frame), *np.quantile(frame, [0.25, 0.5, 0.75]), min(frame), max(frame)]
+        assert [r["mean"], r["std"], r.q1, r.median, r.q3, r["min"], r["max"]] == pytest.approx(want)
+        assert r.samples == len(frame)
+    flat = [r for i, r in out.items() if i >= 60]
+    assert len(flat) == 18 and all(r["std"] == 0 and r["mean"] == 4.1 for r in flat)
+    assert len(out) == seen + 18
