@@ -235,10 +235,14 @@ def latest_prediction(predictions: DataFrame, order: str = "event_id") -> DataFr
     )
 
 
-def save_models(models: dict[str, PipelineModel], path: str) -> None:
+def save_models(models: dict[str, PipelineModel], path: str, parallelism: int = 4) -> None:
     """One folder per model."""
-    for key, model in models.items():
-        model.write().overwrite().save(f"{path}/{key}")
+
+    def save(key: str) -> None:
+        models[key].write().overwrite().save(f"{path}/{key}")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        list(pool.map(save, models))
 
 
 def load_models(path: str, keys: Sequence[str]) -> dict[str, PipelineModel]:
