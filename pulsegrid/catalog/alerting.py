@@ -251,10 +251,12 @@ def priority_split(spark, d):
 
 @Q.add("stream_filter", with_(S.MESSAGES) + "SELECT event_id, stream_name, priority FROM stream_messages WHERE message_type = 'error' AND priority >= 2")
 def stream_filter(spark, d):
-    from pulsegrid.streaming.jobs import subscribe
+    """A subscriber's messages, delivered by a stream."""
+    from pulsegrid.streaming import jobs
 
-    out = subscribe(A.stream_messages(spark, d), (F.col("message_type") == "error") & (F.col("priority") >= 2))
-    return out.select("event_id", "stream_name", "priority")
+    stream = A.stream_messages_from(jobs.event_stream(spark, d))
+    out = jobs.subscribe(stream, (F.col("message_type") == "error") & (F.col("priority") >= 2))
+    return jobs.drain(out.select("event_id", "stream_name", "priority"), "subscribed")
 
 
 @Q.add(
@@ -396,7 +398,7 @@ def processor_metrics(spark, d):
 @Q.add(
     "stream_stats",
     with_(S.MESSAGES)
-    + "SELECT stream_name, count(*) AS messages_processed, max(timestamp) AS last_message_time, least(count(*), 1000) AS current_buffer_size FROM stream_messages GROUP BY 1",
+    + "SELECT stream_name, count(*) AS messages_processed, max(timestamp) AS last_message_time FROM stream_messages GROUP BY 1",
 )
 def stream_stats(spark, d):
     return messages.stream_stats(A.stream_messages(spark, d))

@@ -204,6 +204,59 @@ def microbatch_process(spark, d):
     return _batches(spark, f"{path}/runs").select("processor_name", "input_events", "failed")
 
 
+def _results(spark, d, name):
+    """What one of the built-in processors wrote; all events are one micro-batch."""
+    path = stage_path(spark, name)
+    one = jobs.Processors()
+    one.register(name, jobs.builtin_processors().get(name))
+    events = A.stream_events_from(_source(spark, d))
+    jobs.microbatch_process(events, one, path, stage_path(spark, f"{name}-checkpoint"), fail_fast=True)
+    return _batches(spark, f"{path}/{name}")
+
+
+@Q.add(
+    "processor_aggregates",
+    with_(S.STREAM_EVENTS)
+    + f"""SELECT metric_type, count(value) AS count, {r('avg(value)')} AS mean, {r('min(value)')} AS min, {r('max(value)')} AS max,
+  {r('coalesce(stddev_samp(value), 0)')} AS stdev, {r('median(value)')} AS median FROM stream_events WHERE event_type = 'system_metric' AND value IS NOT NULL GROUP BY 1""",
+)
+def processor_aggregates(spark, d):
+    return rounded(_results(spark, d, "system_aggregator"))
+
+
+@Q.add(
+    "processor_anomalies",
+    with_(S.STREAM_EVENTS)
+    + """, t(metric_type, warning, critical) AS (VALUES ('cpu', 80.0, 95.0), ('memory', 85.0, 95.0), ('disk', 90.0, 98.0), ('temperature', 70.0, 85.0))
+SELECT event_id, metric_type, value, CASE WHEN value >= critical THEN 'critical' ELSE 'warning' END AS severity,
+  CASE WHEN value >= critical THEN critical ELSE warning END::DOUBLE AS threshold FROM stream_events JOIN t USING (metric_type)
+WHERE event_type = 'system_metric' AND value >= warning""",
+)
+def processor_anomalies(spark, d):
+    return _results(spark, d, "anomaly_detector").select("event_id", "metric_type", "value", "severity", "threshold")
+
+
+@Q.add(
+    "processor_performance",
+    with_(S.STREAM_EVENTS)
+    + f""", e AS (SELECT *, CASE WHEN processing_latency_ms > 0 THEN processing_latency_ms END AS x FROM stream_events WHERE event_type = 'sensor_reading'),
+p AS (SELECT avg(x) AS a, min(x) AS lo, max(x) AS hi, quantile_cont(x, 0.95) AS q, count(*) AS n, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 1e6 AS span FROM e)
+SELECT {r('a')} AS average_ms, {r('lo')} AS min_ms, {r('hi')} AS max_ms, {r('q')} AS percentile_95, n AS total_events, {r('CASE WHEN span = 0 THEN 1.0 ELSE span END')} AS time_span_seconds FROM p""",
+)
+def processor_performance(spark, d):
+    return rounded(_results(spark, d, "performance_calculator"))
+
+
+@Q.add(
+    "processor_alerts",
+    with_(S.STREAM_EVENTS)
+    + """SELECT event_id AS source_event, 'anomaly' AS type, severity, upper(metric_type) || ' anomaly detected: ' || CAST(value AS VARCHAR) AS message, metric_type, value, timestamp
+FROM stream_events WHERE event_type = 'anomaly_detected'""",
+)
+def processor_alerts(spark, d):
+    return _results(spark, d, "alert_generator").drop("alert_id")
+
+
 @Q.add(
     "batch_sink",
     f"""SELECT CASE event_type WHEN 'error' THEN 'alerts' WHEN 'purchase' THEN 'processes' ELSE 'metrics' END AS sink, event_id, value FROM events""",

@@ -218,6 +218,37 @@ def incremental_load(spark, d):
     return storage.incremental_load(spark, m, path, row_id=["event_id"]).drop("date")
 
 
+def _deliveries(spark, df, name):
+    """Stream over three files of ``df``: late rows in the second, all rows again in the third."""
+    path = stage_path(spark, name)
+    for part in (F.col("event_id") % 7 != 0, F.col("event_id") % 7 == 0, F.lit(True)):
+        df.filter(part).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@Q.add("incremental_stream", with_(S.METRICS) + "SELECT event_id, timestamp, metric_name, value FROM metrics_long")
+def incremental_stream(spark, d):
+    m = A.metrics_long(spark, d).select("event_id", "timestamp", "metric_name", "value")
+    table = versioned.VersionedTable(spark, stage_path(spark, "loaded"))
+    jobs.incremental_stream(_deliveries(spark, m, "to-load"), table, stage_path(spark, "load-checkpoint"), ["event_id"])
+    return table.read().drop("date")
+
+
+@Q.add(
+    "tier_stream",
+    with_(S.METRICS)
+    + f"""SELECT event_id, timestamp, metric_name, value, CASE WHEN {WEEK_OLD} THEN 'historical' ELSE 'current' END AS partition_type FROM metrics_long""",
+)
+def tier_stream(spark, d):
+    m = A.metrics_long(spark, d).select("event_id", "timestamp", "metric_name", "value")
+    source = stage_path(spark, "to-tier")
+    m.repartition(3, "event_id").write.parquet(source)
+    stream = spark.readStream.schema(m.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    current, old = (versioned.VersionedTable(spark, stage_path(spark, n)) for n in ("current", "historical"))
+    jobs.tier_stream(stream, current, old, stage_path(spark, "tier-checkpoint"), latest(m))
+    return storage.all_metrics_view(current.read(), old.read()).drop("date")
+
+
 NEWEST_CHANGES = """WITH newest AS (SELECT * FROM (SELECT o_custkey AS c_custkey, o_totalprice AS c_acctbal, o_orderpriority AS c_mktsegment,
     CASE o_orderstatus WHEN 'F' THEN 'delete' WHEN 'O' THEN 'update' ELSE 'insert' END AS op,
     row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM orders) WHERE rn = 1)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.plans.joins import join_keys
 from pulsegrid.plans.staging import stage
 from pulsegrid.sources.storage import filesystem
 
@@ -128,6 +129,22 @@ def append_dated(table: VersionedTable, df: DataFrame, ts: str = "timestamp", ve
     return table.commit(df.withColumn("date", F.to_date(ts)), version)
 
 
+def append_new(
+    table: VersionedTable, df: DataFrame, row_id: Sequence[str], ts: str = "timestamp", version: int | None = None
+) -> bool:
+    """Commit the rows that a table partitioned by date does not have yet, known by ``row_id``.
+
+    Only the dates that ``df`` has rows of are looked at: a row that comes again has the same time.
+    """
+    dated = df.withColumn("date", F.to_date(ts)).dropDuplicates([*row_id])
+    state = table.manifest()
+    if state["schema"] is not None:
+        dates = [r[0] for r in dated.select("date").distinct().collect()]  # at most one per part
+        names = [f"date={d.isoformat() if d else '__HIVE_DEFAULT_PARTITION__'}" for d in dates]
+        dated = join_keys(dated, table.read(names).select(*row_id), list(row_id), "left_anti")
+    return table.commit(dated, version)
+
+
 def retain(table: VersionedTable, as_of: datetime, days: int = 7, ts: str = "timestamp") -> DataFrame:
     """Remove rows older than ``days`` from a table partitioned by date, in one commit.
 

@@ -8,7 +8,8 @@ that runs again overwrites what it wrote before.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from pulsegrid.operators.alerts import anomaly_to_alert
 from pulsegrid.operators.anomaly import threshold_anomalies
 from pulsegrid.operators.messages import event_routing
 from pulsegrid.plans.staging import stage_path
+from pulsegrid.sources.storage import tier_route
+from pulsegrid.sources.versioned import VersionedTable, append_dated, append_new
 
 WATERMARK = "5 minutes"
 MEDIAN_ACCURACY = 10_000
@@ -86,6 +89,31 @@ def for_each_batch(
     query.awaitTermination()
 
 
+def incremental_stream(
+    stream: DataFrame, table: VersionedTable, checkpoint: str, row_id: Sequence[str], ts: str = "timestamp"
+) -> None:
+    """Add the rows of every micro-batch that the table does not have yet, late ones included."""
+    for_each_batch(stream, lambda batch, n: append_new(table, batch, row_id, ts, n + 1), checkpoint)
+
+
+def tier_stream(
+    stream: DataFrame,
+    current: VersionedTable,
+    historical: VersionedTable,
+    checkpoint: str,
+    as_of: datetime,
+    days: int = 7,
+) -> None:
+    """Commit the rows of every micro-batch to the table of their tier."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        routed = tier_route(batch, as_of, days)
+        for name, table in (("current", current), ("historical", historical)):
+            append_dated(table, routed.filter(F.col("tier") == name).drop("tier"), version=batch_id + 1)
+
+    for_each_batch(stream, write, checkpoint)
+
+
 def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     """One folder per micro-batch, replaced when the batch is run again."""
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
@@ -147,12 +175,20 @@ def builtin_processors() -> Processors:
     return out
 
 
-def microbatch_process(stream: DataFrame, processors: Processors, path: str, checkpoint: str) -> None:
+def microbatch_process(
+    stream: DataFrame,
+    processors: Processors,
+    path: str,
+    checkpoint: str,
+    attempts: int = 2,
+    fail_fast: bool = False,
+) -> None:
     """Run each processor on its routed events of every micro-batch.
 
     Results go to ``path/<processor>``, a log of the runs to ``path/runs``: events taken,
-    milliseconds used, whether the processor failed, and its error. A failing processor does not
-    stop the others.
+    milliseconds used, whether the processor failed, and its error. A processor gets ``attempts``
+    tries at a batch. One that fails them all does not stop the others, and its batch is in the
+    log; with ``fail_fast`` the stream stops instead, and the batch runs again when it is restarted.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
@@ -164,11 +200,16 @@ def microbatch_process(stream: DataFrame, processors: Processors, path: str, che
             if not taken.get(name):
                 continue
             started, error = time.monotonic(), None
-            try:
-                mine = routed.filter(F.col("processor") == name).drop("processor")
-                _write_batch(processors.get(name)(mine), f"{path}/{name}", batch_id)
-            except Exception as ex:
-                error = f"{type(ex).__name__}: {ex}"
+            mine = routed.filter(F.col("processor") == name).drop("processor")
+            for left in reversed(range(attempts)):
+                try:
+                    _write_batch(processors.get(name)(mine), f"{path}/{name}", batch_id)
+                    error = None
+                    break
+                except Exception as ex:
+                    if fail_fast and not left:
+                        raise
+                    error = f"{type(ex).__name__}: {ex}"
             spent = (time.monotonic() - started) * 1000
             runs.append((name, taken[name], spent, error is not None, error))
         routed.unpersist()

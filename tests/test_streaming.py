@@ -230,3 +230,44 @@ def test_store_takes_every_fifth_process_snapshot(spark, parts):
     n = parts[1].count()
     assert spark.read.parquet(f"{root}/metrics").count() == n
     assert spark.read.parquet(f"{root}/processes").count() == (n + 4) // 5
+
+
+def test_processor_gets_another_try_and_fail_fast_repeats_the_batch(spark, parts):
+    events, tries = A.stream_events_from(stream(spark, parts)), []
+
+    def flaky(df):
+        tries.append(1)
+        if len(tries) == 1:
+            raise ValueError("first try")
+        return df.select("event_id")
+
+    one = jobs.Processors()
+    one.register("alert_generator", flaky)
+    path = stage_path(spark, "flaky")
+    jobs.microbatch_process(events, one, path, stage_path(spark, "c"))
+    assert spark.read.parquet(f"{path}/runs").filter("failed").isEmpty()
+    want = parts[1].filter("event_type = 'error'").count()
+    assert spark.read.parquet(f"{path}/alert_generator").count() == want
+
+    tries.clear()
+    path, check = stage_path(spark, "strict"), stage_path(spark, "c")
+    with pytest.raises(Exception, match="first try"):
+        jobs.microbatch_process(events, one, path, check, attempts=1, fail_fast=True)
+    # The batch was not committed: started again, the stream takes it from there.
+    jobs.microbatch_process(events, one, path, check, attempts=1, fail_fast=True)
+    assert spark.read.parquet(f"{path}/alert_generator").count() == want
+
+
+def test_tiers_of_a_stream_that_is_stopped_and_started(spark, parts):
+    from pulsegrid.sources import storage, versioned
+
+    events = parts[1].select("event_id", F.col("ts").cast("timestamp").alias("timestamp"))
+    as_of = events.agg(F.max("timestamp")).first()[0]
+    current, old = (versioned.VersionedTable(spark, stage_path(spark, n)) for n in ("current", "old"))
+    check = stage_path(spark, "c")
+    for _ in range(2):
+        rows = stream(spark, parts).select("event_id", F.col("ts").cast("timestamp").alias("timestamp"))
+        jobs.tier_stream(rows, current, old, check, as_of)
+    want = storage.tier_route(events, as_of)
+    assert ids(current.read(), "event_id") == ids(want.filter("tier = 'current'"), "event_id")
+    assert ids(old.read(), "event_id") == ids(want.filter("tier = 'historical'"), "event_id")

@@ -122,3 +122,16 @@ def test_changes_without_a_load(spark):
     table = versioned.ChangeTable(spark, stage_path(spark, "changes"), ["id"], ["seq"])
     table.apply(spark.createDataFrame([(1, "a", 1, "insert"), (2, "b", 1, "delete")], CHANGE))
     assert [tuple(r) for r in table.read().collect()] == [(1, "a")]
+
+
+def test_new_rows_are_added_once(spark):
+    table = versioned.VersionedTable(spark, stage_path(spark, "versioned"))
+    rows = hourly(spark, 50).unionByName(spark.createDataFrame([(None, T0), (77, None)], "id long, timestamp timestamp"))
+    # Repeated in one batch, late, and with ties in time.
+    tied = spark.createDataFrame([(100, T0), (101, T0)], "id long, timestamp timestamp")
+    versioned.append_new(table, rows.filter("id > 20 or id is null").unionByName(rows.filter("id = 30")), ["id"])
+    versioned.append_new(table, rows, ["id"])
+    versioned.append_new(table, tied.unionByName(rows), ["id"], version=3)
+    assert not versioned.append_new(table, tied, ["id"], version=3)
+    got = [r.id for r in table.read().collect()]
+    assert sorted(x for x in got if x is not None) == [*range(50), 77, 100, 101] and got.count(None) == 1
