@@ -193,8 +193,8 @@ COUNTERS = ["bytes_sent", "bytes_recv", "packets_sent", "packets_recv"]
 )
 def counter_rate(spark, d):
     out = timeseries.counter_rate(A.counters(spark, d), COUNTERS)
-    out = out.select("event_id", "source", F.round("seconds", 5).alias("seconds"), *[f"{c}_per_sec" for c in COUNTERS])
-    return rounded(out, 3).drop("seconds").join(out.select("event_id", "seconds"), "event_id")
+    rates = [F.round(f"{c}_per_sec", 3).alias(f"{c}_per_sec") for c in COUNTERS]
+    return out.select("event_id", "source", F.round("seconds", 5).alias("seconds"), *rates)
 
 
 @Q.add(
