@@ -213,11 +213,12 @@ def processor_metrics(results: DataFrame) -> DataFrame:
     )
 
 
-def stream_stats(messages: DataFrame, keys: Sequence[str] = STREAM) -> DataFrame:
-    """Messages and last message time per stream."""
-    return messages.groupBy(*keys).agg(
+def stream_stats(messages: DataFrame, buffer_size: int = 1000, keys: Sequence[str] = STREAM) -> DataFrame:
+    """Messages, last message time and buffered messages (the newest ``buffer_size``) per stream."""
+    agg = messages.groupBy(*keys).agg(
         F.count("*").alias("messages_processed"), F.max("timestamp").alias("last_message_time")
     )
+    return agg.withColumn("current_buffer_size", F.least("messages_processed", F.lit(buffer_size)))
 
 
 def series_span_stats(df: DataFrame, keys: Sequence[str] = ("metric_name",), value: str = "value") -> DataFrame:

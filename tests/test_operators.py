@@ -593,3 +593,14 @@ def test_sliding_order_statistics_by_hand(spark, series, block_rows):
     flat = [r for i, r in out.items() if i >= 60]
     assert len(flat) == 18 and all(r["std"] == 0 and r["mean"] == 4.1 for r in flat)
     assert len(out) == seen + 18
+
+
+def test_stream_stats_report_the_buffer(spark):
+    from datetime import datetime, timedelta
+
+    t0 = datetime(2024, 1, 1)
+    rows = [("a", t0 + timedelta(seconds=i)) for i in range(12)] + [("b", t0), (None, t0)]
+    df = spark.createDataFrame(rows, "stream_name string, timestamp timestamp")
+    got = {r.stream_name: r for r in messages.stream_stats(df, buffer_size=10).collect()}
+    assert {k: (r.messages_processed, r.current_buffer_size) for k, r in got.items()} == {"a": (12, 10), "b": (1, 1), None: (1, 1)}
+    assert got["a"].last_message_time == t0 + timedelta(seconds=11)
