@@ -1,18 +1,18 @@
 """Near-duplicate documents by improved consistent weighted sampling.
 
 A document is the weighted set of its windows of five words: a window's weight is its count
-times its inverse document frequency over all documents. Windows that a share ``FREQUENT`` of the
-documents have or more are counted exactly; these are few, at most the mean number of windows a
-document divided by ``FREQUENT``. All others weigh what a window of just that share weighs: an
-edit's own new words do not outweigh the text that the copies share, while passages that many
-documents hold count less. Each of ``BANDS * ROWS`` hashes draws one (window, level) of the set
+times its inverse document frequency, ln((1 + N) / (1 + n)) + 1 for a window that n of all N
+documents have. Every window's n is counted: a part of a task's texts sends each window it has
+once, to the task that counts the window's range of hashes, and gets the numbers back; nothing is
+kept on the driver or broadcast. Each of ``BANDS * ROWS`` hashes draws one (window, level) of the set
 such that two documents draw the same with probability equal to their weighted Jaccard
 similarity; ``ROWS`` draws make a band, and documents that share a band are candidates. At a
 similarity of 0.8 all bands miss a pair with probability below 1e-4.
 
 Each class of equal texts keeps 16 bits of all its draws as a sketch. A pair at the threshold
 has fewer equal draws than ``least_matches`` asks for with probability below 1e-5, so sketches
-tell which candidates are worth a look at the texts, and few texts are shuffled.
+tell which candidates are worth a look at their sets. Of a set only the sum of its weights and the
+windows that other documents have too are kept: no other window can be in common.
 
 Equal texts are one class from the start. Candidates are verified by their exact weighted
 Jaccard similarity in steps, so that large groups never become pairs: first each class of a
@@ -21,7 +21,7 @@ the largest component of a bucket against a member of that component picked by a
 buckets whose classes are not connected yet; at last, what is left of these buckets is cut into
 blocks. A task compares the sketches of two blocks at once and returns the classes that have a
 likely partner in another component, each pair in the first bucket it shares; only these go,
-with their texts, into blocks that are compared exactly, and a task returns links only. What
+with their sets, into blocks that are compared exactly, and a task returns links only. What
 stays unverified is inside one component and cannot change the result.
 
 Null and empty texts have no window and match nothing but equal texts, null counting as empty;
@@ -31,6 +31,7 @@ links. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from math import comb
 
@@ -47,14 +48,16 @@ from pulsegrid.plans.staging import stage
 WINDOW = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 14, 3
-FREQUENT = 0.002
 ROUNDS = 1
 BLOCK, BLOCK_BYTES = 256, 1_000_000
 SKETCH_BLOCK = 1024
 MARKS = 1 << 24
 _POOL = 1 << 15
-#: Characters of texts whose windows are in memory at once; one text is never split.
-PART_CHARS = 500_000
+#: Bytes of two sets that are compared at once, and windows that draw at once; a set is never split.
+PAIR_BYTES = 500_000
+DRAW_WINDOWS = 75_000
+#: Bytes of text whose windows are counted in one range of hashes.
+RANGE_BYTES = 8_000_000
 _U = np.uint64
 _pools: list[tuple[np.ndarray, ...]] = []
 
@@ -72,14 +75,18 @@ def _draws() -> list[tuple[np.ndarray, ...]]:
     return _pools
 
 
+def inverse_frequency(n: np.ndarray, total: int) -> np.ndarray:
+    return np.log((1.0 + total) / (1.0 + np.asarray(n, np.float64))) + 1.0
+
+
 class Weights:
-    """Inverse document frequency ln((1 + N) / (1 + n)) + 1 of the windows in a sorted table, and of
-    all others as if FREQUENT of all documents had them."""
+    """Inverse document frequency of the windows in a sorted table, those that several documents
+    have; all others are in one document."""
 
     def __init__(self, windows: np.ndarray, n: np.ndarray, total: int):
         self.windows = windows
-        self.idf = np.log((1.0 + total) / (1.0 + n)) + 1.0
-        self.rest = float(np.log((1.0 + total) / (1.0 + max(1.0, FREQUENT * total))) + 1.0)
+        self.idf = inverse_frequency(n, total)
+        self.rest = float(inverse_frequency(1, total))
 
     def of(self, h: np.ndarray) -> np.ndarray:
         if not len(self.windows):
@@ -88,8 +95,8 @@ class Weights:
         return np.where(self.windows[at] == h, self.idf[at], self.rest)
 
 
-def weighted_sets(texts: list[str], idf: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct windows of each text, sorted by hash inside a text, their weights, and bounds."""
+def window_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of each text, sorted by hash inside a text, their counts, and bounds."""
     h, bounds = ngrams(*words(texts), WINDOW)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     order = np.lexsort((h, owner))
@@ -99,8 +106,13 @@ def weighted_sets(texts: list[str], idf: Weights) -> tuple[np.ndarray, np.ndarra
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(h)))
     h, owner = h[at], owner[at]
-    w = tf * idf.of(h)
-    return h, w.astype(np.float64), np.searchsorted(owner, np.arange(len(texts) + 1))
+    return h, tf, np.searchsorted(owner, np.arange(len(texts) + 1))
+
+
+def weighted_sets(texts: list[str], idf: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct windows of each text, sorted by hash inside a text, their weights, and bounds."""
+    h, tf, bounds = window_sets(texts)
+    return h, tf * idf.of(h), bounds
 
 
 def draws(h: np.ndarray, w: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -161,102 +173,214 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), BANDS * ROWS)
 
 
-def _several(text: str):
-    """Windows that several documents of a part have, with their number; and (value null) the
-    part's documents."""
+def _packed(x: np.ndarray, size: int) -> bytes:
+    """Bytes of numbers by place, so that the many small ones of a row compress."""
+    return np.ascontiguousarray(x.astype(f"<u{size}").view(np.uint8).reshape(-1, size).T).tobytes()
+
+
+def _unpacked(data: bytes, size: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(f"<u{size}").ravel()
+
+
+def _starts(ranges: int) -> np.ndarray:
+    """Smallest hash of each range."""
+    return np.array([-(-(k << 64) // ranges) for k in range(ranges)], np.uint64)
+
+
+def _digest(texts: list[str]) -> bytes:
+    """Name of a part: equal ones have equal windows, and so equal numbers of documents."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.fromiter(map(len, data), np.int64, len(data))
+    return hashlib.blake2b(sizes.tobytes() + b"".join(data), digest_size=16).digest()
+
+
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes and how often they are there."""
+    h = np.sort(h)
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return h[first], np.diff(np.append(first, len(h)))
+
+
+def _held(text: str, ranges: int):
+    """The windows of each part of a task's texts, cut into ranges of hashes, with the number of
+    the part's documents that have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = _starts(ranges)
         for batch in batches:
             for part in slices(batch, text):
-                h, bounds = ngrams(*words(texts_of(part, text)), WINDOW)
-                owner = np.repeat(np.arange(part.num_rows, dtype=np.int32), np.diff(bounds))
-                order = np.argsort(h, kind="stable")
-                h, owner = h[order], owner[order]
-                new = np.diff(h, prepend=~h[:1]) != 0
-                first = np.flatnonzero(new)
-                once = new | (np.diff(owner, prepend=-1) != 0)
-                n = np.add.reduceat(once.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-                values = pa.array(h[first[n > 1]].view(np.int64))
+                texts = texts_of(part, text)
+                h, n = _distinct(window_sets(texts)[0])
+                if not len(h):
+                    continue
+                cut = np.append(np.searchsorted(h, starts), len(h))
+                some = np.flatnonzero(np.diff(cut))
+                rows = [(slice(cut[k], cut[k + 1]), starts[k]) for k in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([values, pa.nulls(1, pa.int64())]), pa.array(np.append(n[n > 1], part.num_rows))],
-                    ["value", "n"],
+                    [
+                        pa.array([_digest(texts)] * len(some), pa.binary()),
+                        pa.array(some, pa.int32()),
+                        # Differences of sorted hashes are short.
+                        pa.array([_packed(np.diff(h[at], prepend=least), 8) for at, least in rows], pa.binary()),
+                        pa.array([_packed(n[at], 4) for at, _ in rows], pa.binary()),
+                    ],
+                    ["part", "range", "windows", "n"],
                 )
 
     return run
 
 
-def _counted(sent, text: str):
-    """Documents that have each window of a sorted table; a task sends one row per window."""
+def _summed(table: pa.Table, ranges: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all rows of one range: distinct windows, documents that have them, the window of each
+    entry and the bounds of the rows. A part that is there twice counts twice."""
+    start = _starts(ranges)[table.column("range")[0].as_py()]
+    rows = [_unpacked(x, 8) for x in table.column("windows").to_pylist()]
+    h = np.concatenate([np.cumsum(x, dtype=np.uint64) + start for x in rows])
+    n = np.concatenate([_unpacked(x, 4) for x in table.column("n").to_pylist()])
+    windows, place = np.unique(h, return_inverse=True)
+    total = np.bincount(place, weights=n, minlength=len(windows)).astype(np.int64)
+    return windows, total, place, np.cumsum([0, *map(len, rows)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        total = np.zeros(len(table), np.int64)
-        for batch in batches:
-            for part in slices(batch, text, PART_CHARS):
-                h, bounds = ngrams(*words(texts_of(part, text)), WINDOW)
-                owner = np.repeat(np.arange(part.num_rows, dtype=np.int64), np.diff(bounds))
-                at = np.minimum(np.searchsorted(table, h), len(table) - 1)
-                hit = table[at] == h
-                once = np.unique(owner[hit] * len(table) + at[hit])
-                total += np.bincount(once % len(table), minlength=len(table))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["place", "n"])
+
+def _returned(ranges: int):
+    """Rows of one range to the number of documents that have their windows, in their order."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, total, place, bounds = _summed(table, ranges)
+        n = total[place]
+        return table.select(["part", "range"]).append_column(
+            "n", pa.array([_packed(n[a:b], 4) for a, b in zip(bounds, bounds[1:])], pa.binary())
+        )
 
     return run
 
 
+def _several(ranges: int):
+    """Rows of one range to its windows that several documents have."""
+
+    def run(table: pa.Table) -> pa.Table:
+        windows, total, _, _ = _summed(table, ranges)
+        some = total > 1
+        return pa.table({"value": windows[some].view(np.int64), "n": total[some]})
+
+    return run
+
+
+def window_ranges(docs: DataFrame, text: str) -> tuple[DataFrame, int, int]:
+    """Windows of parts of the texts by range of hashes, the number of ranges, and of documents."""
+    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length(text)).alias("bytes")).first()
+    ranges = 1 + (size["bytes"] or 0) // RANGE_BYTES
+    # All columns go along, so that batches are the same in the second pass.
+    held = docs.mapInArrow(_held(text, ranges), "part binary, range int, windows binary, n binary")
+    return held, ranges, size["n"]
+
+
 def window_weights(docs: DataFrame, text: str = "text") -> Weights:
-    """Weights of windows. A first pass finds candidates: windows that several documents of some
-    part of a task's texts have, often enough that they can be frequent; what it misses is just
-    below that share. A second pass counts the candidates in all documents."""
-    spark = docs.sparkSession
-    seen = stage(docs.select(text).mapInArrow(_several(text), "value long, n long"), "several")
-    total = seen.filter("value is null").agg(F.sum("n")).first()[0] or 0
-    sums = seen.filter("value is not null").groupBy("value").agg(F.sum("n").alias("n"))
-    # At most 4 / FREQUENT times the mean number of windows a document.
-    likely = sums.filter(F.col("n") >= FREQUENT / 4 * total).select("value").toArrow()
-    table = np.sort(likely.column(0).to_numpy().astype(np.int64).view(np.uint64))
-    if not len(table):
-        return Weights(table, np.zeros(0), total)
-    counted = docs.select(text).mapInArrow(_counted(spark.sparkContext.broadcast(table), text), "place long, n long")
-    counted = counted.groupBy("place").agg(F.sum("n").alias("n")).toArrow()
-    n = np.zeros(len(table))
-    n[counted.column("place").to_numpy()] = counted.column("n").to_numpy()
-    keep = n >= FREQUENT * total
-    return Weights(table[keep], n[keep], total)
-
-
-def _signatures(sent, id: str, text: str):
+    """Weights of all windows of a table small enough for one of its windows on the driver;
+    ``near_duplicates`` leaves them where they are counted."""
+    held, ranges, total = window_ranges(docs, text)
+    found = held.groupBy("range").applyInArrow(_several(ranges), "value long, n long").toArrow()
+    windows = found.column("value").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(windows)
+    return Weights(windows[order], found.column("n").to_numpy()[order], total)
+
+
+def _contents(id: str, text: str):
+    """The parts that ``_held`` cuts, with ids and texts."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            for part in slices(batch, text, PART_CHARS):
-                h, w, bounds = weighted_sets(texts_of(part, text), sent.value)
-                some = np.flatnonzero(np.diff(bounds) > 0)
-                if not len(some):
-                    continue
-                tight = np.concatenate([[0], np.cumsum(np.diff(bounds)[some])])
-                drawn = draws(h, w, tight)
-                ids = part.column(id).take(pa.array(some))
-                wide = BANDS * ROWS * 2
-                at = np.arange(len(some) + 1, dtype=np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(at * BANDS), pa.array(banded(drawn).ravel()))
-                bits = np.ascontiguousarray((drawn >> _U(48)).astype("<u2").T)
-                sketch = pa.Array.from_buffers(
-                    pa.binary(), len(some), [None, pa.py_buffer((at * wide).tobytes()), pa.py_buffer(bits.tobytes())]
+            for part in slices(batch, text):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=options) as writer:
+                    writer.write_batch(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([_digest(texts_of(part, text))], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())],
+                    ["part", "rows"],
                 )
-                yield pa.RecordBatch.from_arrays([ids, keys, sketch], ["rep", "keys", "sketch"])
 
     return run
 
 
-def weighted_jaccard(h1, w1, h2, w2) -> float:
-    """Sum of the smaller over the sum of the larger weights; windows sorted by hash."""
+SIGNED = "rep long, keys array<long>, sketch binary, value binary"
+
+
+def _signatures(total: int, id: str, text: str):
+    """A part's texts and the numbers of documents that have its windows, to band keys, sketches
+    and sets."""
+
+    def signed(part: pa.Table, windows: np.ndarray, counted: np.ndarray, h, tf, bounds) -> Iterator[pa.RecordBatch]:
+        n = counted[np.searchsorted(windows, h)]
+        w = tf * inverse_frequency(n, total)
+        some = np.flatnonzero(np.diff(bounds) > 0)
+        if not len(some):
+            return
+        group = bounds[some] // DRAW_WINDOWS
+        for docs in np.split(some, np.flatnonzero(np.diff(group)) + 1):
+            # Texts without windows in between add nothing to the bounds.
+            at, to = bounds[docs[0]], bounds[docs[-1] + 1]
+            tight = np.append(bounds[docs], to) - at
+            drawn = draws(h[at:to], w[at:to], tight)
+            keys = pa.ListArray.from_arrays(
+                pa.array(np.arange(len(docs) + 1, dtype=np.int32) * BANDS), pa.array(banded(drawn).ravel())
+            )
+            bits = np.ascontiguousarray((drawn >> _U(48)).astype("<u2").T)
+            sets = []
+            for d in docs:
+                mine = slice(bounds[d], bounds[d + 1])
+                shared = n[mine] > 1
+                whole = np.array([w[mine].sum()], "<f8")
+                sets.append(b"".join(x.tobytes() for x in (
+                    whole, h[mine][shared], n[mine][shared].astype("<u4"), tf[mine][shared].astype("<u4")
+                )))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(id).combine_chunks().take(pa.array(docs)),
+                    keys,
+                    pa.array([x.tobytes() for x in bits], pa.binary()),
+                    pa.array(sets, pa.binary()),
+                ],
+                ["rep", "keys", "sketch", "value"],
+            )
+
+    def run(contents: pa.Table, numbers: pa.Table) -> pa.Table:
+        empty = pa.table({"rep": pa.array([], pa.int64()), "keys": pa.array([], pa.list_(pa.int64())),
+                          "sketch": pa.array([], pa.binary()), "value": pa.array([], pa.binary())})
+        found = dict(zip(numbers.column("range").to_pylist(), numbers.column("n").to_pylist()))
+        counted = [_unpacked(found[k], 4) for k in sorted(found)]
+        counted = np.concatenate(counted) if counted else np.zeros(0, "<u4")
+        out = []
+        for rows in contents.column("rows").to_pylist():
+            part = pa.ipc.open_stream(rows).read_all()
+            h, tf, bounds = window_sets(texts_of(part, text))
+            windows, _ = _distinct(h)
+            if len(windows) != len(counted):
+                raise ValueError("the rows came in another order the second time; write the table first")
+            out.extend(signed(part, windows, counted, h, tf, bounds))
+        return pa.Table.from_batches(out) if out else empty
+
+    return run
+
+
+def _opened(value: bytes, total: int) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """A set as ``_signatures`` writes it: sum of all weights, and of the windows that several
+    documents have the hashes, inverse document frequencies and counts."""
+    k = (len(value) - 8) // 16
+    h = np.frombuffer(value, "<u8", k, 8)
+    n, tf = np.frombuffer(value, "<u4", 2 * k, 8 + 8 * k).reshape(2, k)
+    return float(np.frombuffer(value, "<f8", 1)[0]), h, inverse_frequency(n, total), tf
+
+
+def weighted_jaccard(h1, w1, h2, w2, whole: float | None = None) -> float:
+    """Sum of the smaller over the sum of the larger weights; windows sorted by hash. ``whole`` is
+    the sum of all weights of both where windows that are not in common are left out."""
     if not len(h1) or not len(h2):
         return 0.0
     at = np.minimum(np.searchsorted(h2, h1), len(h2) - 1)
     both = h2[at] == h1
     common = np.minimum(w1[both], w2[at[both]]).sum()
-    return float(common / (w1.sum() + w2.sum() - common))
+    return float(common / ((w1.sum() + w2.sum() if whole is None else whole) - common))
 
 
 def _likely(least: int):
@@ -343,30 +467,28 @@ def _block_pairs(members: DataFrame, count: int, size: int) -> DataFrame:
 
 
 def _pair_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch whose pairs have about ``PART_CHARS`` in both texts together."""
-    sizes = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in ("ta", "tb")]
-    part = np.cumsum(sizes[0] + sizes[1]) // PART_CHARS
+    """Parts of a batch whose pairs have about ``PAIR_BYTES`` in both sets together."""
+    sizes = [pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False) for c in ("va", "vb")]
+    part = np.cumsum(sizes[0] + sizes[1]) // PAIR_BYTES
     starts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(starts, [*starts[1:], batch.num_rows]):
         yield batch.slice(a, b - a)
 
 
-def _verified(sent, threshold: float):
-    """(a, b, text a, text b) rows to the links among them."""
+def _jaccard(a: bytes, b: bytes, total: int) -> float:
+    whole_a, ha, ia, ta = _opened(a, total)
+    whole_b, hb, ib, tb = _opened(b, total)
+    return weighted_jaccard(ha, ia * ta, hb, ib * tb, whole_a + whole_b)
+
+
+def _verified(total: int, threshold: float):
+    """(a, b, set a, set b) rows to the links among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _pair_slices(batch):
-                ta, tb = texts_of(part, "ta"), texts_of(part, "tb")
-                names = list(dict.fromkeys(ta + tb))  # a text of many pairs is cut once
-                place = {t: i for i, t in enumerate(names)}
-                h, w, bounds = weighted_sets(names, sent.value)
-                cut = lambda t: slice(bounds[place[t]], bounds[place[t] + 1])
-                sims = []
-                for x, y in zip(ta, tb):
-                    i, j = cut(x), cut(y)
-                    sims.append(weighted_jaccard(h[i], w[i], h[j], w[j]))
-                s = np.array(sims)
+                sets = zip(part.column("va").to_pylist(), part.column("vb").to_pylist())
+                s = np.array([_jaccard(x, y, total) for x, y in sets])
                 keep = pa.array(s >= threshold)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("a").filter(keep), part.column("b").filter(keep), pa.array(s[s >= threshold])],
@@ -376,45 +498,48 @@ def _verified(sent, threshold: float):
     return run
 
 
-def _levels(texts: list[str], idf: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The weighted set as a plain one: the n-th occurrence of a window is a feature of its own.
-    Returns features, the window's weight, and the index of the text."""
-    h, bounds = ngrams(*words(texts), WINDOW)
-    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
-    nth = np.arange(len(h)) - np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))
-    return mix(h + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), idf.of(h), owner
+def _levels(h: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A weighted set as a plain one: the n-th occurrence of a window is a feature of its own.
+    Returns the features and the place of their window."""
+    at = np.repeat(np.arange(len(h)), tf)
+    nth = np.arange(len(at)) - np.repeat(np.cumsum(tf) - tf, tf)
+    return mix(h[at] + nth.astype(np.uint64) * _U(0x9E3779B97F4A7C15)), at
 
 
-def similarities(texts: list[str], idf: Weights) -> np.ndarray:
-    """Weighted Jaccard similarity of every two texts of a block."""
-    f, w, owner = _levels(texts, idf)
-    whole = np.bincount(owner, weights=w, minlength=len(texts))
+def set_similarities(whole: np.ndarray, h: np.ndarray, idf: np.ndarray, tf: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarity of every two sets of a block, given the sums of their weights."""
+    f, at = _levels(h, tf.astype(np.int64))
+    w, owner = idf[at], owner[at]
     _, at, col, n = np.unique(f, return_index=True, return_inverse=True, return_counts=True)
-    shared = n > 1  # what one text has alone adds nothing in common
+    shared = n > 1  # what one set has alone adds nothing in common
     place = np.cumsum(shared) - 1
     weight = np.sqrt(w[at[shared]])
     use = np.flatnonzero(shared[col])
     col, owner = place[col[use]], owner[use]
-    common = np.zeros((len(texts),) * 2)
+    common = np.zeros((len(whole),) * 2)
     wide = 1 << 14
     order = np.argsort(col, kind="stable")
     col, owner = col[order], owner[order]
     for k in range(0, len(weight), wide):
         a, b = np.searchsorted(col, [k, k + wide])
-        m = np.zeros((len(texts), min(wide, len(weight) - k)), np.float32)
+        m = np.zeros((len(whole), min(wide, len(weight) - k)), np.float32)
         m[owner[a:b], col[a:b] - k] = weight[col[a:b]]
         common += m @ m.T
     union = whole[:, None] + whole[None, :] - common
     return np.where(union > 0, common / np.maximum(union, 1e-12), 0.0)
 
 
-def _across(sent, threshold: float):
-    """Links between texts of different components in one block or two; the largest component's
-    own texts are not compared with each other."""
+def similarities(texts: list[str], idf: Weights) -> np.ndarray:
+    """Weighted Jaccard similarity of every two texts."""
+    h, tf, bounds = window_sets(texts)
+    owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    w = idf.of(h)
+    return set_similarities(np.bincount(owner, tf * w, len(texts)), h, w, tf, owner)
+
+
+def _across(total: int, threshold: float):
+    """Links between sets of different components in one block or two; the largest component's
+    own ones are not compared with each other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -427,14 +552,16 @@ def _across(sent, threshold: float):
                 if (part == part[0]).all():
                     continue
                 reps = np.concatenate([np.asarray(x.field("rep")) for x in blocks])
-                texts = [t or "" for x in blocks for t in x.field("value").to_pylist()]
-                i, j = np.nonzero(np.triu(similarities(texts, sent.value) >= threshold - 1e-3, 1))
+                values = [v for x in blocks for v in x.field("value").to_pylist()]
+                whole, h, idf, tf = zip(*[_opened(v, total) for v in values])
+                owner = np.repeat(np.arange(len(values)), [len(x) for x in h])
+                sims = set_similarities(np.array(whole), *map(np.concatenate, (h, idf, tf)), owner)
+                i, j = np.nonzero(np.triu(sims >= threshold - 1e-3, 1))
                 keep = part[i] != part[j]
                 if len(blocks) > 1:
                     keep &= (i < own) & (j >= own)
                 for x, y in zip(i[keep], j[keep]):
-                    h, w, bounds = weighted_sets([texts[x], texts[y]], sent.value)
-                    if weighted_jaccard(h[: bounds[1]], w[: bounds[1]], h[bounds[1] :], w[bounds[1] :]) >= threshold:
+                    if _jaccard(values[x], values[y], total) >= threshold:
                         found.append((int(reps[x]), int(reps[y])))
             if found:
                 a, b = zip(*found)
@@ -446,7 +573,7 @@ def _across(sent, threshold: float):
 def marked(rows: DataFrame, ids: DataFrame, id: str) -> DataFrame:
     """``rows`` whose id may be among ``ids``: all that are, and few others as long as there are
     far fewer ids than ``MARKS``. A map of bits, ``MARKS / 8`` bytes whatever the input, is
-    broadcast, so that a join on the ids shuffles few of the rows' texts."""
+    broadcast, so that a join on the ids shuffles few of the rows' sets."""
     slot = F.pmod(F.xxhash64(id), F.lit(MARKS))
     bucket, bit = F.shiftright(slot, 15).cast("int"), (slot % (1 << 15)).cast("int")
     bits = (
@@ -474,36 +601,34 @@ def near_duplicates(
     """One row per document: id, rep (smallest id with an equal text), component_id (smallest
     id that similar documents lead to), kept (id = component_id). Rows with a null id are not
     compared: null component, kept."""
-    spark = docs.sparkSession
     known = docs.filter(F.col(id).isNotNull()).select(F.col(id).cast("long").alias(id), text)
-    idf = spark.sparkContext.broadcast(window_weights(known, text))
+    held, ranges, total = window_ranges(known, text)
+    numbers = held.groupBy("range").applyInArrow(_returned(ranges), "part binary, range int, n binary")
     same = stage(classes(known, id, text), "text-classes")
     reps = same.filter(F.col(id) == F.col("rep")).select("rep").distinct()
-    # Sets and draws of all documents, then the rows of representatives: no text is shuffled.
-    drawn = known.select(F.col(id).alias("rep"), text).mapInArrow(
-        _signatures(idf, "rep", text), "rep long, keys array<long>, sketch binary"
-    )
+    # Sets and draws of all documents, then the rows of representatives.
+    contents = known.mapInArrow(_contents(id, text), "part binary, rows binary")
+    drawn = contents.groupBy("part").cogroup(numbers.groupBy("part")).applyInArrow(_signatures(total, id, text), SIGNED)
     signed = stage(drawn.join(reps, "rep", "left_semi"), "signatures")
     keys = signed.select("rep", F.posexplode("keys").alias(*SPOT))
     crowded = keys.groupBy(*SPOT).agg(F.count("*").alias("m"), F.min("rep").alias("least")).filter("m > 1")
     members = stage(keys.join(crowded.select(*SPOT, "least"), SPOT), "candidates")
     least = least_matches(threshold)
 
-    def texts_for(rep: DataFrame) -> DataFrame:
-        rep = stage(rep.select(F.col("rep").alias(id)).distinct(), "wanted")
-        wanted = marked(known, rep, id).join(rep, id, "left_semi")
-        return stage(wanted.select(F.col(id).alias("rep"), F.col(text).alias("value")), "candidate-texts")
+    def sets_for(rep: DataFrame) -> DataFrame:
+        rep = stage(rep.select("rep").distinct(), "wanted")
+        return stage(marked(signed.select("rep", "value"), rep, "rep").join(rep, "rep", "left_semi"), "candidate-sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
             pairs = pairs.join(signed.select(F.col("rep").alias(side), F.col("sketch").alias(f"s{side}")), side)
         likely = stage(pairs.mapInArrow(_likely(least), "a long, b long"), "likely")
-        texts = texts_for(likely.select(F.col("a").alias("rep")).union(likely.select("b")))
+        sets = sets_for(likely.select(F.col("a").alias("rep")).union(likely.select("b")))
         full = likely
         for side in ("a", "b"):
-            full = full.join(texts.select(F.col("rep").alias(side), F.col("value").alias(f"t{side}")), side)
-        full = full.select("a", "b", "ta", "tb")
-        return stage(full.mapInArrow(_verified(idf, threshold), "a long, b long, similarity double"), "links")
+            full = full.join(sets.select(F.col("rep").alias(side), F.col("value").alias(f"v{side}")), side)
+        full = full.select("a", "b", "va", "vb")
+        return stage(full.mapInArrow(_verified(total, threshold), "a long, b long, similarity double"), "links")
 
     # First step: against the smallest class of each bucket.
     star = members.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b"))
@@ -530,14 +655,14 @@ def near_duplicates(
         pairs = stage(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         links = stage(links.union(verify(pairs).select("a", "b")), "links")
         tried = tried.union(pairs)
-    # Last step: what is left of the buckets, first by sketches, then by texts.
+    # Last step: what is left of the buckets, first by sketches, then by sets.
     left = divided(components(links))
     sketched = left.join(signed.select("rep", F.col("sketch").alias("value")), "rep")
     work = _block_pairs(sketched, SKETCH_BLOCK, BLOCK_BYTES).repartition(F.hash(*SPOT, "rows"))
     near = stage(work.mapInArrow(_promising(least), "band int, key long, rep long").distinct(), "promising")
     left = left.join(near, [*SPOT, "rep"])
-    work = _block_pairs(left.join(texts_for(near), "rep"), BLOCK, BLOCK_BYTES).repartition(F.hash("rows"))
-    links = links.union(stage(work.mapInArrow(_across(idf, threshold), "a long, b long"), "links"))
+    work = _block_pairs(left.join(sets_for(near), "rep"), BLOCK, BLOCK_BYTES).repartition(F.hash("rows"))
+    links = links.union(stage(work.mapInArrow(_across(total, threshold), "a long, b long"), "links"))
     final = components(links)
     done = same.join(final.withColumnRenamed("id", "rep"), "rep", "left")
     out = done.select(id, "rep", F.coalesce("component", "rep").alias("component_id"))

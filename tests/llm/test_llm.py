@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pulsegrid.llm import (
     common,
@@ -264,6 +265,57 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_rare_windows_weigh_by_their_own_frequency(spark):
+    """Windows of one to five of 3,000 documents, in several ranges and parts of tasks."""
+    own = lambda k, n: [f"w{k}x{i}" for i in range(n)]
+    body = own("body", 85)
+    texts = [" ".join([*body, *own(k, 10)]) for k in "ab"]
+    few = [" ".join(own(f"few{k}", 7)) for k in range(2, 6)]
+    texts += [" ".join([t, f"end{k}", f"{i}"]) for k, t in enumerate(few, 2) for i in range(k)]
+    texts += [" ".join(own(k, 6)) for k in range(3000 - len(texts))]
+    held = Counter(g for t in texts for g in {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)})
+    value = lambda g: minhash.ngrams(*common.words([" ".join(g)]), 5)[0]
+    docs = docs_of(spark, texts).repartition(3).localCheckpoint()
+    idf = minhash.window_weights(docs)
+    assert set(held.values()) == {1, 2, 3, 4, 5} and len(idf.windows) == sum(n > 1 for n in held.values())
+    for g in {n: g for g, n in held.items()}.values():
+        assert np.isclose(idf.of(value(g))[0], np.log(3001 / (1 + held[g])) + 1)
+    # 81 of 101 windows in common are 0.802 by number, but rarer ones are not in common: 0.794.
+    a, b = (Counter({g: np.log(3001 / (1 + held[g])) + 1 for g in zip(*[t.split()[k:] for k in range(5)])}) for t in texts[:2])
+    assert 0.79 < sum((a & b).values()) / sum((a | b).values()) < 0.8 < len(a & b) / len(a | b)
+    got = {r["doc_id"]: r["component_id"] for r in collected(minhash.near_duplicates(docs))}
+    assert (got[0], got[1]) == (0, 1)
+
+
+def test_counts_of_windows_in_ranges():
+    """What the ranges of two parts return is what all documents have."""
+    from pulsegrid.llm.minhash import _held, _opened, _returned, _signatures, _contents, _unpacked
+
+    texts = ["a b c d e f g", "a b c d e x", None, "q", "a b c d e f g a b c d e"]
+    parts = [pa.RecordBatch.from_pydict({"doc_id": pa.array(i, pa.int64()), "text": pa.array([texts[k] for k in i], pa.string())})
+             for i in ([0, 1, 2], [3, 4])]
+    rows = pa.Table.from_batches([b for p in parts for b in _held("text", 7)(iter([p]))])
+    numbers = pa.concat_tables(
+        [_returned(7)(rows.filter(pc.equal(rows["range"], k))) for k in pc.unique(rows["range"]).to_pylist()]
+    )
+    docs = [set(zip(*[(t or "").split()[k:] for k in range(5)])) or ({tuple((t or "").split())} if t else set()) for t in texts]
+    held = Counter(g for d in docs for g in d)
+    for p in parts:
+        for c in _contents("doc_id", "text")(iter([p])):
+            mine = numbers.filter(pc.equal(numbers["part"], c.column("part")[0]))
+            out = _signatures(5, "doc_id", "text")(pa.Table.from_batches([c]), mine)
+            for r in out.to_pylist():
+                words = (texts[r["rep"]] or "").split()
+                tf = Counter(zip(*[words[k:] for k in range(5)])) or Counter([tuple(words)])
+                whole, h, idf, n = _opened(r["value"], 5)
+                assert np.isclose(whole, sum(c * (np.log(6 / (1 + held[g])) + 1) for g, c in tf.items()))
+                want = sorted((int(minhash.ngrams(*common.words([" ".join(g)]), 5)[0][0]), c, held[g]) for g, c in tf.items() if held[g] > 1)
+                assert [(int(x), int(c)) for x, c in zip(h, n)] == [(x, c) for x, c, _ in want]
+                assert np.allclose(idf, [np.log(6 / (1 + m)) + 1 for _, _, m in want])
+    x = np.array([0, 1, 255, 256, 2**63, 2**64 - 1], np.uint64)
+    assert (_unpacked(minhash._packed(x, 8), 8) == x).all()
+
+
 def test_near_duplicates_on_odd_rows(spark, odd, empty):
     got = collected(minhash.near_duplicates(odd))
     assert len(got) == odd.count()
