@@ -56,6 +56,8 @@ _POOL = 1 << 15
 #: Bytes of two sets that are compared at once, and windows that draw at once; a set is never split.
 PAIR_BYTES = 500_000
 DRAW_WINDOWS = 75_000
+#: Characters whose words are hashed at once; a few arrays have eight bytes for each.
+HASHED_CHARS = 400_000
 #: Bytes of text whose windows are counted in one range of hashes.
 RANGE_BYTES = 8_000_000
 _U = np.uint64
@@ -95,9 +97,18 @@ class Weights:
         return np.where(self.windows[at] == h, self.idf[at], self.rest)
 
 
+def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the windows of each text, in order, and bounds; some texts at a time."""
+    part = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // HASHED_CHARS
+    starts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    found = [ngrams(*words(texts[a:b]), WINDOW) for a, b in zip(starts, starts[1:])]
+    sizes = np.concatenate([np.diff(bounds) for _, bounds in found])
+    return np.concatenate([h for h, _ in found]), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
 def window_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct windows of each text, sorted by hash inside a text, their counts, and bounds."""
-    h, bounds = ngrams(*words(texts), WINDOW)
+    h, bounds = windows_of(texts)
     owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
     order = np.lexsort((h, owner))
     h, owner = h[order], owner[order]

@@ -44,6 +44,7 @@ from pulsegrid.plans.staging import stage
 WIDTH = 100
 CORE = 32
 HELD = 200_000  # rows of one core that a task holds at once
+SLICE = 400_000  # bytes of text worked on at once; a dozen arrays have eight bytes for each
 
 
 def _sliding(x: np.ndarray, w: int, low: bool) -> np.ndarray:
@@ -120,7 +121,7 @@ def _nodes(part: pa.RecordBatch, row, at, near, far, prefix, bounds, width) -> p
 def _first_pass(width: int, core: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, bounds = _texts(part, "text")
                 at = anchors(data, bounds, width, core)
                 if len(at):
@@ -136,7 +137,7 @@ def _next_pass(width: int, parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 data, bounds = _texts(part, "text")
                 spots = part.column("spots")
                 row = np.repeat(np.arange(part.num_rows), np.diff(spots.offsets.to_numpy()))

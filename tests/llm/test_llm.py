@@ -138,6 +138,30 @@ def test_repeats_equal_brute_force(spark, width, core):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
+def peak_mb(run):
+    """Most that Python and numpy hold while ``run`` goes on."""
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        run()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_batch_of_texts_is_worked_on_in_small_parts():
+    """2 MB of texts: same nodes as text by text, in little memory."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(97, 123, 4000))) for _ in range(500)]
+    batch = pa.RecordBatch.from_pydict({"doc": pa.array(range(500), pa.int64()), "tag": pa.array([0] * 500, pa.int32()), "text": texts})
+    first = suffixes._first_pass(100, 32)
+    rows = lambda found: sorted(map(str, (r for b in found for r in b.to_pylist())))
+    few = batch.slice(90, 30)  # texts before and after the first cut
+    assert set(rows(b for i in range(30) for b in first(iter([few.slice(i, 1)])))) <= set(rows(first(iter([batch]))))
+    assert peak_mb(lambda: [None for _ in first(iter([batch]))]) < 120
+
+
 def test_repeats_on_odd_rows(spark, odd, empty):
     got = collected(suffixes.remove_repeats(odd))
     assert len(got) == odd.count()
@@ -287,6 +311,17 @@ def test_rare_windows_weigh_by_their_own_frequency(spark):
     assert (got[0], got[1]) == (0, 1)
 
 
+def test_windows_are_hashed_a_few_texts_at_a_time():
+    """The same windows as from all texts at once, in little memory."""
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 10**6, n)) for n in [*rng.integers(0, 900, 400), 90_000, 0, 3]] + ["", " "]
+    assert sum(map(len, texts)) > 4 * minhash.HASHED_CHARS
+    at_once, h = minhash.ngrams(*common.words(texts), 5), minhash.windows_of(texts)
+    assert all(np.array_equal(x, y) for x, y in zip(at_once, h))
+    assert [len(x) for x in minhash.windows_of([])] == [0, 1]
+    assert peak_mb(lambda: minhash.window_sets(texts)) < 70
+
+
 def test_counts_of_windows_in_ranges():
     """What the ranges of two parts return is what all documents have."""
     from pulsegrid.llm.minhash import _held, _opened, _returned, _signatures, _contents, _unpacked
