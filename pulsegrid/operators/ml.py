@@ -1,4 +1,4 @@
-"""Clustering and horizon models on spark.ml."""
+"""Clustering on spark.ml and horizon models."""
 
 from __future__ import annotations
 
@@ -7,15 +7,14 @@ from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.pipeline import Pipeline
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, WindowSpec
 from pyspark.sql import functions as F
 
+from pulsegrid.operators import forest
+from pulsegrid.operators.forest import Forest
 from pulsegrid.operators.timeseries import ORDER, framed, lag_features
 from pulsegrid.plans.ordering import last_n, numbered
 from pulsegrid.plans.staging import stage
@@ -112,13 +111,14 @@ def train_all_models(
     min_clean: int = 50,
     trained_at: datetime | None = None,
     parallelism: int = 4,
-) -> tuple[dict[str, PipelineModel], list[tuple]]:
+) -> tuple[dict[str, Forest], list[tuple]]:
     """One random forest per metric type and horizon (in rows), with accuracy, mae and mse on a
     hashed fifth and the time of training.
 
-    All types' features are built in one pass. The forests train distributed on spark.ml,
-    ``parallelism`` at a time; only their scores come back to the caller. A type needs
-    ``min_rows`` rows, a model ``min_clean`` complete ones; others are left out.
+    All types' features are built in one pass. The forests of ``parallelism`` types grow at a
+    time, those of a type in the same passes over its rows; only their nodes and scores come back
+    to the caller. A type needs ``min_rows`` rows, a model ``min_clean`` complete ones; others
+    are left out.
     """
     rows = metrics.filter(F.col("metric_type").isNotNull())
     if types is not None:
@@ -132,40 +132,34 @@ def train_all_models(
     feats = _horizon_features(rows.filter(F.col("metric_type").isin(names)), horizons, order)
     known = feats.groupBy("metric_type").agg(*[F.count(f"target_{h}").alias(str(h)) for h in horizons])
     clean = {r.metric_type: r for r in known.collect()}
-    wanted = [(t, h) for t in names if t in clean for h in horizons if clean[t][str(h)] >= min_clean]
+    wanted = {t: [h for h in horizons if clean[t][str(h)] >= min_clean] for t in names if t in clean}
     # The split depends on the row only, so reruns and retries agree.
     fold = F.pmod(F.xxhash64(*order), F.lit(10))
 
-    def fit(task: tuple[str, int]) -> tuple[PipelineModel, tuple]:
-        name, horizon = task
-        mine = feats.filter(F.col("metric_type") == name).withColumn("target", F.col(f"target_{horizon}"))
-        mine = mine.filter(F.col("target").isNotNull())
-        train, test = mine.filter(fold < 8), mine.filter(fold >= 8)
-        forest = RandomForestRegressor(
-            featuresCol="features", labelCol="target", predictionCol="prediction",
-            numTrees=trees, maxDepth=depth, seed=SEED, featureSubsetStrategy="all",
-            # More tree nodes per pass over the rows.
-            maxMemoryInMB=1024,
-        )
-        model = Pipeline(stages=[VectorAssembler(inputCols=FEATURES, outputCol="features"), forest]).fit(train)
-        error = F.col("target") - F.col("prediction")
-        s = model.transform(test).agg(
-            F.avg(F.abs(error)).alias("mae"),
-            F.avg(error * error).alias("mse"),
-            (F.max("target") - F.min("target")).alias("spread"),
-        ).first()
-        accuracy = 1 - s["mae"] / s["spread"] if s["spread"] else 0.0
-        accuracy = max(0.0, min(1.0, accuracy))
-        return model, (f"{name}_{horizon}min", name, horizon, accuracy, s["mae"], s["mse"], trained_at)
+    def fit(name: str) -> list[tuple[Forest, tuple]]:
+        labels = {f"{name}_{h}min": f"target_{h}" for h in wanted[name]}
+        mine = feats.filter(F.col("metric_type") == name)
+        grown = forest.grow(mine.filter(fold < 8), FEATURES, labels, order, trees, depth, SEED)
+        errors = forest.errors(mine.filter(fold >= 8), grown, labels)
+        out = []
+        for h, key in zip(wanted[name], labels):
+            if key not in grown:
+                continue
+            mae, mse, spread = errors.get(key, (None, None, None))
+            accuracy = 1 - mae / spread if spread else 0.0
+            accuracy = max(0.0, min(1.0, accuracy))
+            out.append((grown[key], (key, name, h, accuracy, mae, mse, trained_at)))
+        return out
 
     with ThreadPoolExecutor(max(1, parallelism)) as pool:
-        fitted = list(pool.map(inheritable_thread_target(metrics.sparkSession)(fit), wanted))
+        types_fitted = pool.map(inheritable_thread_target(metrics.sparkSession)(fit), [t for t in wanted if wanted[t]])
+        fitted = [one for several in types_fitted for one in several]
     return {score[0]: model for model, score in fitted}, [score for _, score in fitted]
 
 
 def train_horizon_models(
     metrics: DataFrame, metric_type: str, horizons: Sequence[int] = HORIZONS, **options
-) -> tuple[dict[str, PipelineModel], list[tuple]]:
+) -> tuple[dict[str, Forest], list[tuple]]:
     """``train_all_models`` of one metric type."""
     return train_all_models(metrics, [metric_type], horizons, **options)
 
@@ -203,7 +197,7 @@ def newest_features(metrics: DataFrame, order: Sequence[str] = ORDER, tail_rows:
 
 def predict_horizon(
     metrics: DataFrame,
-    models: dict[str, PipelineModel],
+    models: dict[str, Forest],
     scores: list[tuple],
     order: Sequence[str] = ORDER,
     tail_rows: int = 500,
@@ -235,15 +229,23 @@ def latest_prediction(predictions: DataFrame, order: str = "event_id") -> DataFr
     )
 
 
-def save_models(models: dict[str, PipelineModel], path: str, parallelism: int = 4) -> None:
+def save_models(models: dict[str, Forest], path: str, parallelism: int = 4) -> None:
     """One folder per model."""
 
+    spark = SparkSession.active()
+
     def save(key: str) -> None:
-        models[key].write().overwrite().save(f"{path}/{key}")
+        models[key].save(spark, f"{path}/{key}")
 
     with ThreadPoolExecutor(parallelism) as pool:
-        list(pool.map(save, models))
+        list(pool.map(inheritable_thread_target(spark)(save), models))
+
 
+def load_models(path: str, keys: Sequence[str], parallelism: int = 4) -> dict[str, Forest]:
+    spark = SparkSession.active()
 
-def load_models(path: str, keys: Sequence[str]) -> dict[str, PipelineModel]:
-    return {key: PipelineModel.load(f"{path}/{key}") for key in keys}
+    def load(key: str) -> Forest:
+        return Forest.load(spark, f"{path}/{key}")
+
+    with ThreadPoolExecutor(parallelism) as pool:
+        return dict(zip(keys, pool.map(inheritable_thread_target(spark)(load), keys)))

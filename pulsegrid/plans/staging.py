@@ -36,9 +36,9 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/pulsegrid/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str = "stage") -> DataFrame:
-    """Write ``df`` once and return the DataFrame that reads it back."""
+def stage(df: DataFrame, name: str = "stage", **options) -> DataFrame:
+    """Write ``df`` once and return the DataFrame that reads it back; options go to the writer."""
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.mode("error").parquet(path)
+    df.write.mode("error").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

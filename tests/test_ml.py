@@ -134,3 +134,78 @@ def test_all_horizon_models_in_one_call(spark):
     assert got["memory_5min"].timestamp == t0 + timedelta(minutes=199)
     summary = ml.model_performance_summary(spark.createDataFrame(scores, ml.SCORE_SCHEMA)).collect()
     assert len(summary) == 4 and all(r.last_updated == at for r in summary)
+
+
+def timed_series(spark, n, kind="cpu", value=lambda i: 50 + 30 * float(np.sin(i / 5))):
+    from datetime import datetime, timedelta
+
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), kind, kind, value(i)) for i in range(n)]
+    return spark.createDataFrame(rows, "event_id long, timestamp timestamp, metric_type string, metric_name string, value double")
+
+
+def test_horizons_of_a_type_grow_in_the_same_passes(spark):
+    """The number of Spark jobs does not depend on how many horizons and trees there are."""
+    df, sc, jobs = timed_series(spark, 300), spark.sparkContext, []
+    for k, (horizons, trees) in enumerate((((5,), 2), ((5, 15, 30, 60), 8))):
+        sc.setJobGroup(f"passes{k}", "")
+        models, _ = ml.train_all_models(df, horizons=horizons, trees=trees, depth=3)
+        assert len(models) == len(horizons)
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(f"passes{k}")))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert abs(jobs[0] - jobs[1]) <= 3
+
+
+def test_forest_of_several_shares_finds_the_steps(spark, monkeypatch):
+    """Labels known for different rows, duplicate rows and a feature of one value, in many shares."""
+    from pulsegrid.operators import forest
+
+    rng = np.random.default_rng(8)
+    rows = [(float(x), int(g), 1.0, float(10 * (x > 0.3) + g), float(x) if x > 0.5 else None) for x, g in zip(rng.random(2000), rng.integers(0, 3, 2000))]
+    df = spark.createDataFrame(rows + rows[:500], "x double, g int, same double, y double, z double")
+    monkeypatch.setattr(forest, "SHARE_ROWS", 300)
+    labels = {"a": "y", "b": "z"}
+    grown = forest.grow(df, ["x", "g", "same"], labels, trees=20, depth=5)
+    again = forest.grow(df.repartition(3), ["x", "g", "same"], labels, trees=20, depth=5)
+    for k in labels:
+        one, two = grown[k], again[k]
+        assert (one.feature == two.feature).all() and (one.split == two.split).all() and np.allclose(one.value, two.value)
+        assert not (one.feature == 2).any()
+    got = forest.errors(df, grown, labels)
+    assert got["a"][0] < 0.3 and got["b"][0] < 0.02 and 11.9 < got["a"][2] <= 12
+    # Trees differ: each has its own bootstrap.
+    assert len({v.tobytes() for v in grown["a"].value}) == 20
+    assert forest.grow(df.filter("false"), ["x"], labels) == {}
+
+
+def test_best_splits_against_all_splits():
+    from pulsegrid.operators import forest
+
+    rng = np.random.default_rng(3)
+    sizes = [4, 1, 6]
+    for _ in range(50):
+        x = np.stack([rng.integers(0, s, 12) for s in sizes], axis=1)
+        w, y = rng.integers(1, 4, 12).astype(float), rng.normal(0, 1, 12)
+        n, s = np.zeros((1, 11)), np.zeros((1, 11))
+        for k, start in enumerate((0, 4, 5)):
+            np.add.at(n[0], start + x[:, k], w)
+            np.add.at(s[0], start + x[:, k], w * y)
+        spread = lambda m: (w[m] * (y[m] - np.average(y[m], weights=w[m])) ** 2).sum()
+        left = {(k, t): x[:, k] <= t for k, size in enumerate(sizes) for t in range(size - 1)}
+        falls = {at: spread(m) + spread(~m) for at, m in left.items() if 0 < m.sum() < 12}
+        feature, split, ns, means = forest.best_splits(n, s, sizes)
+        best = left[int(feature[0]), int(split[0])]
+        assert np.isclose(falls[int(feature[0]), int(split[0])], min(falls.values()))
+        assert np.allclose(ns[0], [w[best].sum(), w[~best].sum()])
+        assert np.allclose(means[0], [np.average(y[m], weights=w[m]) for m in (best, ~best)])
+    feature, _, ns, means = forest.best_splits(np.array([[2.0, 1, 3]]), np.array([[4.0, 2, 6]]), [3])
+    assert feature[0] == forest.LEAF and means.tolist() == [[2, 2]]
+
+
+def test_thresholds_lie_between_values():
+    from pulsegrid.operators.forest import thresholds
+
+    assert thresholds([]).tolist() == [] and thresholds([3.0] * 9).tolist() == []
+    assert thresholds([0.0, 0, 1, 1, 2, 6]).tolist() == [0.5, 1.5, 4]
+    many = thresholds([0.0] * 900 + list(range(1, 102)))
+    assert len(many) <= 31 and many[0] == 0.5 and thresholds(np.arange(1001.0)).size == 31
+    assert thresholds([-np.inf, 0.0, np.inf]).tolist() == [-np.inf, 0]
