@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from math import ceil, exp, factorial
+from math import ceil, exp, factorial, prod
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,9 @@ BINS = 32
 SHARE_ROWS = 500_000
 #: Nodes of a tree whose histograms are added up in one group.
 NODES = 128
+#: Rows that are counted at once, and cells of a level in one histogram: what a core's cache holds.
+HELD_ROWS = 65_536
+COUNTED = 1 << 15
 LEAF = 255
 _STEPS = 1000
 #: Poisson(1) by 16 random bits.
@@ -103,38 +106,63 @@ def _placed(bins: np.ndarray, at: np.ndarray, feature: np.ndarray, split: np.nda
     return node
 
 
+def _joined(sizes: Sequence[int], nodes: int) -> list[list[int]]:
+    """Features that are counted together: few bins make one code, whose histogram is summed up."""
+    most, groups = max(BINS, COUNTED // nodes), [[]]
+    for k in sorted(range(len(sizes)), key=lambda k: sizes[k]):
+        if groups[-1] and prod(sizes[i] for i in [*groups[-1], k]) > most:
+            groups.append([])
+        groups[-1].append(k)
+    return groups
+
+
+def _histograms(weight, y, bins, codes, sizes, feature, split, opened, level) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and label sums by open node and bin of all features, some rows at a time."""
+    width, count, at = len(sizes), int(opened.sum()), np.cumsum(opened) - 1
+    sums = [np.zeros((2, count * size)) for _, size, _ in codes]
+    for first in range(0, len(y), HELD_ROWS):
+        rows = np.flatnonzero(weight[first : first + HELD_ROWS] > 0) + first
+        node = _placed(bins, rows * width, feature, split, level)
+        if count < len(opened):
+            inside = opened.take(node)
+            rows, node = rows[inside], at.take(node[inside])
+        w = weight.take(rows).astype(np.float64)
+        wy = w * y.take(rows)
+        for (_, size, code), (n, s) in zip(codes, sums):
+            place = node * size
+            place += code.take(rows)
+            n += np.bincount(place, w, count * size)
+            s += np.bincount(place, wy, count * size)
+    ends, total = np.cumsum(sizes), sum(sizes)
+    out = np.empty((count, total), np.float32), np.empty((count, total))
+    for (group, _, _), both in zip(codes, sums):
+        for to, found in zip(out, both):
+            cells = found.reshape(count, *[sizes[k] for k in group])
+            for axis, k in enumerate(group, 1):
+                to[:, ends[k] - sizes[k] : ends[k]] = cells.sum(axis=tuple({*range(1, cells.ndim)} - {axis}))
+    return out
+
+
 def _counted(sizes: Sequence[int], level: int, feature: dict, split: dict, opened: dict, seed: int):
     """Packed shares to histograms of the open nodes of a level, some nodes of a tree a row."""
-    ends = np.cumsum(sizes)
-    total, width = int(ends[-1]), len(sizes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for label, share, packed, y in zip(*[batch.column(c) for c in ("label", "share", "bins", "y")]):
                 label, share = label.as_py(), share.as_py()
-                bins = np.frombuffer(packed.as_buffer(), np.uint8)
-                columns = np.ascontiguousarray(bins.reshape(-1, width).T)
-                y = np.frombuffer(y.as_buffer(), np.float64)
+                bins, y = np.frombuffer(packed.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.float64)
+                codes = []
+                for group in _joined(sizes, 1 << level):
+                    shape = [sizes[k] for k in group]
+                    code = np.ravel_multi_index([bins[k :: len(sizes)] for k in group], shape)
+                    codes.append((group, prod(shape), code.astype(np.uint16)))
                 for tree, (f, t, nodes) in enumerate(zip(feature[label], split[label], opened[label])):
-                    count = int(nodes.sum())
-                    if not count:
+                    if not nodes.any():
                         continue
                     rng = np.random.default_rng([seed, share, tree])
                     weight = _WEIGHTS.take(rng.integers(0, 1 << 16, len(y), np.uint16))
-                    rows = np.flatnonzero(weight > 0)
-                    node = _placed(bins, rows * width, f, t, level)
-                    if count < len(nodes):
-                        inside = nodes.take(node)
-                        rows, node = rows[inside], (np.cumsum(nodes) - 1).take(node[inside])
-                    w = weight.take(rows).astype(np.float64)
-                    wy = w * y.take(rows)
-                    n, s = np.empty((count, total), np.float32), np.empty((count, total))
-                    for k, (size, end) in enumerate(zip(sizes, ends)):
-                        place = node * size
-                        place += columns[k].take(rows)
-                        n[:, end - size : end] = np.bincount(place, w, count * size).reshape(count, size)
-                        s[:, end - size : end] = np.bincount(place, wy, count * size).reshape(count, size)
-                    parts = range(0, count, NODES)
+                    n, s = _histograms(weight, y, bins, codes, sizes, f, t, nodes, level)
+                    parts = range(0, len(n), NODES)
                     yield pa.RecordBatch.from_pydict({
                         "label": pa.array([label] * len(parts)),
                         "tree": pa.array([tree] * len(parts), pa.int32()),

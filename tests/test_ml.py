@@ -209,3 +209,39 @@ def test_thresholds_lie_between_values():
     many = thresholds([0.0] * 900 + list(range(1, 102)))
     assert len(many) <= 31 and many[0] == 0.5 and thresholds(np.arange(1001.0)).size == 31
     assert thresholds([-np.inf, 0.0, np.inf]).tolist() == [-np.inf, 0]
+
+
+def test_histograms_of_open_nodes_count_every_row(monkeypatch):
+    """Parts of the rows, joined features and closed nodes, against a sum row by row."""
+    import pyarrow as pa
+
+    from pulsegrid.operators import forest
+
+    rng, sizes, n = np.random.default_rng(4), [5, 3, 1, 40], 700
+    bins = np.stack([rng.integers(0, s, n).astype(np.uint8) for s in sizes], axis=1)
+    y = rng.normal(0, 1, n)
+    monkeypatch.setattr(forest, "HELD_ROWS", 150)
+    # The root splits at feature 0, its left child at feature 3; the right one is a leaf.
+    feature, split = np.array([0, 3, forest.LEAF], np.uint8), np.array([2, 20, 0], np.uint8)
+    opened = np.array([True, True, False, False])
+    share = pa.RecordBatch.from_pydict({
+        "label": ["a"], "share": pa.array([0], pa.int64()),
+        "bins": pa.array([bins.tobytes()], pa.binary()), "y": pa.array([y.tobytes()], pa.binary()),
+    })
+    at = {k: {"a": [x]} for k, x in (("feature", feature), ("split", split), ("opened", opened))}
+    (out,) = forest._counted(sizes, 2, at["feature"], at["split"], at["opened"], 42)(iter([share]))
+    got = [np.frombuffer(out.column(c)[0].as_buffer(), t).reshape(2, -1) for c, t in (("n", np.float32), ("s", np.float64))]
+    draw = np.random.default_rng([42, 0, 0]).integers(0, 1 << 16, n, np.uint16)
+    want = np.zeros((2, 2, sum(sizes)))
+    for row, w, label in zip(bins, forest._WEIGHTS[draw], y):
+        if row[0] <= 2:
+            for start, b in zip((0, 5, 8, 9), row):
+                want[:, int(row[3] > 20), start + b] += w, w * label
+    assert np.allclose(got, want)
+    assert forest._joined([32, 24, 7, 2, 32], 512) == [[3, 2], [1], [0], [4]]
+
+
+def test_bootstrap_weights_are_poisson():
+    from pulsegrid.operators.forest import _WEIGHTS
+
+    assert abs(_WEIGHTS.mean() - 1) < 1e-3 and abs(_WEIGHTS.var() - 1) < 1e-2 and abs((_WEIGHTS == 0).mean() - np.exp(-1)) < 1e-4
