@@ -61,6 +61,8 @@ def bin_thresholds(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]
 
 def _binned(columns: Sequence[np.ndarray], cuts: Sequence[np.ndarray]) -> np.ndarray:
     """Number of thresholds below each value, rows by features."""
+    if any(np.isnan(x).any() for x in columns):
+        raise ValueError("a feature is null or not a number")
     return np.stack([np.searchsorted(c, x).astype(np.uint8) for x, c in zip(columns, cuts)], axis=1)
 
 
@@ -280,7 +282,7 @@ def grow(
 ) -> dict[str, Forest]:
     """One forest per label (name to column), each from the rows where the label is known.
 
-    Features must be complete; ``keys`` and features tell rows apart. A forest does not depend on
+    Features must be complete (others are an error); ``keys`` and features tell rows apart. A forest does not depend on
     the other labels, and on the order of the rows only as far as the quantile sketch of its
     thresholds does. A tree has places for 2 ** depth leaves, on the driver too, so ``depth`` is
     meant to stay at about 15 or less. Labels without rows have no forest.

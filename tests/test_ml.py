@@ -175,6 +175,8 @@ def test_forest_of_several_shares_finds_the_steps(spark, monkeypatch):
     # Trees differ: each has its own bootstrap.
     assert len({v.tobytes() for v in grown["a"].value}) == 20
     assert forest.grow(df.filter("false"), ["x"], labels) == {}
+    with pytest.raises(Exception, match="a feature is null or not a number"):
+        forest.grow(df, ["x", "z"], {"a": "y"}, trees=1)
 
 
 def test_best_splits_against_all_splits():
