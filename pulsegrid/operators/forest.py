@@ -1,6 +1,6 @@
 """Random forests of regression trees, grown level by level on histograms.
 
-Rows go into bins of their features once and are packed into shares of at most ``SHARE_ROWS`` rows.
+Rows go into bins of their features once and are packed into shares of about ``SHARE_ROWS`` rows.
 At each level every share counts, per tree and open node, the weights and label sums of all bins;
 these are added up over the shares by a shuffle, which also finds the best split of each node.
 Only splits and means of nodes come back to the driver, so that no task holds a whole series and
